@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.llm import queries_exact_dedup, queries_mixing, queries_packing, queries_token_counts
+from spanveil.llm import queries_exact_dedup, queries_mixing, queries_ngram_join, queries_packing, queries_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mix_sources": queries_mixing.op2_mix_sources,
         "op4_pack_documents": queries_packing.op4_pack_documents,
+        "op5_ngram_join": queries_ngram_join.op5_ngram_join,
         "op8_token_counts": queries_token_counts.op8_token_counts,
         "op9_exact_dedup": queries_exact_dedup.op9_exact_dedup,
     }
