@@ -39,7 +39,11 @@ COMMON_IN_BLOCK, COMMON = 4, 32
 #: So many of the most common ones go into a filter of so many bits.
 COMMON_ROWS, COMMON_BITS = 200_000, 1 << 24
 _BLOCK = 4_000_000
-SKETCH_BITS = 1024
+_BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
+#: A sketch has two to four bits for each n-gram, and so many at least.
+SKETCH_BITS = 512
+#: Documents are picked for verification by a filter of so many bits, then exactly.
+PICK_BITS = 1 << 23
 #: The order is cut at its leading bits.
 FRAGMENT_BITS = 4
 _TOP = np.uint64(1 << 63)
@@ -186,17 +190,18 @@ def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> Da
                     sums[1][some] = np.add.reduceat(_mix(m + _U(0x632BE59BD9B4E019)), first[some])
                 take = np.where(size > 0, size - -(-num * size // den) + 1, 0)
                 chosen = np.arange(len(key)) - first[text] < take[text]
-                bit = text * SKETCH_BITS + (m >> _U(20)).astype(np.int64) % SKETCH_BITS
-                parity = (np.bincount(bit, minlength=len(part) * SKETCH_BITS) & 1).astype(np.uint8)
+                width = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 2 / SKETCH_BITS))).astype(np.int64)
+                ends = np.cumsum(width)
+                bit = (ends - width)[text] + ((m >> _U(20)).astype(np.int64) & (width[text] - 1))
+                parity = (np.bincount(bit, minlength=int(ends[-1])) & 1).astype(np.uint8)
                 sketch = np.packbits(parity).view(np.int64)
-                per = SKETCH_BITS // 64
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(begin, len(part)),
                         pa.array(size, pa.int64()),
                         *[pa.array(x.view(np.int64)) for x in sums],
                         pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(key[chosen].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * per, pa.int32()), pa.array(sketch)),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]), pa.int32()), pa.array(sketch)),
                     ],
                     names=["id", "n", "d1", "d2", "prefix", "sketch"],
                 )
@@ -204,12 +209,23 @@ def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> Da
     return body.mapInArrow(run, "id long, n long, d1 long, d2 long, prefix array<long>, sketch array<long>")
 
 
-def ngram_fragments(body: DataFrame, n: int, common: bytes) -> DataFrame:
-    """(id, fragment, ngrams): each set, cut at fixed places of the global order."""
+def _picks(ids: DataFrame) -> bytes:
+    """A filter of PICK_BITS bits by the low bits of the identifiers in ``ids`` (id)."""
+    at = F.pmod("id", F.lit(PICK_BITS)) + 1
+    parts = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    filled = {r.part: bytes(r.bits) for r in parts.collect()}
+    return b"".join(filled.get(k + 1, bytes(_BUCKET)) for k in range(PICK_BITS // 8 // _BUCKET))
+
+
+def ngram_fragments(body: DataFrame, n: int, common: bytes, picks: bytes) -> DataFrame:
+    """(id, fragment, ngrams): the sets that ``picks`` holds, cut at fixed places of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = _Ordered(n, common)
+        picked = np.unpackbits(np.frombuffer(picks, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            batch = batch.filter(pa.array(picked[batch.column(0).to_numpy() % PICK_BITS]))
             for begin, part in _parts(batch.column(1)):
                 text, key = ordered(part)
                 if not len(text):
@@ -229,9 +245,14 @@ def _possible(num: int, den: int):
 
     A sketch bit is the parity of the n-grams on it, so two sketches differ in no
     more bits than the sets differ in n-grams; and sets that reach the threshold
-    differ in (den - num) / (den + num) of their summed sizes at most.
+    differ in (den - num) / (den + num) of their summed sizes at most. A sketch
+    that is twice as wide is folded; other widths tell nothing.
     """
-    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    differ = F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) == 2 * F.size(b), bits(folded(a), b)).when(F.size(b) == 2 * F.size(a), bits(a, folded(b))).otherwise(0)
     sizes = (F.least("n_a", "n_b") * den) >= (F.greatest("n_a", "n_b") * num)
     return sizes & (differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
@@ -242,38 +263,48 @@ def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common:
     left, right = (small.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in small.columns]) for x in "ab")
     possible = cut(pairs.join(left, "a").join(right, "b").where(_possible(num, den)).select("a", "b", "n_a", "n_b"))
     needed = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
-    fragments = ngram_fragments(body.join(needed, "id", "left_semi").dropDuplicates(["id"]), n, common)
-    fragments = cut(fragments)
+    fragments = ngram_fragments(body, n, common, _picks(needed))
+    cut_pairs = possible.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))).alias("fragment"))
     of_a = fragments.select(F.col("id").alias("a"), "fragment", F.col("ngrams").alias("grams_a"))
     of_b = fragments.select(F.col("id").alias("b"), "fragment", F.col("ngrams").alias("grams_b"))
-    partial = possible.join(of_a, "a").join(of_b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+    met = cut_pairs.join(of_a, ["a", "fragment"]).join(of_b, ["b", "fragment"])
+    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
     overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
     return overlap.where((F.col("overlap") * den) >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
 
 
 def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) of documents of one posting that are in different components and may reach the threshold."""
-    per = SKETCH_BITS // 64
+    def unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches of i and j differ; the sketch of j is as wide or folded once."""
+        out = np.zeros(len(i), np.int64)
+        for w in np.unique(width[i]).tolist():
+            for times in (1, 2):
+                all_of = np.flatnonzero((width[i] == w) & (width[j] == w * times))
+                for k in range(0, len(all_of), step := max(1, 4_000_000 // w)):
+                    some, column = all_of[k : k + step], np.arange(w)
+                    x = words[at[i[some], None] + column] ^ words[at[j[some], None] + column]
+                    if times == 2:
+                        x ^= words[at[j[some], None] + w + column]
+                    out[some] = np.bitwise_count(x).sum(1, dtype=np.int64)
+        return out
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h, ids, n, comp = (rows.column(c).to_numpy() for c in ("h", "id", "n", "component"))
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, per)
-        ends = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
-        begin = 0
-        for end in ends.tolist():
-            for i in range(begin, end - 1):
-                for lo in range(i + 1, end, 4096):
-                    other = slice(lo, min(end, lo + 4096))
-                    m = n[other]  # rows of a posting are in the order of their size
-                    ok = (comp[other] != comp[i]) & (n[i] * den >= m * num)
-                    if not ok.any():
-                        continue
-                    j = np.flatnonzero(ok) + lo
-                    differ = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
-                    j = j[differ * (den + num) <= (n[j] + n[i]) * (den - num)]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), ids[i])), pa.array(ids[j])], names=["a", "b"])
-            begin = end
+        sketch = rows.column("sketch").combine_chunks()
+        words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
+        at = np.cumsum(width) - width
+        i, apart = np.arange(len(h)), 0
+        while len(i):  # rows of a posting that are so far apart
+            apart += 1
+            i = i[i + apart < len(h)]
+            i = i[h[i] == h[i + apart]]
+            j = i + apart  # a posting is in the order of size
+            ok = (comp[i] != comp[j]) & (n[i] * den >= n[j] * num)
+            a, b = i[ok], j[ok]
+            ok = unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
+            if ok.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
