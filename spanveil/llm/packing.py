@@ -36,9 +36,13 @@ MERGED_PARTS = 16
 #: A sequence with a smaller gap counts as full.
 FULL_GAP = 16
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 900_000
 _BATCH_CHARS = 2_000_000
-#: A byte-level pre-tokenizer always starts a word at a space before something that isn't white space.
+_LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Texts of these characters fall into the words that the byte-level pre-tokenizer makes of them.
+_PLAIN = re.compile(rf"[\t-\r\x20-\x26\x28-\x7e{_LETTERS}]*\Z")
+_WORDS = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+| ?[!-/:-@\[-`{{-~]+|\s+(?!\S)|\s+")
+#: In any text a word starts at a space before something that isn't white space.
 _SPACE = re.compile(r" (?=\S)")
 
 
@@ -52,24 +56,30 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, text: str) -> list[str]:
+        if _PLAIN.match(text) and not any(x in text for x in self.special):
+            return _WORDS.findall(text)
+        first, *others = _SPACE.split(text)
+        return [first, *(f" {x}" for x in others)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(x) for x in texts]
+        split = [self._words(x) for x in texts]
         if len(self.known) > REMEMBERED:
             self.known = {}
-        new = list(set().union(*(x[1:] for x in split)) - self.known.keys())
-        here = dict(zip(new, self._ids([f" {x}" for x in new]), strict=True))
-        firsts = self._ids([x[0] for x in split])
-        known = {**self.known, **here} if len(here) > len(self.known) else self.known
-        if known is self.known:
-            known.update(here)
-        else:
-            self.known = known
-        return [first + b"".join(map(known.__getitem__, x[1:])) for first, x in zip(firsts, split, strict=True)]
+        known = self.known
+        found = [list(map(known.get, x)) for x in split]
+        lacking = [i for i, x in enumerate(found) if None in x]
+        new = list({word for i in lacking for word, ids in zip(split[i], found[i], strict=True) if ids is None})
+        known.update(zip(new, self._ids(new), strict=True))
+        for i in lacking:
+            found[i] = map(known.__getitem__, split[i])
+        return [b"".join(x) for x in found]
 
 
 @lru_cache(maxsize=2)
