@@ -6,12 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.llm import queries_exact_dedup, queries_mixing, queries_ngram_join, queries_packing, queries_token_counts
+from spanveil.llm import (
+    queries_exact_dedup,
+    queries_language_id,
+    queries_mixing,
+    queries_ngram_join,
+    queries_packing,
+    queries_token_counts,
+    queries_toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": queries_language_id.op1_language_id,
         "op2_mix_sources": queries_mixing.op2_mix_sources,
+        "op3_toxicity": queries_toxicity.op3_toxicity,
         "op4_pack_documents": queries_packing.op4_pack_documents,
         "op5_ngram_join": queries_ngram_join.op5_ngram_join,
         "op8_token_counts": queries_token_counts.op8_token_counts,
