@@ -34,14 +34,14 @@ from spanveil.llm.components import components
 from spanveil.storage import cut
 
 _PART_BYTES = 2_000_000
-#: An n-gram is common when it occurs often in some blocks of text and so many times in these.
-COMMON_IN_BLOCK, COMMON = 4, 32
-#: So many of the most common ones go into a filter of so many bits.
-COMMON_ROWS, COMMON_BITS = 200_000, 1 << 24
+#: An n-gram of so many documents (or, if too many n-grams are, a power of two times that) is common.
+COMMON = 16
+#: The common ones go into a filter of so many bits, and fill an eighth of it at most.
+COMMON_BITS = 1 << 25
 _BLOCK = 4_000_000
 _BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
-#: A sketch has two to four bits for each n-gram, and so many at least.
-SKETCH_BITS = 512
+#: A sketch has one or two bits for each n-gram, and so many at least.
+SKETCH_BITS = 256
 #: Documents are picked for verification by a filter of so many bits, then exactly.
 PICK_BITS = 1 << 23
 #: The order is cut at its leading bits.
@@ -132,20 +132,38 @@ def _body(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def common_ngrams(body: DataFrame, n: int) -> bytes:
-    """A filter (bits by the low bits of the hash) of the most common n-grams of the corpus."""
+def _bitmap(positions: DataFrame, bits: int) -> bytes:
+    """The bits at the ``position`` (from 0) of each row, put together by aggregation."""
+    at = F.col("position") + 1
+    parts = positions.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    filled = {r.part: bytes(r.bits) for r in parts.collect()}
+    return b"".join(filled.get(k + 1, bytes(_BUCKET)) for k in range(bits // 8 // _BUCKET))
+
+
+def _bits(bitmap: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+
+
+def common_ngrams(body: DataFrame, n: int, num: int, den: int) -> bytes:
+    """A filter (bits by the low bits of the hash) of n-grams that many documents have.
+
+    Documents look at the smallest (den - num) / den of their hashes, so the
+    n-grams with hashes up to a little more than that are counted, all of them.
+    """
+    below = _U(int(min(1.0, 1.3 * (den - num) / den) * (1 << 63)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = NgramHasher(n), [], 0
 
         def block() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            some = c >= COMMON_IN_BLOCK
-            return pa.RecordBatch.from_arrays([pa.array(h[some].astype(np.int64)), pa.array(c[some])], names=["h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c, pa.int32())], names=["h", "c"])
 
         for batch in batches:
             for _, part in _parts(batch.column(0)):
-                held.append(_distinct(*hasher(part))[1])
+                text, h = hasher(part)
+                some = h < below
+                held.append(_distinct(text[some], h[some])[1])
                 size += len(held[-1])
                 if size >= _BLOCK:
                     yield block()
@@ -153,11 +171,14 @@ def common_ngrams(body: DataFrame, n: int) -> bytes:
         if held:
             yield block()
 
-    counted = body.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON)
-    rows = counted.orderBy(F.desc("c"), "h").limit(COMMON_ROWS).select("h").toArrow().column("h").to_numpy()
-    bits = np.zeros(COMMON_BITS, bool)
-    bits[rows & (COMMON_BITS - 1)] = True
-    return np.packbits(bits).tobytes()
+    rows = body.select("text").mapInArrow(run, "h long, c int")
+    counted = cut(rows.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON))
+    sizes = {r.k: r["count"] for r in counted.groupBy(F.floor(F.log2(F.col("c") / COMMON)).alias("k")).count().collect()}
+    least = 0
+    while sum(v for k, v in sizes.items() if k >= least) > COMMON_BITS // 8:
+        least += 1
+    chosen = counted.where(F.col("c") >= COMMON << least)
+    return _bitmap(chosen.select(F.pmod("h", F.lit(COMMON_BITS)).alias("position")), COMMON_BITS)
 
 
 class _Ordered:
@@ -165,7 +186,7 @@ class _Ordered:
 
     def __init__(self, n: int, common: bytes):
         self.hasher = NgramHasher(n)
-        self.common = np.unpackbits(np.frombuffer(common, np.uint8)).astype(bool)
+        self.common = _bits(common)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text, h = self.hasher(texts)
@@ -190,7 +211,7 @@ def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> Da
                     sums[1][some] = np.add.reduceat(_mix(m + _U(0x632BE59BD9B4E019)), first[some])
                 take = np.where(size > 0, size - -(-num * size // den) + 1, 0)
                 chosen = np.arange(len(key)) - first[text] < take[text]
-                width = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) * 2 / SKETCH_BITS))).astype(np.int64)
+                width = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / SKETCH_BITS))).astype(np.int64)
                 ends = np.cumsum(width)
                 bit = (ends - width)[text] + ((m >> _U(20)).astype(np.int64) & (width[text] - 1))
                 parity = (np.bincount(bit, minlength=int(ends[-1])) & 1).astype(np.uint8)
@@ -209,20 +230,12 @@ def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> Da
     return body.mapInArrow(run, "id long, n long, d1 long, d2 long, prefix array<long>, sketch array<long>")
 
 
-def _picks(ids: DataFrame) -> bytes:
-    """A filter of PICK_BITS bits by the low bits of the identifiers in ``ids`` (id)."""
-    at = F.pmod("id", F.lit(PICK_BITS)) + 1
-    parts = ids.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
-    filled = {r.part: bytes(r.bits) for r in parts.collect()}
-    return b"".join(filled.get(k + 1, bytes(_BUCKET)) for k in range(PICK_BITS // 8 // _BUCKET))
-
-
 def ngram_fragments(body: DataFrame, n: int, common: bytes, picks: bytes) -> DataFrame:
     """(id, fragment, ngrams): the sets that ``picks`` holds, cut at fixed places of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = _Ordered(n, common)
-        picked = np.unpackbits(np.frombuffer(picks, np.uint8), bitorder="little").astype(bool)
+        picked = _bits(picks)
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
             batch = batch.filter(pa.array(picked[batch.column(0).to_numpy() % PICK_BITS]))
@@ -263,7 +276,7 @@ def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common:
     left, right = (small.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in small.columns]) for x in "ab")
     possible = cut(pairs.join(left, "a").join(right, "b").where(_possible(num, den)).select("a", "b", "n_a", "n_b"))
     needed = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
-    fragments = ngram_fragments(body, n, common, _picks(needed))
+    fragments = ngram_fragments(body, n, common, _bitmap(needed.select(F.pmod("id", F.lit(PICK_BITS)).alias("position")), PICK_BITS))
     cut_pairs = possible.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))).alias("fragment"))
     of_a = fragments.select(F.col("id").alias("a"), "fragment", F.col("ngrams").alias("grams_a"))
     of_b = fragments.select(F.col("id").alias("b"), "fragment", F.col("ngrams").alias("grams_b"))
@@ -333,7 +346,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     smallest id with an equal set, component_id the smallest id reachable by links.
     """
     body = _body(docs, id_col, text)
-    common = common_ngrams(body, n)
+    common = common_ngrams(body, n, num, den)
     sets = cut(ngram_sets(body, n, common, num, den))
     some = sets.where("n > 0 and id is not null")
     classes = some.groupBy("n", "d1", "d2").agg(F.min("id").alias("class_id"))
