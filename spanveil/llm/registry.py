@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from spanveil.llm import (
     queries_exact_dedup,
     queries_language_id,
+    queries_license_scan,
     queries_mixing,
     queries_ngram_join,
     queries_packing,
     queries_token_counts,
+    queries_topk,
     queries_toxicity,
+    queries_warc,
 )
 
 
@@ -24,10 +27,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": queries_toxicity.op3_toxicity,
         "op4_pack_documents": queries_packing.op4_pack_documents,
         "op5_ngram_join": queries_ngram_join.op5_ngram_join,
+        "op6_top_k": queries_topk.op6_top_k,
+        "op7_license_scan": queries_license_scan.op7_license_scan,
         "op8_token_counts": queries_token_counts.op8_token_counts,
         "op9_exact_dedup": queries_exact_dedup.op9_exact_dedup,
+        "op10_warc": queries_warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": queries_exact_dedup.SQL}
+    return {
+        "op6_top_k": queries_topk.SQL,
+        "op7_license_scan": queries_license_scan.SQL,
+        "op9_exact_dedup": queries_exact_dedup.SQL,
+    }
