@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from spanveil.llm.components import components
 from spanveil.storage import cut
 
-_PART_BYTES = 2_000_000
+_PART_BYTES = 1_000_000
 #: An n-gram of so many documents (or, if too many n-grams are, a power of two times that) is common.
 COMMON = 16
 #: The common ones go into a filter of so many bits, and fill an eighth of it at most.
@@ -140,8 +140,9 @@ def _bitmap(positions: DataFrame, bits: int) -> bytes:
     return b"".join(filled.get(k + 1, bytes(_BUCKET)) for k in range(bits // 8 // _BUCKET))
 
 
-def _bits(bitmap: bytes) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
+def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Is the bit at each place set? (Bits stay packed: eight times less memory.)"""
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def common_ngrams(body: DataFrame, n: int, num: int, den: int) -> bytes:
@@ -186,11 +187,11 @@ class _Ordered:
 
     def __init__(self, n: int, common: bytes):
         self.hasher = NgramHasher(n)
-        self.common = _bits(common)
+        self.common = np.frombuffer(common, np.uint8)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text, h = self.hasher(texts)
-        return _distinct(text, np.where(self.common[(h & _U(COMMON_BITS - 1)).astype(np.int64)], h | _TOP, h))
+        return _distinct(text, np.where(_has(self.common, (h & _U(COMMON_BITS - 1)).astype(np.int64)), h | _TOP, h))
 
 
 def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> DataFrame:
@@ -235,10 +236,10 @@ def ngram_fragments(body: DataFrame, n: int, common: bytes, picks: bytes) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = _Ordered(n, common)
-        picked = _bits(picks)
+        picked = np.frombuffer(picks, np.uint8)
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(picked[batch.column(0).to_numpy() % PICK_BITS]))
+            batch = batch.filter(pa.array(_has(picked, batch.column(0).to_numpy() % PICK_BITS)))
             for begin, part in _parts(batch.column(1)):
                 text, key = ordered(part)
                 if not len(text):
