@@ -9,7 +9,7 @@ from spanveil.functions.spans import B0, B1, Rule, context_before
 from spanveil.types import REGEX_PRIORITY
 
 # Shapes of values, and the words that stand before phone numbers or other numbers.
-EMAIL = rf"(?iu){B0}[a-z0-9_%+-]+(?:\s*\.\s*[a-z0-9_%+-]+)*\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\s*\.\s*[a-z]{{2,4}})(?:\s*\.\s*[a-z]{{2}})?{B1}"
+EMAIL = rf"(?iu){B0}[a-z0-9_%+-]+(?:\s*\.\s*[a-z0-9_%+-]+)*\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\.[a-z0-9-]+){{0,4}}(?:\s*\.\s*[a-z]{{2,4}})(?:\s*\.\s*[a-z]{{2}})?{B1}"
 CARD = rf"{B0}(?:4[0-9]{{12}}(?:[0-9]{{3}})?|5[1-5][0-9]{{14}}|6(?:011|5[0-9][0-9])[0-9]{{12}}|3[47][0-9]{{13}}){B1}|{B0}\d{{4}}[-\s]?\d{{4}}[-\s]?\d{{4}}[-\s]?\d{{4}}{B1}"
 IBAN = rf"{B0}[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}{B1}"
 SSN = rf"{B0}\d{{3}}-\d{{2}}-\d{{4}}{B1}"
