@@ -7,9 +7,10 @@ To decide on a candidate pair, the order is cut into fragments: the overlap is
 counted in each fragment separately and summed for the pair.
 
 Documents with equal sets are one class and take part once. Candidates are not
-expanded into all pairs of a posting: first each document meets the smallest one
-of its postings; then only documents that are still in different components meet,
-inside tasks, where a parity sketch rules out most pairs before any row is made.
+expanded into all pairs of a posting: in each of two rounds a document meets one
+other, the document that leads most of its postings; then only documents that are
+still in different components meet, inside tasks, where a parity sketch rules out
+most pairs before any row is made.
 
 Which n-grams count as common only affects the work, never the result; so the
 broadcast filter that holds them has a fixed size.
@@ -38,14 +39,16 @@ _PART_BYTES = 1_000_000
 COMMON = 16
 #: The common ones go into a filter of so many bits, and fill an eighth of it at most.
 COMMON_BITS = 1 << 25
-_BLOCK = 4_000_000
+_BLOCK = 1_000_000
 _BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
 #: A sketch has one or two bits for each n-gram, and so many at least.
 SKETCH_BITS = 256
 #: Documents are picked for verification by a filter of so many bits, then exactly.
 PICK_BITS = 1 << 23
+#: Rounds in which each document meets one other, before all that are still apart meet.
+ROUNDS = 2
 #: The order is cut at its leading bits.
-FRAGMENT_BITS = 4
+FRAGMENT_BITS = 3
 _TOP = np.uint64(1 << 63)
 _U = np.uint64
 
@@ -340,6 +343,16 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     return postings.select("h", "id", "n", "component", "sketch").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
 
 
+def _apart(live: DataFrame, found: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Postings (h, id, component), and those (h, low) that hold several components; low leads the posting."""
+    if found is None:
+        placed = live.select("h", "id", F.col("id").alias("component"))
+    else:
+        placed = live.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
+    ends = placed.groupBy("h").agg(F.min(F.struct("component", "id")).alias("low"), F.max("component").alias("high"))
+    return placed, ends.where("low.component < high").select("h", "low")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_ngrams, class_id, component_id) for each row of ``docs``.
 
@@ -354,14 +367,19 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     classes = cut(classes)
     chosen = some.join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
     postings = chosen.select(F.explode("prefix").alias("h"), "id")
-    shared = postings.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low")
+    shared = postings.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h")
     live = cut(postings.join(shared, "h"))
-    stars = live.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    found = cut(components(edges))
-    placed = live.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    rest = placed.join(mixed, "h", "left_semi").join(sets.select("id", "n", "sketch"), "id")
+    edges, found = None, None
+    for _ in range(ROUNDS):
+        placed, mixed = _apart(live, found)
+        # of the documents that lead its postings a document meets the one that leads most of them
+        meets = placed.join(mixed, "h").where("component <> low.component").select(F.col("id").alias("a"), F.col("low.id").alias("b"))
+        meets = meets.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).groupBy("a").agg(F.max(F.struct("times", (-F.col("b")).alias("b"))).alias("best"))
+        new = verified(meets.select("a", (-F.col("best.b")).alias("b")), sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        edges = cut(new if edges is None else edges.unionByName(new))
+        found = cut(components(edges))
+    placed, mixed = _apart(live, found)
+    rest = placed.join(mixed.select("h"), "h", "left_semi").join(sets.select("id", "n", "sketch"), "id")
     more = verified(_meetings(rest, num, den), sets, body, n, common, num, den)
     every = components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
