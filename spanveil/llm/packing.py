@@ -36,7 +36,7 @@ MERGED_PARTS = 16
 #: A sequence with a smaller gap counts as full.
 FULL_GAP = 16
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 900_000
+REMEMBERED = 350_000
 _BATCH_CHARS = 2_000_000
 _LETTERS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: Texts of these characters fall into the words that the byte-level pre-tokenizer makes of them.
