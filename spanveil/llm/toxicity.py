@@ -147,7 +147,7 @@ def _sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_toxic"))
     rows = docs.where(learn).select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("_order"))
     chosen = rows.join(marks, "doc_id").orderBy("_order").limit(SAMPLE).select(F.col("doc_id").alias("_id"), "_toxic")
-    found = docs.where(learn).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "_id")
+    found = docs.where(learn).select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")  # SAMPLE rows of two numbers
     found = found.groupBy("text").agg(F.max("_toxic").alias("toxic"))
     return found.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
 
