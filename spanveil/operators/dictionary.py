@@ -9,8 +9,6 @@ from spanveil.functions.spans import matches, shadow_of, staged
 
 #: A tier that claims a term keeps it; earlier tiers first.
 TIERS = ("enterprise", "custom", "industry", "user", "team", "org")
-# Terms that are known without a dictionary of one's own.
-SEEDS = (("TrackPricely", "PROJECT_CODENAME"), ("MOAA", "ORGANIZATION"), ("RIA", "ORGANIZATION"), ("ABSS", "ORGANIZATION"), ("SentryMask", "REPOSITORY"), ("SentinelMask", "REPOSITORY"))
 # Domain packs and their terms.
 PACKS = {
     "HEALTHCARE_PHI": ("MEDICAL_RECORD", ("Protected Health Information", "Electronic Health Record", "ICD-10-CM", "HIPAA Identifier", "Medical Record Number", "MRN Patient", "Clinical Trial Subject", "Prescription Rx Number", "Patient History Record")),
@@ -27,9 +25,9 @@ def words_key(text: Column) -> Column:
     return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), " "))
 
 
-def pack_terms(spark, enabled: tuple[str, ...] = tuple(PACKS)) -> DataFrame:
-    """(term, entity_type, tier, pack_id) of the seeds and the enabled packs."""
-    rows = [(term, kind, "enterprise", None) for term, kind in SEEDS]
+def pack_terms(spark, enabled: tuple[str, ...] = tuple(PACKS), own: tuple[tuple[str, str], ...] = ()) -> DataFrame:
+    """(term, entity_type, tier, pack_id) of one's own terms (term, type) and the enabled packs."""
+    rows = [(term, kind, "enterprise", None) for term, kind in own]
     rows += [(term, PACKS[pack][0], "industry", pack) for pack in enabled for term in PACKS[pack][1]]
     return spark.createDataFrame(rows, "term string, entity_type string, tier string, pack_id string")
 
