@@ -9,7 +9,8 @@ counted in each fragment separately and summed for the pair.
 Documents with equal sets are one class and take part once. Candidates are not
 expanded into all pairs of a posting: first each document meets the smallest one
 of its postings; then only documents that are still in different components meet,
-inside tasks, where a parity sketch rules out most pairs before any row is made.
+inside tasks (block by block, if a posting is large), where a parity sketch rules
+out most pairs before any row is made.
 
 Which n-grams count as common only affects the work, never the result; so the
 broadcast filter that holds them has a fixed size.
@@ -23,6 +24,7 @@ rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +42,8 @@ COMMON = 16
 COMMON_BITS = 1 << 25
 _BLOCK = 4_000_000
 _BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
+#: Postings of more documents are cut into blocks of about so many.
+POSTING_ROWS = 512
 #: A sketch has one or two bits for each n-gram, and so many at least.
 SKETCH_BITS = 256
 #: Documents are picked for verification by a filter of so many bits, then exactly.
@@ -150,11 +154,49 @@ def common_ngrams(body: DataFrame, n: int, num: int, den: int) -> bytes:
 
     Documents look at the smallest (den - num) / den of their hashes, so the
     n-grams with hashes up to a little more than that are counted, all of them.
+    Common ones come last, so that some documents then look beyond that bound:
+    it is doubled, and those documents' n-grams up to it are counted, until no
+    document looks beyond it. So each n-gram is counted in all sets it can lead.
     """
-    below = _U(int(min(1.0, 1.3 * (den - num) / den) * (1 << 63)))
+    low, high = 0, int(min(1.0, 1.3 * (den - num) / den) * (1 << 63))
+    common, room = bytes(COMMON_BITS // 8), COMMON_BITS // 8
+    while True:
+        found, bits = _common_between(body, n, num, den, common, low, high, room // 2)
+        room -= bits
+        common = (np.frombuffer(common, np.uint8) | np.frombuffer(found, np.uint8)).tobytes()
+        if high >= 1 << 63 or not _look_beyond(body, n, num, den, common, high):
+            return common
+        low, high = high, min(2 * high, 1 << 63)
 
+
+def _take(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """So many n-grams of a set lead it."""
+    return np.where(size > 0, size - -(-num * size // den) + 1, 0)
+
+
+def _beyond(text: np.ndarray, key: np.ndarray, texts: int, num: int, den: int, bound: int) -> np.ndarray:
+    """Texts that are led by n-grams other than the uncommon ones below ``bound``, and have more of those."""
+    inside = np.bincount(text[key < _U(bound)], minlength=texts)
+    more = np.bincount(text[(key >= _U(bound)) & (key < _TOP)], minlength=texts)
+    return (inside < _take(np.bincount(text, minlength=texts), num, den)) & (more > 0)
+
+
+def _look_beyond(body: DataFrame, n: int, num: int, den: int, common: bytes, bound: int) -> bool:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = NgramHasher(n), [], 0
+        ordered, found = _Ordered(n, common), 0
+        for batch in batches:
+            for _, part in _parts(batch.column(0)):
+                found += int(_beyond(*ordered(part), len(part), num, den, bound).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["found"])
+
+    return (body.select("text").mapInArrow(run, "found long").agg(F.sum("found")).first()[0] or 0) >= COMMON
+
+
+def _common_between(body: DataFrame, n: int, num: int, den: int, common: bytes, low: int, high: int, room: int) -> tuple[bytes, int]:
+    """The filter of n-grams with hashes from ``low`` that lead many documents, and their number (``room`` at most)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, size = (_Ordered(n, common) if low else NgramHasher(n)), [], 0
 
         def block() -> pa.RecordBatch:
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -163,7 +205,9 @@ def common_ngrams(body: DataFrame, n: int, num: int, den: int) -> bytes:
         for batch in batches:
             for _, part in _parts(batch.column(0)):
                 text, h = hasher(part)
-                some = h < below
+                some = (h >= _U(low)) & (h < _U(high))
+                if low:
+                    some &= _beyond(text, h, len(part), num, den, low)[text]
                 held.append(_distinct(text[some], h[some])[1])
                 size += len(held[-1])
                 if size >= _BLOCK:
@@ -176,10 +220,11 @@ def common_ngrams(body: DataFrame, n: int, num: int, den: int) -> bytes:
     counted = cut(rows.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON))
     sizes = {r.k: r["count"] for r in counted.groupBy(F.floor(F.log2(F.col("c") / COMMON)).alias("k")).count().collect()}
     least = 0
-    while sum(v for k, v in sizes.items() if k >= least) > COMMON_BITS // 8:
+    while sum(v for k, v in sizes.items() if k >= least) > room:
         least += 1
     chosen = counted.where(F.col("c") >= COMMON << least)
-    return _bitmap(chosen.select(F.pmod("h", F.lit(COMMON_BITS)).alias("position")), COMMON_BITS)
+    found = _bitmap(chosen.select(F.pmod("h", F.lit(COMMON_BITS)).alias("position")), COMMON_BITS)
+    return found, sum(v for k, v in sizes.items() if k >= least)
 
 
 class _Ordered:
@@ -210,7 +255,7 @@ def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> Da
                 if len(some):
                     sums[0][some] = np.add.reduceat(m, first[some])
                     sums[1][some] = np.add.reduceat(_mix(m + _U(0x632BE59BD9B4E019)), first[some])
-                take = np.where(size > 0, size - -(-num * size // den) + 1, 0)
+                take = _take(size, num, den)
                 chosen = np.arange(len(key)) - first[text] < take[text]
                 width = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / SKETCH_BITS))).astype(np.int64)
                 ends = np.cumsum(width)
@@ -287,21 +332,23 @@ def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common:
     return overlap.where((F.col("overlap") * den) >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
 
 
+def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches of i and j differ; the sketch of j is as wide or folded once."""
+    out = np.zeros(len(i), np.int64)
+    for w in np.unique(width[i]).tolist():
+        for times in (1, 2):
+            all_of = np.flatnonzero((width[i] == w) & (width[j] == w * times))
+            for k in range(0, len(all_of), step := max(1, 4_000_000 // w)):
+                some, column = all_of[k : k + step], np.arange(w)
+                x = words[at[i[some], None] + column] ^ words[at[j[some], None] + column]
+                if times == 2:
+                    x ^= words[at[j[some], None] + w + column]
+                out[some] = np.bitwise_count(x).sum(1, dtype=np.int64)
+    return out
+
+
 def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of documents of one posting that are in different components and may reach the threshold."""
-    def unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Bits in which the sketches of i and j differ; the sketch of j is as wide or folded once."""
-        out = np.zeros(len(i), np.int64)
-        for w in np.unique(width[i]).tolist():
-            for times in (1, 2):
-                all_of = np.flatnonzero((width[i] == w) & (width[j] == w * times))
-                for k in range(0, len(all_of), step := max(1, 4_000_000 // w)):
-                    some, column = all_of[k : k + step], np.arange(w)
-                    x = words[at[i[some], None] + column] ^ words[at[j[some], None] + column]
-                    if times == 2:
-                        x ^= words[at[j[some], None] + w + column]
-                    out[some] = np.bitwise_count(x).sum(1, dtype=np.int64)
-        return out
+    """(a, b) of documents of one small posting that are in different components and may reach the threshold."""
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h, ids, n, comp = (rows.column(c).to_numpy() for c in ("h", "id", "n", "component"))
@@ -316,7 +363,7 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
             j = i + apart  # a posting is in the order of size
             ok = (comp[i] != comp[j]) & (n[i] * den >= n[j] * num)
             a, b = i[ok], j[ok]
-            ok = unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
+            ok = _unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
 
@@ -337,7 +384,52 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return postings.select("h", "id", "n", "component", "sketch").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long").distinct()
+    return postings.select("h", "id", "n", "component", "sketch").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long")
+
+
+def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) as of _meetings from large postings, none of which is one task.
+
+    A posting is cut into classes of size, of which only equal and neighbouring
+    ones hold sets that may reach the threshold, and these into blocks; pairs of
+    blocks meet in an equi join, each in a row of its own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same = batch.column(0)[row].as_py()
+                sides = [batch.column(c).slice(row, 1).flatten() for c in (1, 2)]
+                both, first = pa.concat_arrays(sides), len(sides[0])
+                ids, n, comp = (both.field(c).to_numpy() for c in range(3))
+                sketch = both.field(3)
+                words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
+                at = np.cumsum(width) - width
+                for k in range(0, first, 64):
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(k, min(k + 64, first)), np.arange(first, len(n)), indexing="ij"))
+                    low = n[i] <= n[j]
+                    ok = (comp[i] != comp[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+                    if same:
+                        ok &= j - first > i
+                    a, b = np.where(low, i, j)[ok], np.where(low, j, i)[ok]
+                    ok = _unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
+                    if ok.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
+
+    step = 1.001 * max(math.log(den / num), 0.01)
+    rows = cut(postings.select("h", "id", "n", "component", "sketch", F.floor(F.log("n") / step).alias("size")))
+    slots = cut(rows.groupBy("h", "size").agg(F.ceil(F.count(F.lit(1)) / POSTING_ROWS).alias("slots")))
+    placed = rows.join(slots, ["h", "size"]).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")))
+    blocks = cut(placed.groupBy("h", "size", "slot").agg(F.collect_list(F.struct("id", "n", "component", "sketch")).alias("found")))
+    of_a, of_b = (slots.select("h", F.col("size").alias(f"size_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
+    near = of_a.select("*", F.explode(F.array("size_a", F.col("size_a") + 1)).alias("size_b")).join(of_b, ["h", "size_b"])
+    for x in "ab":
+        near = near.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"slots_{x}") - 1)).alias(f"slot_{x}"))
+    tiles = near.where("size_a < size_b or slot_a <= slot_b")
+    for x in "ab":
+        side = blocks.select("h", F.col("size").alias(f"size_{x}"), F.col("slot").alias(f"slot_{x}"), F.col("found").alias(f"found_{x}"))
+        tiles = tiles.join(side, ["h", f"size_{x}", f"slot_{x}"])
+    return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b").mapInArrow(run, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,10 +451,19 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     stars = live.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
     edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
     found = cut(components(edges))
-    placed = live.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-    rest = placed.join(mixed, "h", "left_semi").join(sets.select("id", "n", "sketch"), "id")
-    more = verified(_meetings(rest, num, den), sets, body, n, common, num, den)
+    large = cut(live.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > POSTING_ROWS).select("h"))
+
+    def apart(postings: DataFrame) -> DataFrame:
+        placed = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
+        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
+        return placed.join(mixed, "h", "left_semi").join(sets.select("id", "n", "sketch"), "id")
+
+    if large.isEmpty():
+        meetings = _meetings(apart(live), num, den)
+    else:  # a row for each POSTING_ROWS rows of postings at most
+        some, others = (live.join(F.broadcast(large), "h", kind) for kind in ("left_semi", "left_anti"))
+        meetings = _meetings(apart(others), num, den).unionByName(_block_meetings(apart(some), num, den))
+    more = verified(meetings.distinct(), sets, body, n, common, num, den)
     every = components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = own.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))

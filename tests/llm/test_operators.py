@@ -221,6 +221,37 @@ def test_ngram_join_against_all_pairs(spark, n, num):
     assert {r.doc_id: (r.n_ngrams, r.component_id) for r in found.collect()} == helpers.linked(rows, n, num, 100)
 
 
+@pytest.mark.parametrize("rows", [3, 10])
+def test_ngram_join_large_postings(spark, monkeypatch, rows):
+    """A passage in all documents; with tiny blocks every pair still meets."""
+    from spanveil.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "POSTING_ROWS", rows)
+    met = []
+    monkeypatch.setattr(ngram_join, "_block_meetings", lambda *a, f=ngram_join._block_meetings: met.append(1) or f(*a))
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    own = [[f"w{rng.randint(0, 999)}" for _ in range(rng.choice([8, 10, 14, 20]))] for _ in range(20)]
+    texts = [" ".join(passage[: 60 - rng.randint(0, 3)] + own[k % 20] + [f"x{k}"] * (k % 3)) for k in range(80)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for num in (80, 90):
+        out = {r.doc_id: (r.n_ngrams, r.component_id) for r in ngram_components(table, 3, num, 100).collect()}
+        assert out == helpers.linked(list(enumerate(texts)), 3, num, 100)
+    assert met
+
+
+def test_common_ngrams_that_lead_after_reordering(spark):
+    """Half of each document is one passage, so that documents look beyond the first bound."""
+    from spanveil.llm import ngram_join
+
+    passage = " ".join(f"p{k}" for k in range(300))
+    texts = [passage + " " + " ".join(f"w{i}.{k}" for k in range(300)) for i in range(40)]
+    body = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    common = ngram_join.common_ngrams(body, 5, 80, 100)
+    prefixes = ngram_join.ngram_sets(body, 5, common, 80, 100).select(F.explode("prefix").alias("h"))
+    assert prefixes.groupBy("h").count().where(F.col("count") >= ngram_join.COMMON).count() == 0
+
+
 def test_ngram_join_odd_rows(odd):
     out = ngram_components(odd).collect()
     assert len(out) == odd.count() and all(r.component_id is None for r in out if r.doc_id is None)
