@@ -5,12 +5,14 @@ whole sequence (the first piece takes what is left over), and only lengths
 travel on. Pieces are dealt to parts of bounded size by a hash; in a part they
 are placed longest first, each into the open sequence (or a new one) that makes
 the sum of squared counts of open sequences per residual gap smallest. Sequences
-that are nearly full are done; the pieces of the others are dealt anew to a
-sixteenth of the parts and placed again, until one part is left.
+that are nearly full are done; the pieces of the others are dealt anew to as many
+parts as they need and placed again, until one part is left. When that leaves more
+than half of the pieces, sequences that no waiting piece fits are done as well, and
+when it still does, all are: more levels would place the same lengths anew.
 
 Defined cases: a null or empty text is the end token alone; a null id stays null;
 repeated rows are packed each; a text of any length is tokenised whole; among
-pieces of one length the order is by a hash of id and piece; an empty table gives
+pieces of one length the order is by a hash of id, piece and the row's place; an empty table gives
 no rows; other columns are not read.
 """
 
@@ -30,9 +32,8 @@ from pyspark.sql import functions as F
 
 from spanveil.storage import cut
 
-#: Pieces in a part, about; and parts that are merged for the next level.
+#: Pieces in a part, about.
 PART_PIECES = 60_000
-MERGED_PARTS = 16
 #: A sequence with a smaller gap counts as full.
 FULL_GAP = 16
 #: Distinct words whose ids a task remembers.
@@ -162,34 +163,39 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, n
 def pack(pieces: DataFrame, capacity: int = 2048, length: str = "length", keys: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """``pieces`` with sequence_id and offset; no length may exceed ``capacity``."""
     row = F.struct(*[F.col(c) for c in pieces.columns])
-    waiting = cut(pieces.select(row.alias("row"), F.col(length).cast("long").alias("length"), F.xxhash64(*keys).alias("deal")))
-    parts = max(1, -(-waiting.count() // PART_PIECES))
-    done, level = None, 0
+    deal = F.xxhash64(*keys, F.monotonically_increasing_id())  # rows without a key or with the same one are dealt out, too
+    waiting = cut(pieces.select(row.alias("row"), F.col(length).cast("long").alias("length"), deal.alias("deal")))
+    done, level, count = None, 0, waiting.count()
     while True:
-        last = parts == 1
+        parts = max(1, -(-count // PART_PIECES))
 
-        def run(batches: Iterator[pa.RecordBatch], level: int = level, last: bool = last) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
             found = list(batches)
             if not found:
                 return
             rows = pa.Table.from_batches(found)
             sequence, offset, gaps = place(rows.column("length").to_numpy(), capacity)
-            full = np.ones(len(sequence), bool) if last else gaps[sequence] < FULL_GAP
             ids = sequence + (level << 56) + (TaskContext.get().partitionId() << 32)
-            for name, values in (("sequence_id", ids), ("offset", offset), ("full", full)):
+            for name, values in (("sequence_id", ids), ("offset", offset), ("gap", gaps[sequence])):
                 rows = rows.append_column(name, pa.array(values))
             yield from rows.to_batches(max_chunksize=10_000)
 
         dealt = waiting.repartition(parts, "deal").sortWithinPartitions(F.desc("length"), "deal")
-        placed = dealt.mapInArrow(run, f"{_ddl(waiting)}, sequence_id long, offset long, full boolean")
-        if last:
+        placed = dealt.mapInArrow(run, f"{_ddl(waiting)}, sequence_id long, offset long, gap long")
+        left = 0
+        if parts > 1:
+            placed, bound = cut(placed), FULL_GAP
+            left, least = placed.where(F.col("gap") >= bound).agg(F.count(F.lit(1)), F.min("length")).first()
+            if 2 * left > count and least > bound:
+                bound = least
+                left = placed.where(F.col("gap") >= bound).count()
+        if not left or 2 * left > count:
             final = placed if done is None else done.unionByName(placed)
             return final.select("row.*", "sequence_id", "offset")
-        placed = cut(placed)
-        closed = placed.where("full")
+        closed = placed.where(F.col("gap") < bound)
         done = closed if done is None else done.unionByName(closed)
-        waiting = placed.where("not full").select("row", "length", "deal")
-        parts, level = -(-parts // MERGED_PARTS), level + 1
+        waiting = placed.where(F.col("gap") >= bound).select("row", "length", "deal")
+        count, level = left, level + 1
 
 
 def _ddl(df: DataFrame) -> str:

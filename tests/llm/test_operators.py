@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -198,6 +199,29 @@ def test_place_minimises_squares():
     assert gaps.tolist() == [at[b] for b in range(len(gaps))]
 
 
+def test_pack_no_part_is_large(spark, monkeypatch):
+    """Pieces of which no two fit, most of them without an id."""
+    from spanveil.llm import packing
+
+    f = packing.place
+
+    def counted(lengths, capacity):
+        assert len(lengths) <= 250
+        return f(lengths, capacity)
+
+    monkeypatch.setattr(packing, "PART_PIECES", 100)
+    monkeypatch.setattr(packing, "place", counted)
+    rng = random.Random(2)
+    for some in (0, 5):
+        rows = [(None if k % 3 else k, 0, rng.randint(1100, 1900)) for k in range(2000)] + [(k, 1, 30) for k in range(some)]
+        out = pack(spark.createDataFrame(rows, "doc_id long, piece int, length long")).collect()
+        assert sorted((r.doc_id or -1, r.length) for r in out) == sorted((i or -1, n) for i, _, n in rows)
+        sums = Counter()
+        for r in out:
+            sums[r.sequence_id] += r.length
+        assert max(sums.values()) <= 2048 and len(sums) <= 2000 + some
+
+
 def test_pack_empty(spark):
     assert pack(spark.createDataFrame([], "doc_id long, piece int, length long")).count() == 0
 
