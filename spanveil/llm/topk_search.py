@@ -106,6 +106,7 @@ def _tiles(pairs: DataFrame, k: int, phase: int) -> DataFrame:
                         chosen = (partial >= share[None, :, None]).any(0) & (total >= least[some][:, None])
                         if np.abs(partial).max(initial=0) >= 2**60:
                             chosen = total >= least[some][:, None]
+                        chosen[least[some] == _LOWEST] = True  # no cutoff: its share would leave 64 bits
                     chosen &= ids[None, :] != query[some][:, None]
                     for i in np.flatnonzero(chosen.any(1)):
                         j = np.flatnonzero(chosen[i])

@@ -297,6 +297,16 @@ def test_top_k_odd_vectors(spark):
     assert top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_fewer_candidates(spark, tmp_path):
+    for size in (2, 4, 6, 8):
+        rows = [(50 * k if k < 2 else k, [float(k), -1.5 * k, 2.0, 0.5 * k, 1.0]) for k in range(size)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        helpers.saved(table.coalesce(1), tmp_path / str(size), "embeddings")
+        got = top_k(table, F.col("vec_id") % 50 == 0, k=5).toPandas()
+        same(got, duck_rows(queries_topk.SQL, embeddings=f"{tmp_path}/{size}/embeddings.parquet/*.parquet"))
+        assert len(got) == 2 * min(5, size - 1)
+
+
 # licences
 
 
