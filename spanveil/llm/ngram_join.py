@@ -277,7 +277,7 @@ def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> Da
 
 
 def ngram_fragments(body: DataFrame, n: int, common: bytes, picks: bytes) -> DataFrame:
-    """(id, fragment, ngrams): the sets that ``picks`` holds, cut at fixed places of the global order."""
+    """(id, d1, fragment, ngrams): the sets that ``picks`` holds, each once, cut at fixed places of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ordered = _Ordered(n, common)
@@ -291,12 +291,14 @@ def ngram_fragments(body: DataFrame, n: int, common: bytes, picks: bytes) -> Dat
                     continue
                 cell = (text << FRAGMENT_BITS) | (key >> _U(64 - FRAGMENT_BITS)).astype(np.int64)
                 at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+                digest = np.repeat(np.add.reduceat(_mix(key), begins), np.diff(np.append(begins, len(text))))[at]
                 ids = batch.column(0).slice(begin, len(part)).take(pa.array(text[at]))
                 fragment = pa.array(cell[at] & ((1 << FRAGMENT_BITS) - 1), pa.int32())
                 grams = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, fragment, grams], names=["id", "fragment", "ngrams"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(digest.view(np.int64)), fragment, grams], names=["id", "d1", "fragment", "ngrams"])
 
-    return body.mapInArrow(run, "id long, fragment int, ngrams array<long>")
+    return body.mapInArrow(run, "id long, d1 long, fragment int, ngrams array<long>").dropDuplicates(["id", "d1", "fragment"])
 
 
 def _possible(num: int, den: int):
@@ -317,19 +319,19 @@ def _possible(num: int, den: int):
 
 
 def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common: bytes, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that reach the threshold, from overlaps summed over fragments."""
-    small = sets.select("id", "n", "sketch")
+    """The (a, b) of ``pairs`` (a, d1_a, b, d1_b) that reach the threshold, from overlaps summed over fragments."""
+    small = sets.select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"])
     left, right = (small.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in small.columns]) for x in "ab")
-    possible = cut(pairs.join(left, "a").join(right, "b").where(_possible(num, den)).select("a", "b", "n_a", "n_b"))
+    pair = ["a", "d1_a", "b", "d1_b"]
+    possible = cut(pairs.join(left, ["a", "d1_a"]).join(right, ["b", "d1_b"]).where(_possible(num, den)).select(*pair, "n_a", "n_b"))
     needed = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
     fragments = ngram_fragments(body, n, common, _bitmap(needed.select(F.pmod("id", F.lit(PICK_BITS)).alias("position")), PICK_BITS))
     cut_pairs = possible.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))).alias("fragment"))
-    of_a = fragments.select(F.col("id").alias("a"), "fragment", F.col("ngrams").alias("grams_a"))
-    of_b = fragments.select(F.col("id").alias("b"), "fragment", F.col("ngrams").alias("grams_b"))
-    met = cut_pairs.join(of_a, ["a", "fragment"]).join(of_b, ["b", "fragment"])
-    partial = met.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
-    overlap = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
-    return overlap.where((F.col("overlap") * den) >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b")
+    of_a, of_b = (fragments.select(F.col("id").alias(x), F.col("d1").alias(f"d1_{x}"), "fragment", F.col("ngrams").alias(f"grams_{x}")) for x in "ab")
+    met = cut_pairs.join(of_a, ["a", "d1_a", "fragment"]).join(of_b, ["b", "d1_b", "fragment"])
+    partial = met.select(*pair, "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+    overlap = partial.groupBy(*pair, "n_a", "n_b").agg(F.sum("part").alias("overlap"))
+    return overlap.where((F.col("overlap") * den) >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b").distinct()
 
 
 def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -347,11 +349,18 @@ def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray,
     return out
 
 
+_PAIR = "a long, d1_a long, b long, d1_b long"
+
+
+def _pair(ids: np.ndarray, d1: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], d1[a], ids[b], d1[b])], names=["a", "d1_a", "b", "d1_b"])
+
+
 def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) of documents of one small posting that are in different components and may reach the threshold."""
+    """(a, d1_a, b, d1_b) of documents of one small posting that are in different components and may reach the threshold."""
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, ids, n, comp = (rows.column(c).to_numpy() for c in ("h", "id", "n", "component"))
+        h, ids, d1, n, comp = (rows.column(c).to_numpy() for c in ("h", "id", "d1", "n", "component"))
         sketch = rows.column("sketch").combine_chunks()
         words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
         at = np.cumsum(width) - width
@@ -365,7 +374,7 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
             a, b = i[ok], j[ok]
             ok = _unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
+                yield _pair(ids, d1, a[ok], b[ok])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -384,11 +393,11 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return postings.select("h", "id", "n", "component", "sketch").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, "a long, b long")
+    return postings.select("h", "id", "d1", "n", "component", "sketch").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, _PAIR)
 
 
 def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) as of _meetings from large postings, none of which is one task.
+    """(a, d1_a, b, d1_b) as of _meetings from large postings, none of which is one task.
 
     A posting is cut into classes of size, of which only equal and neighbouring
     ones hold sets that may reach the threshold, and these into blocks; pairs of
@@ -401,8 +410,8 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
                 same = batch.column(0)[row].as_py()
                 sides = [batch.column(c).slice(row, 1).flatten() for c in (1, 2)]
                 both, first = pa.concat_arrays(sides), len(sides[0])
-                ids, n, comp = (both.field(c).to_numpy() for c in range(3))
-                sketch = both.field(3)
+                ids, d1, n, comp = (both.field(c).to_numpy() for c in range(4))
+                sketch = both.field(4)
                 words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
                 at = np.cumsum(width) - width
                 for k in range(0, first, 64):
@@ -414,13 +423,13 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
                     a, b = np.where(low, i, j)[ok], np.where(low, j, i)[ok]
                     ok = _unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
                     if ok.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], names=["a", "b"])
+                        yield _pair(ids, d1, a[ok], b[ok])
 
     step = 1.001 * max(math.log(den / num), 0.01)
-    rows = cut(postings.select("h", "id", "n", "component", "sketch", F.floor(F.log("n") / step).alias("size")))
+    rows = cut(postings.select("h", "id", "d1", "n", "component", "sketch", F.floor(F.log("n") / step).alias("size")))
     slots = cut(rows.groupBy("h", "size").agg(F.ceil(F.count(F.lit(1)) / POSTING_ROWS).alias("slots")))
-    placed = rows.join(slots, ["h", "size"]).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")))
-    blocks = cut(placed.groupBy("h", "size", "slot").agg(F.collect_list(F.struct("id", "n", "component", "sketch")).alias("found")))
+    placed = rows.join(slots, ["h", "size"]).withColumn("slot", F.pmod(F.xxhash64("id", "d1"), F.col("slots")))
+    blocks = cut(placed.groupBy("h", "size", "slot").agg(F.collect_list(F.struct("id", "d1", "n", "component", "sketch")).alias("found")))
     of_a, of_b = (slots.select("h", F.col("size").alias(f"size_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
     near = of_a.select("*", F.explode(F.array("size_a", F.col("size_a") + 1)).alias("size_b")).join(of_b, ["h", "size_b"])
     for x in "ab":
@@ -429,7 +438,7 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     for x in "ab":
         side = blocks.select("h", F.col("size").alias(f"size_{x}"), F.col("slot").alias(f"slot_{x}"), F.col("found").alias(f"found_{x}"))
         tiles = tiles.join(side, ["h", f"size_{x}", f"slot_{x}"])
-    return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b").mapInArrow(run, "a long, b long")
+    return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b").mapInArrow(run, _PAIR)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -444,19 +453,25 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     some = sets.where("n > 0 and id is not null")
     classes = some.groupBy("n", "d1", "d2").agg(F.min("id").alias("class_id"))
     classes = cut(classes)
-    chosen = some.join(classes.select(F.col("class_id").alias("id")).distinct(), "id", "left_semi")
-    postings = chosen.select(F.explode("prefix").alias("h"), "id")
-    shared = postings.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("h", "low")
+    # an id with several sets is one vertex: its classes are linked with it
+    sets_of = sets.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("low"), F.max(F.struct("n", "d1", "d2")).alias("high"))
+    several = cut(sets_of.where("low <> high").select("id"))
+    ties = some.join(several, "id", "left_semi").select("id", "n", "d1", "d2").distinct().join(classes, ["n", "d1", "d2"])
+    ties = cut(ties.where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v")))
+    unique = some.select("id", "d1", "prefix").dropDuplicates(["id", "d1"])
+    chosen = unique.join(classes.select(F.col("class_id").alias("id"), "d1"), ["id", "d1"], "left_semi")
+    postings = chosen.select(F.explode("prefix").alias("h"), "id", "d1")
+    shared = postings.groupBy("h").agg(F.min(F.struct("id", "d1")).alias("low"), F.max("id").alias("high")).where("low.id < high").select("h", "low")
     live = cut(postings.join(shared, "h"))
-    stars = live.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()
-    edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    stars = live.where("id <> low.id").select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("low.id").alias("b"), F.col("low.d1").alias("d1_b")).distinct()
+    edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(ties))
     found = cut(components(edges))
     large = cut(live.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > POSTING_ROWS).select("h"))
 
     def apart(postings: DataFrame) -> DataFrame:
-        placed = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
+        placed = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
         mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        return placed.join(mixed, "h", "left_semi").join(sets.select("id", "n", "sketch"), "id")
+        return placed.join(mixed, "h", "left_semi").join(sets.select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"]), ["id", "d1"])
 
     if large.isEmpty():
         meetings = _meetings(apart(live), num, den)
@@ -464,16 +479,17 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
         some, others = (live.join(F.broadcast(large), "h", kind) for kind in ("left_semi", "left_anti"))
         meetings = _meetings(apart(others), num, den).unionByName(_block_meetings(apart(some), num, den))
     more = verified(meetings.distinct(), sets, body, n, common, num, den)
-    every = components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    every = cut(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))))
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = own.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sets.select("id", "n", "d1", "d2").join(own, ["n", "d1", "d2"], "left")
+    vertices = several.join(every.select(F.col("node").alias("id"), F.col("component").alias("of_id")), "id")
+    out = sets.select("id", "n", "d1", "d2").join(own, ["n", "d1", "d2"], "left").join(vertices, "id", "left")
     alone = F.col("n") == 0
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_ngrams"),
         F.when(alone, F.col("id")).when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"),
-        F.when(alone, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
+        F.coalesce("of_id", F.when(alone, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id"))).alias("component_id"),
     )
 
 

@@ -264,6 +264,25 @@ def test_ngram_join_large_postings(spark, monkeypatch, rows):
     assert met
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Repeated rows count once, and an id with several texts is one vertex: against all pairs, some just below the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 40, 2):
+        words = [f"w{k}.{i}" for i in range(204)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join(words[:182] + [f"v{k}.{i}" for i in range(22 + rng.randint(-2, 2))]))]
+    rows += [*rows, *rows[::3], (0, rows[5][1]), (9, rows[20][1]), (100, rows[0][1]), (100, rows[30][1]), (12, ""), (12, rows[3][1])]
+    sets = [(i, helpers.ngrams(t, 5)) for i, t in rows]
+    root = {i: i for i, _ in sets}
+    for a, x in sets:
+        for b, y in sets:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    out = ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80, 100).collect()
+    assert len(out) == len(rows) and {(r.doc_id, r.component_id) for r in out} == set(root.items())
+
+
 def test_common_ngrams_that_lead_after_reordering(spark):
     """Half of each document is one passage, so that documents look beyond the first bound."""
     from spanveil.llm import ngram_join
