@@ -17,7 +17,7 @@ from spanveil.llm.ngram_join import keep_representatives
 from spanveil.llm.packing import pack_documents
 from spanveil.llm.queries_toxicity import THRESHOLD, held_out
 from spanveil.llm.toxicity import learn_lexicon, reject_toxic
-from spanveil.storage import shared_dir, table
+from spanveil.storage import remove, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over ``documents``."""
+    """The rows of the last stage over ``documents``; what a stage has read is deleted after it."""
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
