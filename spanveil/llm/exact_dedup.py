@@ -1,113 +1,132 @@
 """Exact deduplication with a log-structured merge index of digests.
 
-The index is a set of sorted runs. Each batch of documents is flushed as one run:
-its (digest, smallest or largest identifier, count) rows, combined on the map
-side, ordered by digest and written as Parquet with a Bloom filter on the digest,
-so that a lookup by digest skips row groups. ``compact`` merges the runs of any
-number of batches into one, keeping one identifier for a digest. Rows whose
-digest occurs more than once are then compared byte by byte.
-
-Defined cases: a null text counts as the empty text (``null_as_empty``); empty
-texts are equal to each other; texts may have any length; rows with a null id
-join their group but are kept only if no row of the group has an id; a repeated
-row (same id, same text) has the same decision each time; an empty table gives no
-rows; other columns are not read, whatever their names.
+Documents are dealt to memtables by the partition that they lie in. Each memtable is
+flushed as a run: its (digest, identifier that stays, count) rows, combined on the
+map side, in the order of the digest, written to the shared folder as Parquet with
+Bloom filters on the digest (they serve later look-ups of single digests). Levelled
+compaction merges FAN runs at a time into a run of the next level, keeping one
+identifier for a digest, until one run is left. Documents are looked up in that run
+through a filter of its repeated digests: what the filter rules out occurs once and
+is never shuffled. Hits are then verified byte by byte.
+
+Defined cases: a null text counts as the empty text; empty texts are equal to each
+other; texts may have any length; rows with a null id join their group but are kept
+only if no row of the group has an id; a repeated row (same id, same text) has the
+same decision each time; different texts with one digest are split by their bytes;
+an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.storage import cut
+from spanveil.llm.repeats import look_up
+from spanveil.storage import cut, remove, shared_dir
 
-#: A digest's rows are split over so many parts while their bytes are compared.
-SALTS = 16
+#: Rows of a memtable, about; at least two and at most so many are flushed.
+MEMTABLE_ROWS, MEMTABLES = 100_000, 64
+#: Runs that one compaction merges.
+FAN = 4
+#: Digests of a file that its Bloom filter is made for.
+FILTER_DIGESTS = 100_000
 
+Digest = Callable[[Column], Column]
 
-def _body(text: str, null_as_empty: bool) -> Column:
-    return F.coalesce(F.col(text), F.lit("")) if null_as_empty else F.col(text)
 
+def sha256(text: Column) -> Column:
+    return F.sha2(text, 256)
 
-def flush_run(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """One memtable's run: (digest, keep_id, n), one row for each digest, sorted."""
-    best = F.min if keep == "min" else F.max
-    return (
-        docs.select(F.col(id_col).alias("_id"), F.sha2(_body(text, True), 256).alias("digest"))
-        .groupBy("digest")
-        .agg(best("_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        .sortWithinPartitions("digest")
-    )
+
+def _best(keep: str):
+    return F.min if keep == "min" else F.max
 
 
-def write_run(run: DataFrame, path: str) -> None:
-    """Append a run to the index at ``path``, with a Bloom filter on its digests."""
+def write_runs(runs: DataFrame, folder: str, level: int) -> DataFrame:
+    """Runs (run, digest, keep_id, n), written each in the order of its digests, as they are read back."""
     (
-        run.write.mode("append")
+        runs.sortWithinPartitions("run", "digest")
+        .write.partitionBy("run")
         .option("parquet.bloom.filter.enabled#digest", "true")
-        .option("parquet.bloom.filter.expected.ndv#digest", "1000000")
-        .parquet(path)
+        .option("parquet.bloom.filter.expected.ndv#digest", str(FILTER_DIGESTS))
+        .parquet(f"{folder}/level-{level}")
     )
+    return runs.sparkSession.read.schema(runs.schema).parquet(f"{folder}/level-{level}")
 
 
-def compact(runs: DataFrame, keep: str = "min") -> DataFrame:
-    """Merge runs: for each digest the identifier that stays and the rows in all."""
-    best = F.min if keep == "min" else F.max
-    return (
-        runs.groupBy("digest")
-        .agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        .sortWithinPartitions("digest")
-    )
-
+def flush(keys: DataFrame, folder: str, memtables: int, keep: str) -> DataFrame:
+    """The runs of level 0, flushed from rows (_id, digest)."""
+    rows = keys.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(memtables)).cast("int"))
+    return write_runs(rows.groupBy("run", "digest").agg(_best(keep)("_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), folder, 0)
 
-def _split_by_bytes(rows: DataFrame, repeated: DataFrame, keep: str) -> DataFrame:
-    """(digest, text) classes of the digests in ``repeated``, from the bytes themselves.
 
-    Equal bytes meet in map-side partial aggregates, and a digest's rows are dealt
-    to SALTS parts first, so a digest with a third of all rows stays spread.
-    """
-    best = F.min if keep == "min" else F.max
-    salted = repeated.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    hits = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "_salt"], "left_semi")
-    return (
-        hits.groupBy("digest")
-        .agg(F.min("_text").alias("_low"), F.max("_text").alias("_high"), best("_id").alias("_best"))
-        .select("digest", (F.col("_low") == F.col("_high")).alias("same_bytes"))
-    )
+def compact(runs: DataFrame, folder: str, number: int, keep: str) -> DataFrame:
+    """(digest, keep_id, n): runs merged level by level until one is left; levels that are merged go."""
+    level = 0
+    while number > 1:
+        found = runs.withColumn("run", F.floor(F.col("run") / FAN).cast("int"))
+        merged = found.groupBy("run", "digest").agg(_best(keep)("keep_id").alias("keep_id"), F.sum("n").alias("n"))
+        runs = write_runs(merged, folder, level + 1)
+        remove(runs.sparkSession, f"{folder}/level-{level}")
+        level, number = level + 1, -(-number // FAN)
+    return runs.drop("run")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """One row for each row of ``docs``: (id, keep_id, group_size, kept, digest, same_bytes).
+def _verified(rows: DataFrame, repeated: DataFrame, total: int) -> DataFrame:
+    """(digest): repeated digests of rows (_text, digest) that stand for more than one text.
 
-    ``same_bytes`` is the outcome of the byte verification of the row's digest: true
-    for every group unless two different texts share a SHA-256 digest, in which case
-    the group is left alone (each row is kept, as a group of its own).
+    Bytes are compared by the smallest and largest text of each digest, which meet
+    in map-side partial aggregates, so that no task gets all texts of a digest.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), _body(text, True).alias("_text")).withColumn("digest", F.sha2("_text", 256))
-    run = cut(compact(flush_run(docs, id_col, text, keep), keep))
-    repeated = run.where("n > 1").select("digest")
-    checked = _split_by_bytes(rows, repeated, keep)
-    decided = run.join(checked, "digest", "left")
-    out = rows.select("_id", "digest").join(decided, "digest", "left")
-    alone = ~F.coalesce("same_bytes", F.lit(True))
-    return out.select(
+    hits = look_up(rows, repeated.select("digest", "n"), "digest", "n", total).where("n is not null")
+    ends = hits.groupBy("digest").agg(F.min("_text").alias("low"), F.max("_text").alias("high"))
+    return ends.where("low <> high").select("digest")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min", digest: Digest = sha256) -> DataFrame:
+    """One row for each row of ``docs``: (id, keep_id, group_size, kept, digest)."""
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/digests-{uuid.uuid4().hex}"
+    body = F.coalesce(F.col(text), F.lit(""))
+    keys = cut(docs.select(F.col(id_col).alias("_id"), digest(body).alias("digest")))
+    total = keys.count()
+    memtables = min(max(2, -(-total // MEMTABLE_ROWS)), MEMTABLES)
+    repeated = cut(compact(flush(keys, folder, memtables, keep), folder, memtables, keep).where("n > 1"))
+    remove(spark, folder)
+    rows = docs.select(F.col(id_col).alias("_id"), body.alias("_text"), digest(body).alias("digest"))
+    clashing = cut(_verified(rows.select("_text", "digest"), repeated, total))
+    if not clashing.isEmpty():  # a digest with several texts: those are the groups
+        split = rows.join(clashing, "digest", "left_semi")
+        groups = split.groupBy("digest", "_text").agg(_best(keep)("_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+        apart = split.join(groups, ["digest", "_text"]).select("_id", "digest", "keep_id", "n")
+        keys, repeated = keys.join(clashing, "digest", "left_anti"), repeated.join(clashing, "digest", "left_anti")
+        found = look_up(keys, repeated, "digest", "n", total).unionByName(apart)
+    else:
+        found = look_up(keys, repeated, "digest", "n", total)
+    once = F.col("n").isNull()
+    keep_id = F.when(once, F.col("_id")).otherwise(F.col("keep_id"))
+    return found.select(
         F.col("_id").alias(id_col),
-        F.when(alone, F.col("_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.when(alone, F.lit(1)).otherwise(F.col("n")).cast("long").alias("group_size"),
-        (alone | F.col("_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        keep_id.alias("keep_id"),
+        F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
+        F.col("_id").eqNullSafe(keep_id).alias("kept"),
         "digest",
-        (~alone).alias("same_bytes"),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str = "min") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; of repeated rows one stays."""
-    found = exact_dedup(docs, id_col, text, keep).where("kept")
-    stay = found.select(F.col(id_col).alias("_stay_id"), F.col("digest").alias("_stay_digest")).distinct()
-    whole = docs.select(
-        F.struct(*docs.columns).alias("_row"),
-        F.col(id_col).alias("_id"),
-        F.sha2(_body(text, True), 256).alias("_digest"),
-    )
-    same = (whole["_digest"] == stay["_stay_digest"]) & whole["_id"].eqNullSafe(stay["_stay_id"])
-    return whole.join(stay, same, "left_semi").dropDuplicates(["_digest", "_id"]).select("_row.*")
+    """``docs`` without the rows that ``exact_dedup`` drops; of repeated rows (one id, one text) any one stays.
+
+    Only rows whose text is repeated are shuffled.
+    """
+    found = exact_dedup(docs, id_col, text, keep).where("group_size > 1")
+    groups = cut(found.groupBy("digest").agg(F.collect_set(F.when(F.col("kept"), F.col("keep_id"))).alias("keep_ids"), F.count(F.lit(1)).alias("n")))
+    body = F.coalesce(F.col(text), F.lit(""))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), sha256(body).alias("digest"))
+    met = look_up(whole, groups, "digest", "n", docs.count())
+    stays = F.when(F.col("_id").isNull(), F.size("keep_ids") == 0).otherwise(F.array_contains("keep_ids", F.col("_id")))
+    again = met.where(F.col("n").isNotNull() & stays).groupBy("digest", "_id").agg(F.first("_row").alias("_row"))
+    return met.where("n is null").select("_row").unionByName(again.select("_row")).select("_row.*")
