@@ -9,8 +9,9 @@ the index files with their first and last keys is the level above. A look-up
 finds files by their key range, binary-searches a file's directory, reads that
 block, and then only the record's bytes.
 
-Files are written under a name of the task's attempt and renamed when complete; a
-lost executor's half-written files are never read.
+Files have names of their own for each attempt of a task and are renamed when
+complete: a lost executor's half-written files are never read, and a repeated
+attempt can't change what the rows of the first refer to.
 
 Defined cases: a null html is an empty payload, a null URL an empty one; control
 characters and spaces in URLs are percent-encoded; payloads of any length are
@@ -39,6 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.llm.repeats import look_up
 from spanveil.storage import cut, shared_dir
 
 #: Bytes after which a task begins another archive file; lines of an index block.
@@ -65,13 +67,16 @@ def _place(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class _Writer:
-    """A file under the attempt's name that gets its own name when it is complete."""
+    """A file with a name of its own for each attempt, which it gets when it is complete.
 
-    def __init__(self, folder: str, name: str):
+    So a second attempt never writes over a file that rows of the first refer to.
+    """
+
+    def __init__(self, folder: str, number: int, kind: str):
         self.system, root = _place(folder)
         self.system.create_dir(root, recursive=True)
-        self.name = name
-        self.final, self.path = f"{root}/{name}", f"{root}/_{name}.{uuid.uuid4().hex}"
+        self.name = f"{TaskContext.get().partitionId():06d}-{number:04d}-{uuid.uuid4().hex}.{kind}"
+        self.final, self.path = f"{root}/{self.name}", f"{root}/_{self.name}"
         self.out, self.at = self.system.open_output_stream(self.path, compression=None), 0
 
     def write(self, data: bytes) -> int:
@@ -105,11 +110,12 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", ht
     """
     body = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
-    rows = rows.withColumn("key", F.concat(F.sha2("payload", 256), F.length("payload").cast("string")))
-    first = pages.select(F.col(id_col).cast("long").alias("page_id"), body.alias("payload")).where(F.length("payload") >= least)
-    first = first.groupBy(F.concat(F.sha2("payload", 256), F.length("payload").cast("string")).alias("key")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    key = F.concat(F.sha2("payload", 256), F.length("payload").cast("string")).alias("key")
+    keys = cut(pages.select(F.col(id_col).cast("long").alias("page_id"), body.alias("payload")).select("page_id", key, F.length("payload").alias("size")))
+    first = keys.where(F.col("size") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = look_up(rows.select("*", key), cut(first.where("n > 1")), "key", "n", keys.count())  # only repeated payloads are shuffled
     own = F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.join(first, "key", "left").select("page_id", "url", "payload", F.when(~own, F.col("first")).alias("response_id"))
+    return found.select("page_id", "url", "payload", F.when(~own, F.col("first")).alias("response_id"))
 
 
 def write_archives(records: DataFrame, folder: str, date: str = DATE) -> DataFrame:
@@ -123,7 +129,7 @@ def write_archives(records: DataFrame, folder: str, date: str = DATE) -> DataFra
                 if out is None or out.at >= FILE_BYTES:
                     if out is not None:
                         out.close()
-                    out = _Writer(folder, f"{TaskContext.get().partitionId():06d}-{count:04d}.warc.gz")
+                    out = _Writer(folder, count, "warc.gz")
                     count += 1
                 url = _UNSAFE.sub(lambda m: f"%{ord(m.group()):02X}", url)
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
@@ -154,7 +160,7 @@ def write_index(captures: DataFrame, folder: str, files: int | None = None) -> D
             for row in batch.to_pylist():
                 key = row.pop("key")
                 if out is None:
-                    out, first = _Writer(folder, f"{TaskContext.get().partitionId():06d}.cdxj.gz"), key
+                    out, first = _Writer(folder, 0, "cdxj.gz"), key
                 held.append((key, f"{key} {json.dumps(row)}"))
                 last, lines = key, lines + 1
                 if len(held) == BLOCK_LINES:
@@ -184,6 +190,7 @@ class IndexFile:
         at = int.from_bytes(self.file.read_at(8, size - 8), "big")
         self.directory = json.loads(gzip.decompress(self.file.read_at(size - 8 - at, at)))
         self.keys = [entry[0] for entry in self.directory]
+        self.last: tuple | None = None
 
     def block(self, i: int) -> Iterator[tuple[str, dict]]:
         _, at, length, _ = self.directory[i]
@@ -191,13 +198,20 @@ class IndexFile:
             key, _, rest = line.partition(" {")
             yield key, json.loads("{" + rest)
 
-    def find(self, key: str) -> Iterator[dict]:
-        """The captures of a key: from the block before the first one that begins beyond it, on."""
+    def _keys_and_entries(self, i: int) -> tuple[list[str], list[dict]]:
+        """A block; the last one that was read is kept, as look-ups come in order."""
+        if self.last is None or self.last[0] != i:
+            keys, entries = zip(*self.block(i), strict=True)
+            self.last = i, (list(keys), list(entries))
+        return self.last[1]
+
+    def find(self, key: str) -> Iterator[list[dict]]:
+        """The captures of a key, block by block, from the one before the first that begins at it or beyond."""
         i = max(0, bisect.bisect_left(self.keys, key) - 1)
         while i < len(self.keys) and self.keys[i] <= key:
-            for found, entry in self.block(i):
-                if found == key:
-                    yield entry
+            keys, entries = self._keys_and_entries(i)
+            if found := entries[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
+                yield found
             i += 1
 
 
@@ -223,25 +237,36 @@ def all_captures(upper: DataFrame, folder: str) -> DataFrame:
 
 
 def find_captures(urls: DataFrame, upper: DataFrame, folder: str, url: str = "url") -> DataFrame:
-    """The entries of the URLs in ``urls``, by look-up in the two levels of the index."""
+    """The entries of the URLs in ``urls``, by look-up in the two levels of the index.
+
+    The upper level (a row for each index file, of which there are as many as shuffle
+    partitions at most) goes to every task; a null URL is an empty one.
+    """
+    level = sorted(tuple(r) for r in upper.select("first_key", "last_key", "file").collect())
+    firsts, lasts = [x[0] for x in level], [x[1] for x in level]  # files cover ranges one after the other
 
     def key_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [sort_key(_UNSAFE.sub(lambda m: f"%{ord(m.group()):02X}", x)) for x in batch.column(0).to_pylist()]
+            keys = [sort_key(_UNSAFE.sub(lambda m: f"%{ord(m.group()):02X}", x or "")) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string())], names=["key"])
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(level[i][2], key) for key in batch.column(0).to_pylist() for i in range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(2)], names=["file", "key"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: tuple[str, IndexFile] | None = None
         for batch in batches:
             for name, key in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
                 if opened is None or opened[0] != name:
                     opened = name, IndexFile(folder, name)
-                if found := list(opened[1].find(key)):
-                    yield _entries(found)
+                for k in opened[1].find(key):
+                    yield _entries(k)
 
-    keys = urls.where(F.col(url).isNotNull()).select(url).mapInArrow(key_of, "key string").distinct()
-    met = keys.join(upper, (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key"))).select("file", "key")
-    return met.repartition("file").sortWithinPartitions("file", "key").mapInArrow(run, _ENTRY)
+    keys = urls.select(url).distinct().mapInArrow(key_of, "key string").distinct()
+    met = keys.mapInArrow(place, "file string, key string")
+    return met.repartitionByRange("file", "key").sortWithinPartitions("file", "key").mapInArrow(run, _ENTRY)
 
 
 def parse_record(data: bytes) -> dict:
