@@ -10,10 +10,11 @@ Documents with equal sets are one class and take part once. Candidates are not
 expanded into all pairs of a posting: first each document meets the smallest one
 of its postings; then only documents that are still in different components meet,
 inside tasks (block by block, if a posting is large), where a parity sketch rules
-out most pairs before any row is made.
+out most pairs before any row is made. What is left is verified in rounds, each
+document's likeliest pairs first; pairs that a round's links join need no more.
 
 Which n-grams count as common only affects the work, never the result; so the
-broadcast filter that holds them has a fixed size.
+filter that holds them has a bounded size.
 
 Defined cases: a null or empty text, or one without words, has no n-grams, and is
 linked with nothing; with fewer than ``n`` words the whole sequence is the only
@@ -29,27 +30,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.llm.components import components
 from spanveil.storage import cut
 
-_PART_BYTES = 1_000_000
-#: An n-gram of so many documents (or, if too many n-grams are, a power of two times that) is common.
+#: Texts are read in slices of so many rows, and parts of about so many bytes.
+_SLICE, _PART_BYTES = 500, 500_000
+#: N-grams are counted in two to the power of so many counters, a few for each document.
+COUNTER_BITS = (18, 24)
+#: An n-gram is common when its counter exceeds twice the mean counter by so much.
 COMMON = 16
-#: The common ones go into a filter of so many bits, and fill an eighth of it at most.
-COMMON_BITS = 1 << 25
-_BLOCK = 4_000_000
+_CHUNK = 4096  # counters in a row
 _BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
 #: Postings of more documents are cut into blocks of about so many.
 POSTING_ROWS = 512
-#: A sketch has one or two bits for each n-gram, and so many at least.
+#: A sketch has two to four bits for each n-gram, and so many at least.
 SKETCH_BITS = 256
 #: Documents are picked for verification by a filter of so many bits, then exactly.
 PICK_BITS = 1 << 23
 #: The order is cut at its leading bits.
 FRAGMENT_BITS = 4
+#: Pairs of a document that are verified in a round; in the last one all that are left.
+TRIES = (2, 16, None)
 _TOP = np.uint64(1 << 63)
 _U = np.uint64
 
@@ -112,16 +116,20 @@ class NgramHasher:
         return text, h >> _U(1)
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
-    part, begin, size = [], 0, 0
-    for i, x in enumerate(texts.cast(pa.large_binary()).to_pylist()):
-        part.append(x)
-        size += len(x)
-        if size >= _PART_BYTES:
-            yield begin, part
-            part, begin, size = [], i + 1, 0
-    if part:
-        yield begin, part
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Rows in small parts, with the texts in ``column`` as bytes."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, _SLICE):
+            rows = batch.slice(k, _SLICE)
+            part, begin, size = [], 0, 0
+            for i, x in enumerate(rows.column(column).cast(pa.large_binary()).to_pylist()):
+                part.append(x)
+                size += len(x)
+                if size >= _PART_BYTES:
+                    yield rows.slice(begin, len(part)), part
+                    part, begin, size = [], i + 1, 0
+            if part:
+                yield rows.slice(begin, len(part)), part
 
 
 def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,154 +157,146 @@ def _has(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
-def common_ngrams(body: DataFrame, n: int, num: int, den: int) -> bytes:
-    """A filter (bits by the low bits of the hash) of n-grams that many documents have.
+def common_ngrams(body: DataFrame, n: int, num: int = 80, den: int = 100) -> tuple[bytes, bytes]:
+    """Two filters (bits by the low bits of the hash) of n-grams that many documents have.
 
-    Documents look at the smallest (den - num) / den of their hashes, so the
-    n-grams with hashes up to a little more than that are counted, all of them.
-    Common ones come last, so that some documents then look beyond that bound:
-    it is doubled, and those documents' n-grams up to it are counted, until no
-    document looks beyond it. So each n-gram is counted in all sets it can lead.
+    Every n-gram of every document is counted. Those whose hashes are small enough to
+    lead sets, which are few, are counted once more in counters of their own, which
+    tell even moderately common ones. Counters are shared by n-grams with equal low
+    bits, so a common n-gram can't be missed, and what a task passes on is bounded by
+    the number of counters.
     """
-    low, high = 0, int(min(1.0, 1.3 * (den - num) / den) * (1 << 63))
-    common, room = bytes(COMMON_BITS // 8), COMMON_BITS // 8
-    while True:
-        found, bits = _common_between(body, n, num, den, common, low, high, room // 2)
-        room -= bits
-        common = (np.frombuffer(common, np.uint8) | np.frombuffer(found, np.uint8)).tobytes()
-        if high >= 1 << 63 or not _look_beyond(body, n, num, den, common, high):
-            return common
-        low, high = high, min(2 * high, 1 << 63)
-
-
-def _take(size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """So many n-grams of a set lead it."""
-    return np.where(size > 0, size - -(-num * size // den) + 1, 0)
-
-
-def _beyond(text: np.ndarray, key: np.ndarray, texts: int, num: int, den: int, bound: int) -> np.ndarray:
-    """Texts that are led by n-grams other than the uncommon ones below ``bound``, and have more of those."""
-    inside = np.bincount(text[key < _U(bound)], minlength=texts)
-    more = np.bincount(text[(key >= _U(bound)) & (key < _TOP)], minlength=texts)
-    return (inside < _take(np.bincount(text, minlength=texts), num, den)) & (more > 0)
-
-
-def _look_beyond(body: DataFrame, n: int, num: int, den: int, common: bytes, bound: int) -> bool:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered, found = _Ordered(n, common), 0
+    rows = int(body.count()).bit_length()
+    bits = [min(max(COUNTER_BITS[0], rows + more), COUNTER_BITS[1]) for more in (2, 4)]
+    small, chunks = _lead_bound(num, den), [(1 << b) // _CHUNK for b in bits]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, counts = NgramHasher(n), [np.zeros(1 << b, np.uint32) for b in bits]
+        for _, part in _parts(batches, 0):
+            h = _distinct(*hasher(part))[1]
+            for held, of in zip(counts, (h, h[h < small]), strict=True):
+                np.add.at(held, (of & _U(len(held) - 1)).astype(np.int64), 1)
+        for first, held in zip((0, chunks[0]), counts, strict=True):
+            held = held.reshape(-1, _CHUNK)
+            some = np.flatnonzero(held.any(1))
+            for k in range(0, len(some), 64):  # as bytes where they fit
+                found = [(x.astype(np.uint8) if x.max() < 256 else x).tobytes() for x in held[some[k : k + 64]]]
+                yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 64] + first, pa.int32()), pa.array(found, pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(_CHUNK, np.int64)
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([int(total.sum())]), pa.array([total.tobytes()])], names=["chunk", "total", "counts"])
         for batch in batches:
-            for _, part in _parts(batch.column(0)):
-                found += int(_beyond(*ordered(part), len(part), num, den, bound).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([found], pa.int64())], names=["found"])
-
-    return (body.select("text").mapInArrow(run, "found long").agg(F.sum("found")).first()[0] or 0) >= COMMON
-
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if chunk != now:
+                    if now is not None:
+                        yield row()
+                    now, total[:] = chunk, 0
+                data = counts.as_buffer()
+                total += np.frombuffer(data, np.uint8 if data.size == _CHUNK else np.uint32)
+        if now is not None:
+            yield row()
+
+    parts = body.select("text").mapInArrow(count, "chunk int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    summed = cut(parts.mapInArrow(add, "chunk int, total long, counts binary"))
+    second = F.col("chunk") >= chunks[0]
+    totals = summed.agg(F.sum(F.when(~second, F.col("total"))), F.sum(F.when(second, F.col("total")))).first()
+    bounds = [2 * (total or 0) / (1 << b) + COMMON for total, b in zip(totals, bits, strict=True)]
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            over = [np.frombuffer(x.as_buffer(), np.int64) > bounds[chunk >= chunks[0]] for chunk, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
+            flags = [np.packbits(x, bitorder="little").tobytes() for x in over]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flags, pa.binary())], names=["chunk", "flags"])
 
-def _common_between(body: DataFrame, n: int, num: int, den: int, common: bytes, low: int, high: int, room: int) -> tuple[bytes, int]:
-    """The filter of n-grams with hashes from ``low`` that lead many documents, and their number (``room`` at most)."""
+    flags = {r.chunk: bytes(r.flags) for r in summed.select("chunk", "counts").mapInArrow(flag, "chunk int, flags binary").collect()}
+    whole = b"".join(flags.get(k, bytes(_CHUNK // 8)) for k in range(sum(chunks)))
+    return whole[: (1 << bits[0]) // 8], whole[(1 << bits[0]) // 8 :]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = (_Ordered(n, common) if low else NgramHasher(n)), [], 0
 
-        def block() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c, pa.int32())], names=["h", "c"])
+def _lead_bound(num: int, den: int) -> np.uint64:
+    """Hashes below lead sets, where few n-grams are common."""
+    return _U(int(min(1.0, 1.3 * (den - num) / den) * ((1 << 63) - 1)))
 
-        for batch in batches:
-            for _, part in _parts(batch.column(0)):
-                text, h = hasher(part)
-                some = (h >= _U(low)) & (h < _U(high))
-                if low:
-                    some &= _beyond(text, h, len(part), num, den, low)[text]
-                held.append(_distinct(text[some], h[some])[1])
-                size += len(held[-1])
-                if size >= _BLOCK:
-                    yield block()
-                    held, size = [], 0
-        if held:
-            yield block()
 
-    rows = body.select("text").mapInArrow(run, "h long, c int")
-    counted = cut(rows.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= COMMON))
-    sizes = {r.k: r["count"] for r in counted.groupBy(F.floor(F.log2(F.col("c") / COMMON)).alias("k")).count().collect()}
-    least = 0
-    while sum(v for k, v in sizes.items() if k >= least) > room:
-        least += 1
-    chosen = counted.where(F.col("c") >= COMMON << least)
-    found = _bitmap(chosen.select(F.pmod("h", F.lit(COMMON_BITS)).alias("position")), COMMON_BITS)
-    return found, sum(v for k, v in sizes.items() if k >= least)
+def _take(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """So many n-grams of a set lead it."""
+    return np.where(size > 0, size - -(-num * size // den) + 1, 0)
 
 
 class _Ordered:
     """Distinct n-grams of texts as keys of the global order."""
 
-    def __init__(self, n: int, common: bytes):
-        self.hasher = NgramHasher(n)
-        self.common = np.frombuffer(common, np.uint8)
+    def __init__(self, n: int, common: tuple[bytes, bytes], num: int, den: int):
+        self.hasher, self.small = NgramHasher(n), _lead_bound(num, den)
+        self.filters = [np.frombuffer(x, np.uint8) for x in common]
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         text, h = self.hasher(texts)
-        return _distinct(text, np.where(_has(self.common, (h & _U(COMMON_BITS - 1)).astype(np.int64)), h | _TOP, h))
+        every, small = (_has(x, (h & _U(8 * len(x) - 1)).astype(np.int64)) for x in self.filters)
+        return _distinct(text, np.where(every | (small & (h < self.small)), h | _TOP, h))
 
 
-def ngram_sets(body: DataFrame, n: int, common: bytes, num: int, den: int) -> DataFrame:
+def ngram_sets(body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> DataFrame:
     """(id, n, d1, d2, prefix, sketch): each set's size, digests, first n-grams and parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = _Ordered(n, common)
-        for batch in batches:
-            for begin, part in _parts(batch.column(1)):
-                text, key = ordered(part)
-                size = np.bincount(text, minlength=len(part))
-                first = np.concatenate([[0], np.cumsum(size)[:-1]])
-                m = _mix(key)
-                sums = [np.zeros(len(part), np.uint64) for _ in range(2)]
-                some = np.flatnonzero(size)
-                if len(some):
-                    sums[0][some] = np.add.reduceat(m, first[some])
-                    sums[1][some] = np.add.reduceat(_mix(m + _U(0x632BE59BD9B4E019)), first[some])
-                take = _take(size, num, den)
-                chosen = np.arange(len(key)) - first[text] < take[text]
-                width = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(size, 1) / SKETCH_BITS))).astype(np.int64)
-                ends = np.cumsum(width)
-                bit = (ends - width)[text] + ((m >> _U(20)).astype(np.int64) & (width[text] - 1))
-                parity = (np.bincount(bit, minlength=int(ends[-1])) & 1).astype(np.uint8)
-                sketch = np.packbits(parity).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, len(part)),
-                        pa.array(size, pa.int64()),
-                        *[pa.array(x.view(np.int64)) for x in sums],
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(key[chosen].view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]), pa.int32()), pa.array(sketch)),
-                    ],
-                    names=["id", "n", "d1", "d2", "prefix", "sketch"],
-                )
+        ordered = _Ordered(n, common, num, den)
+        for rows, part in _parts(batches, 1):
+            text, key = ordered(part)
+            size = np.bincount(text, minlength=len(part))
+            first = np.concatenate([[0], np.cumsum(size)[:-1]])
+            m = _mix(key)
+            sums = [np.zeros(len(part), np.uint64) for _ in range(2)]
+            some = np.flatnonzero(size)
+            if len(some):
+                sums[0][some] = np.add.reduceat(m, first[some])
+                sums[1][some] = np.add.reduceat(_mix(m + _U(0x632BE59BD9B4E019)), first[some])
+            take = _take(size, num, den)
+            chosen = np.arange(len(key)) - first[text] < take[text]
+            width = SKETCH_BITS << np.maximum(0, np.ceil(np.log2(2 * np.maximum(size, 1) / SKETCH_BITS))).astype(np.int64)
+            ends = np.cumsum(width)
+            bit = (ends - width)[text] + ((m >> _U(20)).astype(np.int64) & (width[text] - 1))
+            parity = (np.bincount(bit, minlength=int(ends[-1])) & 1).astype(np.uint8)
+            sketch = np.packbits(parity).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column(0),
+                    pa.array(size, pa.int64()),
+                    *[pa.array(x.view(np.int64)) for x in sums],
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]), pa.int32()), pa.array(key[chosen].view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends // 64]), pa.int32()), pa.array(sketch)),
+                ],
+                names=["id", "n", "d1", "d2", "prefix", "sketch"],
+            )
 
     return body.mapInArrow(run, "id long, n long, d1 long, d2 long, prefix array<long>, sketch array<long>")
 
 
-def ngram_fragments(body: DataFrame, n: int, common: bytes, picks: bytes) -> DataFrame:
+def ngram_fragments(body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int, picks: bytes) -> DataFrame:
     """(id, d1, fragment, ngrams): the sets that ``picks`` holds, each once, cut at fixed places of the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordered = _Ordered(n, common)
+        ordered = _Ordered(n, common, num, den)
         picked = np.frombuffer(picks, np.uint8)
-        for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            batch = batch.filter(pa.array(_has(picked, batch.column(0).to_numpy() % PICK_BITS)))
-            for begin, part in _parts(batch.column(1)):
-                text, key = ordered(part)
-                if not len(text):
-                    continue
-                cell = (text << FRAGMENT_BITS) | (key >> _U(64 - FRAGMENT_BITS)).astype(np.int64)
-                at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                digest = np.repeat(np.add.reduceat(_mix(key), begins), np.diff(np.append(begins, len(text))))[at]
-                ids = batch.column(0).slice(begin, len(part)).take(pa.array(text[at]))
-                fragment = pa.array(cell[at] & ((1 << FRAGMENT_BITS) - 1), pa.int32())
-                grams = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(digest.view(np.int64)), fragment, grams], names=["id", "d1", "fragment", "ngrams"])
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(batch.column(0).is_valid())
+                yield batch.filter(pa.array(_has(picked, batch.column(0).to_numpy() % PICK_BITS)))
+
+        for rows, part in _parts(chosen(), 1):
+            text, key = ordered(part)
+            if not len(text):
+                continue
+            cell = (text << FRAGMENT_BITS) | (key >> _U(64 - FRAGMENT_BITS)).astype(np.int64)
+            at = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            begins = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            digest = np.repeat(np.add.reduceat(_mix(key), begins), np.diff(np.append(begins, len(text))))[at]
+            ids = rows.column(0).take(pa.array(text[at]))
+            fragment = pa.array(cell[at] & ((1 << FRAGMENT_BITS) - 1), pa.int32())
+            grams = pa.ListArray.from_arrays(pa.array(np.append(at, len(key)), pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(digest.view(np.int64)), fragment, grams], names=["id", "d1", "fragment", "ngrams"])
 
     return body.mapInArrow(run, "id long, d1 long, fragment int, ngrams array<long>").dropDuplicates(["id", "d1", "fragment"])
 
@@ -318,14 +318,14 @@ def _possible(num: int, den: int):
     return sizes & (differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common: bytes, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` (a, d1_a, b, d1_b) that reach the threshold, from overlaps summed over fragments."""
     small = sets.select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"])
     left, right = (small.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in small.columns]) for x in "ab")
     pair = ["a", "d1_a", "b", "d1_b"]
     possible = cut(pairs.join(left, ["a", "d1_a"]).join(right, ["b", "d1_b"]).where(_possible(num, den)).select(*pair, "n_a", "n_b"))
     needed = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
-    fragments = ngram_fragments(body, n, common, _bitmap(needed.select(F.pmod("id", F.lit(PICK_BITS)).alias("position")), PICK_BITS))
+    fragments = ngram_fragments(body, n, common, num, den, _bitmap(needed.select(F.pmod("id", F.lit(PICK_BITS)).alias("position")), PICK_BITS))
     cut_pairs = possible.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))).alias("fragment"))
     of_a, of_b = (fragments.select(F.col("id").alias(x), F.col("d1").alias(f"d1_{x}"), "fragment", F.col("ngrams").alias(f"grams_{x}")) for x in "ab")
     met = cut_pairs.join(of_a, ["a", "d1_a", "fragment"]).join(of_b, ["b", "d1_b", "fragment"])
@@ -349,11 +349,11 @@ def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray,
     return out
 
 
-_PAIR = "a long, d1_a long, b long, d1_b long"
+_PAIR = "a long, d1_a long, b long, d1_b long, apart long"
 
 
-def _pair(ids: np.ndarray, d1: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], d1[a], ids[b], d1[b])], names=["a", "d1_a", "b", "d1_b"])
+def _pair(ids: np.ndarray, d1: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], d1[a], ids[b], d1[b], apart)], names=["a", "d1_a", "b", "d1_b", "apart"])
 
 
 def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -364,17 +364,18 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
         sketch = rows.column("sketch").combine_chunks()
         words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
         at = np.cumsum(width) - width
-        i, apart = np.arange(len(h)), 0
-        while len(i):  # rows of a posting that are so far apart
-            apart += 1
-            i = i[i + apart < len(h)]
-            i = i[h[i] == h[i + apart]]
-            j = i + apart  # a posting is in the order of size
+        i, far = np.arange(len(h)), 0
+        while len(i):  # rows of a posting that are so many places apart
+            far += 1
+            i = i[i + far < len(h)]
+            i = i[h[i] == h[i + far]]
+            j = i + far  # a posting is in the order of size
             ok = (comp[i] != comp[j]) & (n[i] * den >= n[j] * num)
             a, b = i[ok], j[ok]
-            ok = _unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
+            unlike = _unlike(words, at, width, a, b)
+            ok = unlike * (den + num) <= (n[a] + n[b]) * (den - num)
             if ok.any():
-                yield _pair(ids, d1, a[ok], b[ok])
+                yield _pair(ids, d1, a[ok], b[ok], unlike[ok])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -421,9 +422,10 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
                     if same:
                         ok &= j - first > i
                     a, b = np.where(low, i, j)[ok], np.where(low, j, i)[ok]
-                    ok = _unlike(words, at, width, a, b) * (den + num) <= (n[a] + n[b]) * (den - num)
+                    unlike = _unlike(words, at, width, a, b)
+                    ok = unlike * (den + num) <= (n[a] + n[b]) * (den - num)
                     if ok.any():
-                        yield _pair(ids, d1, a[ok], b[ok])
+                        yield _pair(ids, d1, a[ok], b[ok], unlike[ok])
 
     step = 1.001 * max(math.log(den / num), 0.01)
     rows = cut(postings.select("h", "id", "d1", "n", "component", "sketch", F.floor(F.log("n") / step).alias("size")))
@@ -441,6 +443,43 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b").mapInArrow(run, _PAIR)
 
 
+def _live_postings(postings: DataFrame) -> DataFrame:
+    """(h, id, d1, low, low_d1, rank) of the postings (h, part, id, d1) that more than one set is in.
+
+    ``low`` is the smallest member of the posting's part, ``rank`` the row's place
+    there. Rows are read in order, once, and none is held but the last. Common
+    n-grams (below zero) have parts; all their rows are passed on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the last row: h, part, id, d1, low, low_d1, rank
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, part, ids, d1 = (batch.column(i).to_numpy() for i in range(4))
+            if held:
+                h, part, ids, d1 = (np.concatenate([x, y]) for x, y in zip(held, (h, part, ids, d1), strict=False))
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+            first = np.flatnonzero(new)
+            of = np.cumsum(new) - 1
+            low, low_d1, rank = ids[first][of], d1[first][of], np.arange(len(h)) - first[of]
+            if held:
+                same = of == 0
+                low[same], low_d1[same] = held[4][0], held[5][0]
+                rank[same] += held[6][0]
+            multi = (np.bincount(of)[of] > 1) | (rank > 0) | (h < 0)
+            multi[-1] = False  # the next batch tells
+            columns = (h, ids, d1, low, low_d1, rank)
+            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in columns], names=["h", "id", "d1", "low", "low_d1", "rank"])
+            held = [x[-1:] for x in (h, part, ids, d1, low, low_d1, rank)]
+        if held and (held[6][0] > 0 or held[0][0] < 0):
+            yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (0, 2, 3, 4, 5, 6)], names=["h", "id", "d1", "low", "low_d1", "rank"])
+
+    ordered = postings.repartition("h", "part").sortWithinPartitions("h", "part", "id", "d1")
+    return ordered.mapInArrow(run, "h long, id long, d1 long, low long, low_d1 long, rank long")
+
+
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_ngrams, class_id, component_id) for each row of ``docs``.
 
@@ -460,13 +499,19 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     ties = cut(ties.where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v")))
     unique = some.select("id", "d1", "prefix").dropDuplicates(["id", "d1"])
     chosen = unique.join(classes.select(F.col("class_id").alias("id"), "d1"), ["id", "d1"], "left_semi")
-    postings = chosen.select(F.explode("prefix").alias("h"), "id", "d1")
-    shared = postings.groupBy("h").agg(F.min(F.struct("id", "d1")).alias("low"), F.max("id").alias("high")).where("low.id < high").select("h", "low")
-    live = cut(postings.join(shared, "h"))
-    stars = live.where("id <> low.id").select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("low.id").alias("b"), F.col("low.d1").alias("d1_b")).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a common n-gram may lead a third of all sets: its posting is read in parts, whose smallest sets meet
+    part = F.when(F.col("h") < 0, F.pmod(F.xxhash64("id", "d1"), F.lit(parts))).otherwise(0).cast("int")
+    live = cut(_live_postings(chosen.select(F.explode("prefix").alias("h"), "id", "d1").select("h", part.alias("part"), "id", "d1")))
+    heads = live.where("h < 0 and rank = 0")
+    lowest = heads.groupBy("h").agg(F.min(F.struct("id", "d1")).alias("least"))
+    met = heads.join(lowest, "h").select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("least.id").alias("b"), F.col("least.d1").alias("d1_b"))
+    stars = live.select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("low").alias("b"), F.col("low_d1").alias("d1_b")).unionByName(met)
+    stars = stars.where("a <> b or d1_a <> d1_b").distinct()
     edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(ties))
     found = cut(components(edges))
-    large = cut(live.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > POSTING_ROWS).select("h"))
+    counted = live.where("h < 0").groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > POSTING_ROWS).select("h")
+    large = cut(live.where((F.col("h") >= 0) & (F.col("rank") == POSTING_ROWS)).select("h").union(counted))
 
     def apart(postings: DataFrame) -> DataFrame:
         placed = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
@@ -476,10 +521,24 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     if large.isEmpty():
         meetings = _meetings(apart(live), num, den)
     else:  # a row for each POSTING_ROWS rows of postings at most
-        some, others = (live.join(F.broadcast(large), "h", kind) for kind in ("left_semi", "left_anti"))
+        some, others = (live.join(large, "h", kind) for kind in ("left_semi", "left_anti"))
         meetings = _meetings(apart(others), num, den).unionByName(_block_meetings(apart(some), num, den))
-    more = verified(meetings.distinct(), sets, body, n, common, num, den)
-    every = cut(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+    every, links = found, edges
+    pair = ["a", "d1_a", "b", "d1_b"]
+    met = cut(meetings.groupBy(*pair).agg(F.min("apart").alias("apart")))
+    for tries in TRIES:  # the likeliest links first: what they join needn't be compared any more
+        if met.isEmpty():
+            break
+        some = met
+        if tries:
+            best = lambda x, met=met, tries=tries: met.withColumn("_r", F.row_number().over(Window.partitionBy(x, f"d1_{x}").orderBy("apart", *pair))).where(F.col("_r") <= tries).select(*pair)
+            some = cut(best("a").unionByName(best("b")).distinct())
+        links = cut(links.unionByName(verified(some.select(*pair), sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        every = cut(components(links))
+        left = met.join(some, pair, "left_anti")
+        for x in "ab":
+            left = left.join(every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
+        met = cut(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*pair, "apart"))
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = own.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     vertices = several.join(every.select(F.col("node").alias("id"), F.col("component").alias("of_id")), "id")
