@@ -7,15 +7,10 @@ marks, and lengths of the pieces add up to offsets. Offsets are code points.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.types import SPAN
-
-#: Word boundaries of ASCII words, whatever the neighbours' script.
-B0, B1 = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _OPEN, _CLOSE, _GROUP = "\u0001", "\u0002", "\u0003"
 _FOUND = "array<struct<start:int,end:int,text:string>>"
 
@@ -70,69 +65,5 @@ def matches(shadow: Column, pattern: str | Column, groups: tuple[int, ...] = (0,
     return F.when(some, every).otherwise(F.array().cast(_FOUND))
 
 
-@dataclass(frozen=True)
-class Rule:
-    """A pattern (Java syntax) and what its matches are. ``guard`` gets the text and a match and may refuse it."""
-
-    entity_type: str
-    pattern: str
-    confidence: float
-    priority: int
-    evidence: str
-    groups: tuple[int, ...] = (0,)
-    prefix: str | None = None
-    detector: str = "regex"
-    #: What a text must have for the rule to be tried: one of MARKS.
-    needs: str | None = None
-    guard: Callable[[Column, Column], Column] | None = None
-
-
-#: Cheap facts about a text that let most rules pass it over.
-MARKS = {
-    "digit": lambda t: t.rlike("[0-9]"),
-    "at": lambda t: t.contains("@") | t.contains("[at]") | t.contains("(at)") | t.contains("[AT]") | t.contains("(AT)"),
-    "label": lambda t: t.contains(":") | t.contains("="),
-    "slashes": lambda t: t.contains("://"),
-    "word": lambda t: t.rlike("(?i)password|passwd|pwd|passcode|pin|set it to|changed|new value"),
-    "key": lambda t: t.rlike("[A-Za-z]{2,5}[-_]|AKIA|eyJ"),
-    "dashes": lambda t: t.contains("-----"),
-}
-
-
-def marks_of(text: Column) -> Column:
-    return F.struct(*[F.coalesce(test(text), F.lit(False)).alias(name) for name, test in MARKS.items()])
-
-
-def rule_spans(text: Column, shadow: Column, rule: Rule, seq: int, marks: Column | None = None) -> Column:
-    """The rule's matches as an array of SPAN."""
-    found = matches(shadow, rule.pattern, rule.groups)
-    if rule.needs and marks is not None:
-        found = F.when(marks[rule.needs], found).otherwise(F.array().cast(_FOUND))
-    if rule.guard is not None:
-        guard = rule.guard
-        found = F.filter(found, lambda m: guard(text, m))
-    return F.transform(
-        found,
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.lit(rule.entity_type).alias("entity_type"),
-            F.lit(float(rule.confidence)).alias("confidence"),
-            F.lit(rule.priority).alias("priority"),
-            F.lit(rule.detector).alias("detector"),
-            F.lit(rule.evidence).alias("evidence"),
-            # the original characters, not those of the shadow
-            F.substring(text, m["start"] + 1, m["end"] - m["start"]).alias("text"),
-            F.lit(rule.prefix).cast("string").alias("prefix"),
-            F.lit(seq).alias("seq"),
-        ),
-    ).cast(f"array<{SPAN}>")
-
-
 def overlap(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
-
-
-def context_before(text: Column, start: Column, size: int = 80) -> Column:
-    """Up to ``size`` characters that precede ``start``."""
-    return F.substring(text, F.greatest(start - size, F.lit(0)) + 1, F.least(start, F.lit(size)))

@@ -1,33 +1,28 @@
-"""Detection: all rules over a text column, in one projection and without a shuffle."""
+"""Detection: all rules over a text column, in one pass and without a shuffle."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import Rule, let, marks_of, rule_spans, shadow_of, staged
-from spanveil.rules import context, regex, secret
-from spanveil.types import SPAN
+from spanveil.functions.matching import Reader, Rule, rule_spans
+from spanveil.rules import context, labels, lines, names, regex, secret
 
 #: The detectors that run by default, in the order that decides ties.
-DEFAULT = (*secret.RULES, *regex.RULES, *context.RULES)
+DEFAULT: tuple[Rule | Reader, ...] = (*secret.RULES, *regex.RULES, *context.RULES, labels.READER, lines.READER, names.READER)
 
 
-def candidates(text: Column, rules: tuple[Rule, ...] = DEFAULT) -> Column:
+def candidates(text: Column, rules: tuple[Rule | Reader, ...] = DEFAULT) -> Column:
     """array<SPAN> of all rules' matches; blank texts have none."""
-    found = let(
-        F.struct(shadow_of(text).alias("shadow"), marks_of(text).alias("marks")),
-        lambda x: F.concat(*[rule_spans(text, x["shadow"], rule, seq, x["marks"]) for seq, rule in enumerate(rules)]),
-    )
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast(f"array<{SPAN}>")).otherwise(found)
+    return rule_spans(text, rules)
 
 
-def detect(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT, text: str = "text") -> DataFrame:
+def detect(docs: DataFrame, rules: tuple[Rule | Reader, ...] = DEFAULT, text: str = "text") -> DataFrame:
     """``docs`` with a column ``candidates``."""
-    return staged(docs, candidates=candidates(F.col(text), rules))
+    return docs.withColumn("candidates", candidates(F.col(text), rules))
 
 
-def detected_values(docs: DataFrame, rules: tuple[Rule, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def detected_values(docs: DataFrame, rules: tuple[Rule | Reader, ...], id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, end, entity_type, value), a row for each match of ``rules``."""
-    found = docs.select(id_col, F.explode(candidates(F.col(text), rules)).alias("s"))
+    found = detect(docs.select(id_col, text), rules, text).select(id_col, F.explode("candidates").alias("s"))
     return found.select(id_col, "s.start", "s.end", "s.entity_type", F.col("s.text").alias("value"))

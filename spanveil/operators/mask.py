@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import B0, B1, let, matches, overlap, shadow_of, staged
+from spanveil.functions.matching import B0, B1
+from spanveil.functions.spans import let, matches, overlap, shadow_of, staged
 from spanveil.operators.resolve import EDGE
 from spanveil.types import PROPAGATED, SPAN, specificity_of
 

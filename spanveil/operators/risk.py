@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NO_FIELD = r"(?![a-zA-Z0-9_]*(?:Field|Element|Input|Selector|Label|Text|Count|Total|List|Length|Name|Type|Id|Icon|Button|Form))"
-_VALUE = r"[\"']?([^\s\"';,})\n\[]{3,128})[\"']?"
+_WORD, _VALUE = "[a-zA-Z0-9_]", r"[\"']?([^\s\"';,})\[]{3,}+)"
+
+
+def _assigned(parts: str) -> str:
+    """A name with one of the parts, not that of a field, and its value; a name is read once, from its beginning."""
+    fields = "Field|Element|Input|Selector|Label|Text|Count|Total|List|Length|Name|Type|Id|Icon|Button|Form"
+    return rf"(?<!{_WORD})(?={_WORD}++\s*+[:=])(?={_WORD}*?(?i:{parts}))(?!{_WORD}*?(?:{fields})){_WORD}++\s*+[:=]\s*+{_VALUE}"
+
+
 # What must not be left in a masked text, with the category that it belongs to.
 RESIDUAL = (
-    ("API Key", r"(sk-[a-zA-Z0-9_-]{10,120}|ghp_[a-zA-Z0-9]{36}|AKIA[0-9A-Z]{16}|sk_live_[0-9a-zA-Z]{24,34}|sk_test_[0-9a-zA-Z]{24,34})", 1),
+    ("API Key", r"(sk-[a-zA-Z0-9_-]{10,}+|ghp_[a-zA-Z0-9]{36}|AKIA[0-9A-Z]{16}|sk_live_[0-9a-zA-Z]{24,}+|sk_test_[0-9a-zA-Z]{24,}+)", 1),
     ("Connection String", r"(?iu)(mongodb(?:\+srv)?://|postgres(?:ql)?://|mysql2?://|rediss?://)[^\s\"'>]+", 1),
     ("Private Key", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", 0),
-    ("JWT Token", r"eyJ[a-zA-Z0-9_-]{10,}\.eyJ[a-zA-Z0-9_-]{10,}\.[a-zA-Z0-9_-]{10,}", 0),
-    ("Password", rf"(?iu){_NO_FIELD}[a-zA-Z0-9_]*(?:password|passwd|pwd|pass|secret|credential|auth)[a-zA-Z0-9_]*\s*[:=]\s*{_VALUE}", 1),
-    ("Password", rf"(?iu)(?:password|passwd|pwd|secret)(?:\s+is|\s*:|\s*=)*[\s:=]+{_VALUE}", 1),
-    ("Bearer Token", r"(?iu)Bearer\s+([a-zA-Z0-9_\-.]{8,128})", 1),
-    ("Secret Key", rf"(?iu){_NO_FIELD}[a-zA-Z0-9_]*(?:api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|secret[_-]?key)[a-zA-Z0-9_]*\s*[:=]\s*{_VALUE}", 1),
+    ("JWT Token", r"(?<![a-zA-Z0-9_-])eyJ[a-zA-Z0-9_-]{10,}+\.eyJ[a-zA-Z0-9_-]{10,}+\.[a-zA-Z0-9_-]{10,}+", 0),
+    ("Password", _assigned("password|passwd|pwd|pass|secret|credential|auth"), 1),
+    ("Password", rf"(?iu)(?:password|passwd|pwd|secret)(?:\s++is(?=[\s:=])|[\s:=])++(?<=[\s:=]){_VALUE}", 1),
+    ("Bearer Token", r"(?iu)Bearer\s++([a-zA-Z0-9_\-.]{8,}+)", 1),
+    ("Secret Key", _assigned("api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|secret[_-]?key"), 1),
 )
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import Rule, staged
+from spanveil.functions.matching import Reader, Rule
+from spanveil.functions.spans import staged
 from spanveil.operators import risk
 from spanveil.operators.detect import DEFAULT, candidates
 from spanveil.operators.mask import mask
@@ -17,10 +18,10 @@ def session_id(id_col: Column, text: Column, salt: str = "") -> Column:
     return F.concat(F.lit("shd_"), F.substring(F.sha2(F.concat_ws(":", F.lit(salt), id_col.cast("string"), text), 256), 1, 16))
 
 
-def shield(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = DEFAULT, overrides: str | None = None, strategy: str = "REPLACE", salt: str = "", case_exact: bool = False) -> DataFrame:
+def shield(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule | Reader, ...] = DEFAULT, overrides: str | None = None, strategy: str = "REPLACE", salt: str = "", case_exact: bool = False) -> DataFrame:
     """``docs`` with masked_text, entities, mapping, scores, risk level and verdict. No shuffle."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = staged(docs, spans=candidates(body, rules))
+    out = docs.withColumn("spans", candidates(F.col(text), rules))
     if overrides:
         out = staged(out, spans=apply_overrides(F.col("spans"), F.col(overrides), body))
     out = staged(out, spans=resolve_spans(body, F.col("spans")))

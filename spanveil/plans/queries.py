@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanveil.functions.scalars import html_escaped, html_text, luhn_valid, snippet
-from spanveil.functions.spans import Rule
+from spanveil.functions.matching import Rule
 from spanveil.operators import reports, risk
 from spanveil.operators.detect import candidates, detect, detected_values
 from spanveil.operators.dictionary import match_terms, merged_terms
@@ -19,7 +19,7 @@ from spanveil.operators.reveal import decrypted, encrypted, revealed_text
 from spanveil.operators.sessions import activity_sessions, rate_limited
 from spanveil.operators.shield import session_id, shield
 from spanveil.rules import regex, secret
-from spanveil.storage import table
+from spanveil.storage import spread, table
 
 _ALL = {r.evidence: r for r in (*regex.RULES, *secret.RULES)}
 EMAIL, CARD, IP, TOKEN = (_ALL[k] for k in ("e-mail address", "card number", "IP address", "assigned key or token"))
@@ -27,7 +27,7 @@ PLAIN = (EMAIL, CARD, IP, TOKEN)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _values(*rules: Rule) -> Callable[[SparkSession, str], DataFrame]:
@@ -40,7 +40,7 @@ def _values(*rules: Rule) -> Callable[[SparkSession, str], DataFrame]:
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, entity_type, value) of the plain rules."""
     docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", "lang", "source", F.explode(candidates(F.col("text"), PLAIN)).alias("s")).select("doc_id", "lang", "source", "s.entity_type", F.col("s.text").alias("value"))
+    return detect(docs, PLAIN).select("doc_id", "lang", "source", F.explode("candidates").alias("s")).select("doc_id", "lang", "source", "s.entity_type", F.col("s.text").alias("value"))
 
 
 def detect_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,49 +7,62 @@ prose: a value in a sentence must hold a digit or a sign.
 
 from __future__ import annotations
 
-from spanveil.functions.spans import B0, B1, Rule
+import re
+
+from spanveil.functions.matching import B0, Rule
 from spanveil.types import SECRET_PRIORITY
 
-# Shapes of credentials.
-CONNECTION = r"(?iu)(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql2?|rediss?)://[^\s\"'<>]+"
-PEM = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----[\s\S]{1,8000}?-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
+# Shapes of credentials. Runs are possessive: values of any length are taken whole, in linear time.
+CONNECTION = r"(?i)(?:mongodb(?:\+srv)?|postgres(?:ql)?|mysql2?|rediss?)://[^\s\"'<>]+"
+PEM = r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----(?:(?!-----END )[\s\S])*+-----END (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 KEY = (
-    rf"{B0}(?:sk-(?:proj-|admin-|ant-|test-|session-)?[A-Za-z0-9_-]{{8,160}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36,120}}"
-    rf"|(?:sk|rk|pk)_(?:live|test)_[0-9A-Za-z]{{8,64}}|(?:ck|cs|tok|whsec)_[0-9A-Za-z_]{{8,80}}){B1}"
-)
-JWT = rf"{B0}eyJ[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{5,}}"
-BEARER = r"(?iu)(?<![A-Za-z0-9_])Bearer\s{1,8}((?=[A-Za-z0-9_.-]*[0-9])[A-Za-z0-9_.-]{8,256})"
-_PLAIN_NAMES = r"(?![A-Za-z0-9_]*(?:Field|Element|Input|Selector|Label|Text|Count|Total|List|Length|Name|Type|Id|Icon|Button|Form)(?![a-z]))"
-ASSIGNED_PASSWORD = rf"{B0}{_PLAIN_NAMES}[A-Za-z0-9_]*(?i:password|passwd|pwd|dbpass|credential)[A-Za-z0-9_]*[\"']?\s{{0,8}}[:=]\s{{0,8}}[\"']?([^\s\"';,}})\[\]]{{3,128}})"
-ASSIGNED_KEY = (
-    rf"{B0}{_PLAIN_NAMES}[A-Za-z0-9_]*(?i:api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|secret[_-]?key|token|secret)[A-Za-z0-9_]*[\"']?"
-    r"\s{0,8}[:=]\s{0,8}[\"']([^\s\"']{6,256})[\"']"
+    rf"{B0}(?:sk-[A-Za-z0-9_-]{{8,}}+|AKIA[0-9A-Z]{{16}}(?![0-9A-Z])|gh[pousr]_[A-Za-z0-9]{{36,}}+"
+    r"|(?:sk|rk|pk)_(?:live|test)_[0-9A-Za-z]{8,}+|(?:ck|cs|tok|whsec)_[0-9A-Za-z_]{8,}+)"
 )
+JWT = rf"{B0}eyJ[A-Za-z0-9_-]{{5,}}+\.[A-Za-z0-9_-]{{5,}}+\.[A-Za-z0-9_-]{{5,}}+"
+BEARER = r"(?i)(?<![A-Za-z0-9_])Bearer\s{1,8}([A-Za-z0-9_.+/=-]{8,}+)"
+_NAME = r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)[\"']?\s{0,8}[:=]\s{0,8}"
+ASSIGNED_PASSWORD = _NAME + r"[\"']?([^\s\"';,}}\])\[]{3,}+)"
+ASSIGNED_KEY = _NAME + r"[\"']([^\s\"']{6,}+)[\"']"
 SAID = (
-    r"(?iu)(?<![A-Za-z0-9_])(?:password|passwd|pwd|passcode|pin)\s{1,4}(?:is\s{1,4}now|is|was\s{1,4}changed\s{1,4}to|changed\s{1,4}to|set\s{1,4}to)\s{1,4}[\"']?"
-    r"((?=[^\s\"']*[0-9!@#$%^&*])[^\s\"';,]{3,128}?)(?=[.!?]?(?:[\"'\s;,]|\z))"
+    r"(?i)(?<![A-Za-z0-9_])(?:password|passwd|pwd|passcode|pin)\s{1,4}(?:is\s{1,4}now|is|was\s{1,4}changed\s{1,4}to|changed\s{1,4}to|set\s{1,4}to)\s{1,4}[\"']?"
+    r"([^\s\"';,]{3,}+)"
 )
-SET_TO = r"(?iu)(?<![A-Za-z0-9_])(?:set\s{1,4}it\s{1,4}to|changed\s{1,4}it\s{1,4}to|new\s{1,4}value\s{1,4}is)\s{1,4}[\"']?((?=[^\s\"']*[0-9])(?=[^\s\"']*[A-Za-z])[^\s\"';,]{6,128}?)(?=[.!?]?(?:[\"'\s;,]|\z))"
-OPTION = rf"{B0}(?:mysql|psql|mysqldump|mongo|redis-cli|sshpass)\b[^\n]{{0,200}}?\s-p((?=[^\s]*[0-9A-Z])[^\s]{{4,64}})"
-USER_URL = r"(?iu)(?<![A-Za-z0-9_])https?://[^\s/:@<>'\"]+:[^\s/@<>'\"]+@[^\s<>'\"]+"
-ORDER = r"#ORD-[A-Za-z0-9-]{3,40}"
+SET_TO = r"(?i)(?<![A-Za-z0-9_])(?:set\s{1,4}it\s{1,4}to|changed\s{1,4}it\s{1,4}to|new\s{1,4}value\s{1,4}is)\s{1,4}[\"']?([^\s\"';,]{6,}+)"
+OPTION = rf"{B0}(?:mysql|psql|mysqldump|mongo|redis-cli|sshpass)(?![A-Za-z0-9_])[^\n]{{0,200}}?\s-p([^\s]{{4,}}+)"
+USER_URL = r"(?i)(?<![A-Za-z0-9_])https?://[^\s/:@<>'\"]++:[^\s/@<>'\"]++@[^\s<>'\"]+"
+ORDER = r"#ORD-[A-Za-z0-9-]{3,}+"
+# Parts of names that hold passwords or keys, and of names that don't.
+_PASSWORDS = re.compile(r"(?i)password|passwd|pwd|dbpass|credential")
+_KEYS = re.compile(r"(?i)api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|secret[_-]?key|token|secret")
+_FIELDS = re.compile(r"(?:Field|Element|Input|Selector|Label|Text|Count|Total|List|Length|Name|Type|Id|Icon|Button|Form)(?![a-z])")
+
+
+def _named(parts: re.Pattern):
+    return lambda text, m, group: bool(parts.search(m.group(1))) and not _FIELDS.search(m.group(1))
+
+
+def _has(*classes: str):
+    """The value has a character of each class; its closing sentence mark isn't looked at."""
+    wanted = [re.compile(c) for c in classes]
+    return lambda text, m, group: all(w.search(m.group(group).rstrip(".!?")) for w in wanted)
 
 
-def _rule(entity_type: str, pattern: str, confidence: float, evidence: str, needs: str, groups: tuple[int, ...] = (0,)) -> Rule:
-    return Rule(entity_type, pattern, confidence, SECRET_PRIORITY, evidence, groups, detector="secret", needs=needs)
+def _rule(entity_type: str, pattern: str, confidence: float, evidence: str, marks: tuple, groups: tuple[int, ...] = (0,), guard=None) -> Rule:
+    return Rule(entity_type, pattern, confidence, SECRET_PRIORITY, evidence, groups, detector="secret", marks=marks, guard=guard)
 
 
 RULES = (
-    _rule("CONNECTION_STRING", CONNECTION, 0.99, "database address", "slashes"),
-    _rule("SOURCE_CODE_SECRET", PEM, 0.99, "private key block", "dashes"),
-    _rule("API_KEY", KEY, 0.99, "key with a provider's prefix", "key"),
-    _rule("JWT_TOKEN", JWT, 0.99, "signed token", "key"),
-    _rule("JWT_TOKEN", BEARER, 0.97, "bearer token", "digit", (1,)),
-    _rule("PASSWORD", ASSIGNED_PASSWORD, 0.97, "assigned password", "label", (1,)),
-    _rule("API_KEY", ASSIGNED_KEY, 0.96, "assigned key or token", "label", (1,)),
-    _rule("PASSWORD", SAID, 0.95, "password in a sentence", "word", (1,)),
-    _rule("PASSWORD", SET_TO, 0.9, "value in a sentence", "word", (1,)),
-    _rule("PASSWORD", OPTION, 0.95, "password option", "digit", (1,)),
-    _rule("URL", USER_URL, 0.98, "address with a password", "slashes"),
-    _rule("CUSTOMER_ID", ORDER, 0.9, "order number", "digit"),
+    _rule("CONNECTION_STRING", CONNECTION, 0.99, "database address", ("://",)),
+    _rule("SOURCE_CODE_SECRET", PEM, 0.99, "private key block", ("-----begin ",)),
+    _rule("API_KEY", KEY, 0.99, "key with a provider's prefix", ("sk-", "akia", "gh", "k_", "tok_", "whsec_", "cs_")),
+    _rule("JWT_TOKEN", JWT, 0.99, "signed token", ("eyj",)),
+    _rule("JWT_TOKEN", BEARER, 0.97, "bearer token", ("bearer",), (1,), _has("[0-9]")),
+    _rule("PASSWORD", ASSIGNED_PASSWORD, 0.97, "assigned password", ("passw", "pwd", "dbpass", "credential"), (2,), _named(_PASSWORDS)),
+    _rule("API_KEY", ASSIGNED_KEY, 0.96, "assigned key or token", ("key", "token", "secret"), (2,), _named(_KEYS)),
+    _rule("PASSWORD", SAID, 0.95, "password in a sentence", ("passw", "pwd", "passcode", "pin"), (1,), _has("[0-9!@#$%^&*]")),
+    _rule("PASSWORD", SET_TO, 0.9, "value in a sentence", ("set", "changed", "value"), (1,), _has("[0-9]", "[A-Za-z]")),
+    _rule("PASSWORD", OPTION, 0.95, "password option", ("-p",), (1,), _has("[0-9A-Z]")),
+    _rule("URL", USER_URL, 0.98, "address with a password", ("://",)),
+    _rule("CUSTOMER_ID", ORDER, 0.9, "order number", ("#ord-",)),
 )

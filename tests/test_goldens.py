@@ -28,6 +28,23 @@ CASES = [
     ("BVN: 22233344455 and NIN: 12345678901", "BVN: [[BANK_ACCOUNT_001]] and NIN: [[SSN_NATIONAL_ID_001]]"),
     ("mongodb+srv://u:p%40ss@cluster0.example.net/db?x=1 ok", "[[CONNECTION_STRING_001]] ok"),
     ("seen [[EMAIL_ADDRESS_001]] and a@b.com", "seen [[EMAIL_ADDRESS_001]] and [[EMAIL_ADDRESS_002]]"),
+    ("set  it to Admin&Secure!2026", "set  it to [[PASSWORD_001]]"),
+    ("john[At]example.com", "[[EMAIL_ADDRESS_001]]"),
+    ("Account Number - QWERTYABCD", "Account Number - [[BANK_ACCOUNT_001]]"),
+    ("aa:bb:cc:dd:ee:ff", "[[IP_ADDRESS_001]]"),
+    ("see #ORD-ABCDEF", "see [[CUSTOMER_ID_001]]"),
+    ("mysql -u root -pSECRET", "mysql -u root -p[[PASSWORD_001]]"),
+    ("sk-proj-" + "A" * 5000 + "!", "[[API_KEY_001]]!"),
+    ("-----BEGIN PRIVATE KEY-----\n" + "QUFB\n" * 4000 + "-----END PRIVATE KEY-----", "[[SOURCE_CODE_SECRET_001]]"),
+    ("Amina Bello went home to Lagos, Nigeria", "[[PERSON_NAME_001]] went home to [[LOCATION_001]], [[LOCATION_002]]"),
+    ("John Doe's email", "[[PERSON_NAME_001]]'s email"),
+    ("Voter Card ID: VOT-99281", "Voter Card ID: [[VOTER_CARD_ID_001]]"),
+    ("Salary: 50000 USD", "Salary: [[FINANCIAL_001]]"),
+    ("Two-Factor Code: 883311", "Two-Factor Code: [[PASSWORD_001]]"),
+    ("| Name | City |\r\n|---|---|\r\n| Ann Lee | Rome |", "| Name | City |\r\n|---|---|\r\n| [[PERSON_NAME_001]] | [[CITY_001]] |"),
+    ("Address: 1 Main Row\nManchester, M1 4WX, United Kingdom", "Address: [[ADDRESS_001]]\n[[ADDRESS_002]]"),
+    ("we spoke to Mary-Jane O'Neil today", "we spoke to [[PERSON_NAME_001]] today"),
+    ("State of California law", None),
     ("", None),
     ("   ", None),
     (None, None),
@@ -116,3 +133,39 @@ def test_reveal_status(spark):
 
 def test_resolve_is_a_column(spark):
     assert spark.range(1).select(resolve_spans(F.lit("x"), F.array().cast(f"array<{SPAN}>")).alias("s")).first().s == []
+
+
+HOSTILE = ["a" * 10_000 + "=", "password" * 1000 + ":" * 3000, "a@" * 5000, "1-" * 5000, "x=" * 5000, "A " * 5000, "[[" * 5000, "sk-" * 5000, "-----BEGIN PRIVATE KEY-----" * 300]
+
+
+def test_hostile_texts_take_linear_time(spark):
+    from time import time
+
+    from spanveil.functions.matching import find_all
+    from spanveil.operators.detect import DEFAULT
+    from spanveil.operators.risk import residual_categories
+
+    for text in HOSTILE:
+        began = time()
+        find_all(text, DEFAULT)
+        assert time() - began < 2.5
+    df = spark.createDataFrame([(x,) for x in HOSTILE], "t string").coalesce(1)
+    df.select(residual_categories(F.col("t"))).limit(0).collect()
+    began = time()
+    df.select(residual_categories(F.col("t"))).collect()
+    assert time() - began < 2.5 * len(HOSTILE)
+
+
+def test_marks_pass_no_match_over(spark, sf):
+    """A rule finds the same with and without its marks."""
+    from dataclasses import replace
+
+    from spanveil.functions.matching import Rule
+    from spanveil.operators.detect import DEFAULT
+
+    texts = [t or "" for t, _ in CASES] + [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    texts += [t.swapcase() for t in texts[: len(CASES)]]
+    for rule in DEFAULT:
+        if isinstance(rule, Rule) and rule.marks:
+            for text in texts:
+                assert list(rule.find(text, text.lower())) == list(replace(rule, marks=()).find(text, text.lower()))
