@@ -8,7 +8,7 @@ counted in each fragment separately and summed for the pair.
 
 Documents with equal sets are one class and take part once. Candidates are not
 expanded into all pairs of a posting: first each document meets the smallest one
-of its postings; then only documents that are still in different components meet,
+of its postings and the one before it; then only documents that are still in different components meet,
 inside tasks (block by block, if a posting is large), where a parity sketch rules
 out most pairs before any row is made. What is left is verified in rounds, each
 document's likeliest pairs first; pairs that a round's links join need no more.
@@ -45,7 +45,7 @@ COMMON = 16
 _CHUNK = 4096  # counters in a row
 _BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
 #: Postings of more documents are cut into blocks of about so many.
-POSTING_ROWS = 512
+POSTING_ROWS = 2048
 #: A sketch has two to four bits for each n-gram, and so many at least.
 SKETCH_BITS = 256
 #: Documents are picked for verification by a filter of so many bits, then exactly.
@@ -318,6 +318,13 @@ def _possible(num: int, den: int):
     return sizes & (differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
 
+def _folded(sketch: str):
+    """A sketch of a quarter of the width, and of SKETCH_BITS at least, to meet with."""
+    half = lambda x: (F.size(x) / 2).cast("int")
+    fold = lambda x: F.when(F.size(x) * 64 <= SKETCH_BITS, x).otherwise(F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q)))
+    return fold(fold(F.col(sketch)))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> DataFrame:
     """The (a, b) of ``pairs`` (a, d1_a, b, d1_b) that reach the threshold, from overlaps summed over fragments."""
     small = sets.select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"])
@@ -444,15 +451,16 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _live_postings(postings: DataFrame) -> DataFrame:
-    """(h, id, d1, low, low_d1, rank) of the postings (h, part, id, d1) that more than one set is in.
+    """(h, id, d1, low, low_d1, last, last_d1, rank) of the postings (h, part, id, d1) that more than one set is in.
 
-    ``low`` is the smallest member of the posting's part, ``rank`` the row's place
-    there. Rows are read in order, once, and none is held but the last. Common
+    ``low`` is the smallest member of the posting's part, ``last`` the one before the
+    row, ``rank`` the row's place. Rows are read in order, once, and none is held but the last. Common
     n-grams (below zero) have parts; all their rows are passed on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the last row: h, part, id, d1, low, low_d1, rank
+        held: list[np.ndarray] = []  # the last row: h, part, id, d1, low, low_d1, rank, last, last_d1
+        names = ["h", "id", "d1", "low", "low_d1", "last", "last_d1", "rank"]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -468,16 +476,19 @@ def _live_postings(postings: DataFrame) -> DataFrame:
                 same = of == 0
                 low[same], low_d1[same] = held[4][0], held[5][0]
                 rank[same] += held[6][0]
+            last, last_d1 = (np.where(new, x, np.roll(x, 1)) for x in (ids, d1))
+            if held:
+                last[0], last_d1[0] = held[7][0], held[8][0]
             multi = (np.bincount(of)[of] > 1) | (rank > 0) | (h < 0)
             multi[-1] = False  # the next batch tells
-            columns = (h, ids, d1, low, low_d1, rank)
-            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in columns], names=["h", "id", "d1", "low", "low_d1", "rank"])
-            held = [x[-1:] for x in (h, part, ids, d1, low, low_d1, rank)]
+            columns = (h, ids, d1, low, low_d1, last, last_d1, rank)
+            yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in columns], names=names)
+            held = [x[-1:] for x in (h, part, ids, d1, low, low_d1, rank, last, last_d1)]
         if held and (held[6][0] > 0 or held[0][0] < 0):
-            yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (0, 2, 3, 4, 5, 6)], names=["h", "id", "d1", "low", "low_d1", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (0, 2, 3, 4, 5, 7, 8, 6)], names=names)
 
     ordered = postings.repartition("h", "part").sortWithinPartitions("h", "part", "id", "d1")
-    return ordered.mapInArrow(run, "h long, id long, d1 long, low long, low_d1 long, rank long")
+    return ordered.mapInArrow(run, "h long, id long, d1 long, low long, low_d1 long, last long, last_d1 long, rank long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -503,26 +514,21 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     # a common n-gram may lead a third of all sets: its posting is read in parts, whose smallest sets meet
     part = F.when(F.col("h") < 0, F.pmod(F.xxhash64("id", "d1"), F.lit(parts))).otherwise(0).cast("int")
     live = cut(_live_postings(chosen.select(F.explode("prefix").alias("h"), "id", "d1").select("h", part.alias("part"), "id", "d1")))
-    heads = live.where("h < 0 and rank = 0")
+    heads = live.where("h < 0 and rank = 0").select("h", "id", "d1")
     lowest = heads.groupBy("h").agg(F.min(F.struct("id", "d1")).alias("least"))
     met = heads.join(lowest, "h").select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("least.id").alias("b"), F.col("least.d1").alias("d1_b"))
-    stars = live.select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("low").alias("b"), F.col("low_d1").alias("d1_b")).unionByName(met)
-    stars = stars.where("a <> b or d1_a <> d1_b").distinct()
+    side = lambda x: live.select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col(x).alias("b"), F.col(f"{x}_d1").alias("d1_b"))
+    stars = side("low").unionByName(side("last")).unionByName(met).where("a <> b or d1_a <> d1_b").distinct()
     edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(ties))
     found = cut(components(edges))
-    counted = live.where("h < 0").groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > POSTING_ROWS).select("h")
-    large = cut(live.where((F.col("h") >= 0) & (F.col("rank") == POSTING_ROWS)).select("h").union(counted))
-
-    def apart(postings: DataFrame) -> DataFrame:
-        placed = postings.join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
-        mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("h")
-        return placed.join(mixed, "h", "left_semi").join(sets.select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"]), ["id", "d1"])
-
-    if large.isEmpty():
-        meetings = _meetings(apart(live), num, den)
-    else:  # a row for each POSTING_ROWS rows of postings at most
-        some, others = (live.join(large, "h", kind) for kind in ("left_semi", "left_anti"))
-        meetings = _meetings(apart(others), num, den).unionByName(_block_meetings(apart(some), num, den))
+    placed = live.select("h", "id", "d1").join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
+    mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("h", "m")
+    apart = cut(placed.join(mixed, "h"))  # documents of different components in one posting
+    sketches = sets.select("id", "d1", F.col("n").cast("int").alias("n"), _folded("sketch").alias("sketch")).dropDuplicates(["id", "d1"])
+    meetings = _meetings(apart.where(F.col("m") <= POSTING_ROWS).join(sketches, ["id", "d1"]), num, den)
+    large = apart.where(F.col("m") > POSTING_ROWS)
+    if not large.isEmpty():
+        meetings = meetings.unionByName(_block_meetings(large.join(sketches, ["id", "d1"]), num, den))
     every, links = found, edges
     pair = ["a", "d1_a", "b", "d1_b"]
     met = cut(meetings.groupBy(*pair).agg(F.min("apart").alias("apart")))
