@@ -3,13 +3,15 @@
 A vector's dimensions are cut into slices; a score is the sum of one partial score
 from each slice. Queries and candidates meet in tiles (a block of queries with a
 block of candidates), so that neither side is broadcast or collected.
-1. Each slice of each tile gives every query its k best partial scores; the
+1. Each slice of each tile gives every query its k best partial scores; only the
    candidates on these local lists are scored in full, and the k-th best score
    that a query has anywhere is a safe cutoff: the final list cannot fall below.
 2. The cutoffs travel to the tiles with the queries. A score that reaches the
    cutoff c has a partial score of c / slices at least in one of the slices, so
-   entries with such a partial score are sufficient.
-3. Their scores are resolved exactly, and each tile passes on its k best.
+   entries with such a partial score are sufficient. Slices in which the lengths
+   of the vectors rule such a score out aren't looked at.
+3. Only the scores of these entries are resolved, exactly, and each tile passes on
+   its k best.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components
 take no part, nor do rows with a null id; a shorter vector counts as filled up
@@ -89,31 +91,34 @@ def _tiles(pairs: DataFrame, k: int, phase: int) -> DataFrame:
                 dims = int(max(vs.value_lengths().to_numpy().max(), qvs.value_lengths().to_numpy().max()))
                 x, q, ids = _matrix(vs, dims), _matrix(qvs, dims), ids.to_numpy()
                 cuts = np.array_split(np.arange(dims), min(SLICES, dims))
-                least = cutoff.fill_null(_LOWEST).to_numpy()
+                longest = [np.sqrt((x[:, c].astype(np.float64) ** 2).sum(1)).max() for c in cuts]
                 out: tuple[list, list, list] = ([], [], [])
                 for begin in range(0, len(q), 128):
-                    some = slice(begin, begin + 128)
-                    partial = np.stack([_exact(q[some][:, c], x[:, c]) for c in cuts])
-                    total = partial.sum(0) if np.abs(partial).max(initial=0) < 2**60 else _exact(q[some], x)
-                    chosen = np.zeros(total.shape, bool)
-                    if phase == 1:
-                        n = min(k + 1, len(ids))  # one may be the query itself
-                        at = np.argpartition(-partial.astype(np.float64), n - 1, axis=2)[:, :, :n]
-                        for part in at:
-                            np.put_along_axis(chosen, part, True, 1)
-                    else:
-                        share = -((-least[some]) // len(cuts))
-                        chosen = (partial >= share[None, :, None]).any(0) & (total >= least[some][:, None])
-                        if np.abs(partial).max(initial=0) >= 2**60:
-                            chosen = total >= least[some][:, None]
-                        chosen[least[some] == _LOWEST] = True  # no cutoff: its share would leave 64 bits
+                    some, open_cut = slice(begin, begin + 128), cutoff[begin : begin + 128].is_null().to_numpy(zero_copy_only=False)
+                    least = cutoff[begin : begin + 128].fill_null(0).to_numpy()
+                    share = -(-least // len(cuts))  # of a score that reaches the cutoff, in one slice at least
+                    parts, chosen = [], np.zeros((len(least), len(ids)), bool)
+                    for c, most in zip(cuts, longest, strict=True):
+                        part, n = _exact(q[some][:, c], x[:, c]), min(k + 1, len(ids))  # one may be the query itself
+                        parts.append(part)
+                        if phase == 1:
+                            np.put_along_axis(chosen, np.argpartition(-part.astype(np.float64), n - 1, axis=1)[:, :n], True, 1)
+                        else:
+                            reach = open_cut | (most * np.sqrt((q[some][:, c].astype(np.float64) ** 2).sum(1)) >= share - 1 - 1e-9 * np.abs(share))
+                            chosen[reach] |= part[reach] >= share[reach, None]
+                    if phase == 2:
+                        chosen[open_cut] = True
                     chosen &= ids[None, :] != query[some][:, None]
+                    large = max(int(np.abs(p).max(initial=0)) for p in parts) >= 2**60
                     for i in np.flatnonzero(chosen.any(1)):
-                        j = np.flatnonzero(chosen[i])
-                        j = j[best(ids[j], total[i, j])]
-                        out[0].append(np.full(len(j), query[begin + i]))
-                        out[1].append(ids[j])
-                        out[2].append(total[i, j])
+                        j = np.flatnonzero(chosen[i])  # only these are scored in full
+                        score = _exact(q[some][i : i + 1], x[j])[0] if large else sum(p[i, j] for p in parts)
+                        if phase == 2 and not open_cut[i]:
+                            j, score = j[score >= least[i]], score[score >= least[i]]
+                        kept = best(ids[j], score)
+                        out[0].append(np.full(len(kept), query[begin + i]))
+                        out[1].append(ids[j[kept]])
+                        out[2].append(score[kept])
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
 
