@@ -12,8 +12,8 @@ tokens. States and transitions are compiled when first met, into dense tables.
 A batch of texts is cut into chunks of equal length that are read side by side.
 The white-space mark and characters outside the vocabulary lead to the same state
 from anywhere, so a chunk's state map is constant from its first such character
-on. Only the head of a chunk depends on what precedes it: the maps are composed
-in order, and heads are read from the state that the composition gives them.
+on. Only the head of a chunk depends on what precedes it: chunk maps are composed
+by a prefix scan, and heads are read side by side from the states that it gives.
 
 The scores of white-space runs tie; runs of two marks and more are therefore
 counted by the tokenizer's own rule (leftmost first), given whether the last mark
@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK = 256
+#: Characters that a guessed state is read from.
+WARM = 48
 #: A part of a batch holds about so many characters.
 PART_CHARS = 1_000_000
 #: Columns of the dense tables; characters beyond take a slower way.
@@ -148,6 +150,10 @@ class CountingTransducer:
         made = (grown[len(grown) - longest :] if longest else "", (*kept, (0, piece, 0, alone)))
         if (to := self.ids.get(made)) is None:
             to = self.ids[made] = len(self.states)
+            if to == len(self.alone):
+                more = np.zeros_like(self.next[:PART_CHARS])
+                self.next, self.emit = np.concatenate([self.next, more]), np.concatenate([self.emit, more.astype(np.int8)])
+                self.alone = np.concatenate([self.alone, np.zeros(PART_CHARS, bool)])
             self.states.append(made)
             self.alone[to] = alone
             if to > _OPEN + 1:
@@ -240,6 +246,56 @@ class CountingTransducer:
         out[some] = np.bincount(doc, weights=emitted, minlength=len(some)).astype(np.int64)
         return out
 
+    def _quiet(self, cols: np.ndarray, chars: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The states after reading; what is emitted is not needed."""
+        return self._read(cols, chars, state, np.zeros(cols.shape, np.int16), np.zeros(cols.shape, np.int32))
+
+    def _entries(self, cols: np.ndarray, chars: np.ndarray, leaves: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The state in which each chunk is entered.
+
+        A chunk with a reset has a constant map. The map of another chunk is read for
+        the states in which its neighbour can be left: first for a guess, the state
+        that the neighbour's last characters lead to from the start, then for the
+        neighbour's own results, all chunks side by side, until no state is new.
+        The maps compose associatively, so a prefix scan gives every chunk's entry in
+        as many steps as the number of chunks has binary digits.
+        """
+        n = len(whole)
+        maps: list[dict[int, int]] = [{} for _ in range(n)]
+        lanes = np.flatnonzero(whole)
+        before = np.maximum(lanes - 1, 0)
+        guess = self._quiet(cols[-WARM:, before], chars[-WARM:, before], np.full(len(lanes), _OPEN, np.int32))
+        guess = np.where(lanes == 0, _OPEN, np.where(whole[before], guess, leaves[before]))
+        todo = sorted(set(zip(lanes.tolist(), guess.tolist(), strict=True)))
+        while todo:
+            at, state = (np.array(x) for x in zip(*todo, strict=True))
+            ends = self._quiet(cols[:, at], chars[:, at], state.astype(np.int32))
+            fresh = set()
+            for (i, s), end in zip(todo, ends.tolist(), strict=True):
+                maps[i][s] = end
+                if i + 1 < n and whole[i + 1] and end not in maps[i + 1]:
+                    fresh.add((i + 1, end))
+            todo = sorted((i, s) for i, s in fresh if s not in maps[i])
+        entry = [list(m) for m in maps]
+        place = [{s: k for k, s in enumerate(e)} for e in entry]
+        scan = np.zeros((n, max(1, *map(len, maps))), np.int64)  # entry of this chunk to entry of the next, by number
+        for i in range(n - 1):
+            if whole[i + 1]:
+                ends = [maps[i][s] for s in entry[i]] if whole[i] else [int(leaves[i])] * scan.shape[1]
+                scan[i, : len(ends)] = [place[i + 1][x] for x in ends]
+        step = 1
+        while step < n:
+            scan[step:] = np.take_along_axis(scan[step:], scan[:-step].copy(), 1)
+            step *= 2
+        out = np.full(n, _OPEN, np.int32)
+        for i in range(1, n):
+            if whole[i - 1]:
+                left = entry[i - 1][scan[i - 2, 0] if i > 1 else 0]
+                out[i] = maps[i - 1][left]
+            else:
+                out[i] = leaves[i - 1]
+        return out
+
     def _scan(self, columns: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Emitted tokens and state at each character."""
         n = -(-len(columns) // CHUNK)
@@ -250,21 +306,15 @@ class CountingTransducer:
         leaves = self._read(cols, chars, np.full(n, _DEAD, np.int32), emitted, states)
         resets = (cols == _UNKNOWN) | (cols == _MARK)
         head = np.where(resets.any(0), resets.argmax(0), CHUNK)
-        waiting = head > 0
-        while waiting.any():  # compose: a chunk can be entered when the one before it is left in a known state
-            ready = waiting & np.concatenate([[True], ~(waiting & (head == CHUNK))[:-1]])
-            lanes = np.flatnonzero(ready)
-            lanes = lanes[np.argsort(-head[lanes], kind="stable")]
-            state = np.where(lanes > 0, leaves[lanes - 1], _OPEN).astype(np.int32)
-            for t in range(int(head[lanes[0]])):
-                live = int(np.searchsorted(-head[lanes], -t, "left"))
-                part = lanes[:live]
-                e, s = np.zeros((1, live), np.int16), np.zeros((1, live), np.int32)
-                state[:live] = self._read(cols[t : t + 1, part], chars[t : t + 1, part], state[:live], e, s)
-                emitted[t, part], states[t, part] = e[0], s[0]
-            whole = head[lanes] == CHUNK
-            leaves[lanes[whole]] = state[whole]
-            waiting[lanes] = False
+        state = self._entries(cols, chars, leaves, head == CHUNK)
+        lanes = np.argsort(-head, kind="stable")  # heads, the longest first
+        state = state[lanes]
+        for t in range(int(head.max(initial=0))):
+            live = int(np.searchsorted(-head[lanes], -t, "left"))
+            part = lanes[:live]
+            e, s = np.zeros((1, live), np.int16), np.zeros((1, live), np.int32)
+            state[:live] = self._read(cols[t : t + 1, part], chars[t : t + 1, part], state[:live], e, s)
+            emitted[t, part], states[t, part] = e[0], s[0]
         flat = lambda x: x.T.reshape(-1)[: len(columns)]
         return flat(emitted), flat(states)
 
