@@ -17,27 +17,30 @@ Defined cases: a null or empty text has no words and the lowest score of all; a
 text of any length is read whole; without labelled rows of both kinds every score
 is the share of toxic rows (0 without rows); rows with a null label or id don't
 count as labelled; of several labels for an id the highest counts; repeated rows
-are scored alike; an empty table gives no rows; other columns are not read.
+are scored alike; an empty table gives no rows; other columns are not read, but a
+column with the score's name is replaced by it.
+
+Only the number of labelled rows to learn from is bounded (SAMPLE); the lexicon
+holds whatever has enough evidence in them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents to learn from, at most (those with the smallest hash).
 SAMPLE = 20_000
-#: Entries that a lexicon has, at most; exception phrases likewise.
-ENTRIES, EXCEPTIONS = 20_000, 2_000
+#: Clean texts that an exception phrase must occur in, and those of a half of the sample.
+SPARED, SPARED_HALF = 5, 3
 #: Lengths of the beginnings of words that can be entries.
 BEGINNINGS = range(3, 9)
 #: An entry needs this much evidence (log-likelihood ratio), and its documents are mostly toxic.
@@ -184,7 +187,7 @@ def _choose(counted: DataFrame, totals: dict[tuple[int, int], int], halves: tupl
     evidence = 2 * (term(F.col("t"), (F.col("t") + F.col("c")) * share) + term(F.col("c"), (F.col("t") + F.col("c")) * (1 - share)))
     weight = F.log(((F.col("t") + 0.5 * share) / toxic) / ((F.col("c") + 0.5 * (1 - share)) / clean))
     rows = counted.select("entry", t.alias("t"), c.alias("c")).where(F.col("t") >= PRECISION * (F.col("t") + F.col("c")))
-    rows = rows.withColumn("g", evidence).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "entry").limit(ENTRIES)
+    rows = rows.withColumn("g", evidence).where(F.col("g") >= EVIDENCE).orderBy(F.desc("g"), "entry")
     shrunk = weight * F.col("g") / (F.col("g") + 40)  # an entry with little evidence weighs little
     return _specific([(r.entry, r.t, float(r.w)) for r in rows.select("entry", "t", shrunk.alias("w")).collect() if r.w > 0])
 
@@ -228,8 +231,8 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         counted = _counts(sample).where(F.col("t0") + F.col("t1") > 1).persist()
         whole, *halves = (_choose(counted, totals, h) for h in ((0, 1), (0,), (1,)))
         counted.unpersist()
-        exceptions = _exceptions(sample, Lexicon(whole))
-        other = [Lexicon(halves[1], exceptions), Lexicon(halves[0], exceptions)]
+        exceptions, *of_halves = _exceptions(sample, Lexicon(whole))
+        other = [Lexicon(halves[1], of_halves[1]), Lexicon(halves[0], of_halves[0])]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -243,27 +246,31 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
         sample.unpersist()
 
 
-def _exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
-    """Two-word phrases with an entry that occur in at least five texts, none of them toxic."""
+def _exceptions(sample: DataFrame, lexicon: Lexicon) -> tuple[tuple[str, ...], ...]:
+    """Two-word phrases with an entry that occur in several clean texts and in no toxic one: of all texts and of each half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, half in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 folded, here = fold(text), set()
                 for at in lexicon.hits(folded):
                     end = folded.index(" ", at + 1)
                     before, after = folded.rfind(" ", 0, at), folded.find(" ", end + 1)
                     here.update(folded[a : b + 1] for a, b in ((before, end), (at, after)) if a >= 0 and b > 0)
-                seen.update((x, toxic) for x in here)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in seen], pa.string()), pa.array([n * t for (_, t), n in seen.items()], pa.int64()), pa.array([n * (1 - t) for (_, t), n in seen.items()], pa.int64())],
-            names=["phrase", "t", "c"],
-        )
+                for phrase in here:
+                    seen[phrase][2 * half + (not toxic)] += 1
+        columns = [pa.array(list(seen), pa.string()), *(pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(4))]
+        yield pa.RecordBatch.from_arrays(columns, names=["phrase", "t0", "c0", "t1", "c1"])
 
-    counted = sample.mapInArrow(run, "phrase string, t long, c long").groupBy("phrase").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    rows = counted.where("t = 0 and c >= 5").orderBy(F.desc("c"), "phrase").limit(EXCEPTIONS)
-    return tuple(r.phrase for r in rows.collect())
+    counted = sample.mapInArrow(run, "phrase string, t0 long, c0 long, t1 long, c1 long")
+    counted = counted.groupBy("phrase").agg(*[F.sum(c).alias(c) for c in ("t0", "c0", "t1", "c1")])
+    some = counted.where(f"(t0 = 0 or t1 = 0) and c0 + c1 >= {SPARED_HALF}").orderBy("phrase").collect()  # phrases of the bounded sample
+    return (
+        tuple(r.phrase for r in some if not r.t0 + r.t1 and r.c0 + r.c1 >= SPARED),
+        tuple(r.phrase for r in some if not r.t0 and r.c0 >= SPARED_HALF),
+        tuple(r.phrase for r in some if not r.t1 and r.c1 >= SPARED_HALF),
+    )
 
 
 @lru_cache(maxsize=2)
@@ -273,18 +280,16 @@ def _kept(lexicon: Lexicon) -> Lexicon:
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "score") -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1)."""
+    """``docs`` with a column ``score`` (0 to 1), which replaces one of that name."""
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
         ready = _kept(lexicon)
-        return texts.map(lambda x: ready.score(fold(x)))
+        return pa.array([ready.score(fold(x.as_py())) for x in texts], pa.float64())
 
     return docs.withColumn(score, scored(F.coalesce(F.col(text), F.lit(""))))
 
 
-
-
 def reject_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score less than ``threshold``, with their columns."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
