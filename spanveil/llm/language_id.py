@@ -8,7 +8,7 @@ windows' probabilities, weighted by their bytes.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a
 text of any length is read whole, a short one is padded with zero bytes; without
-labelled rows every text is ``und``; rows with a null label aren't learned from;
+labelled rows every text is ``und``; rows with a null label or id aren't learned from;
 equal probabilities go to the label that sorts first; repeated rows are predicted
 alike; an empty table gives no rows; other columns are not read.
 """
@@ -20,16 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled texts to learn from, at most (those with the smallest hash), and windows of each.
-SAMPLE, WINDOWS = 2_000, 2
+#: Labelled texts of each language to learn from, at most: those with the smallest hash. They are read whole.
+SAMPLE = 400
 #: Bytes of a window.
 LENGTH = 128
 UNKNOWN = "und"
 _WIDTHS, _FILTERS, _EMBEDDING = (2, 3, 4, 5), 12, 8
-_EPOCHS, _BATCH, _RATE = 5, 64, 0.01
+_EPOCHS, _BATCH, _RATE = 2, 64, 0.01
 _BLOCK_BYTES = 1_000_000
 _BLOCK_WINDOWS = 512
 
@@ -131,25 +131,19 @@ def _windows(data: bytes) -> np.ndarray:
 
 
 def learn_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> ByteNetwork | None:
-    """A network from at most SAMPLE labelled rows for which ``learn`` holds; None without any."""
+    """A network from at most SAMPLE labelled rows of each language for which ``learn`` holds; None without any."""
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    chosen = rows.select(F.xxhash64(id_col).alias("_order"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
-
-    def cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # windows at even distances over the whole text
-            out = []
-            for x in batch.column(1).to_pylist():
-                found = _windows(x.encode())
-                out.append(found[np.unique(np.linspace(0, len(found) - 1, WINDOWS).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], names=["o", "windows", "lang"])
-
-    cut = chosen.mapInArrow(cut_windows, "o long, windows binary, lang string").orderBy("o", "windows").limit(SAMPLE)
-    found = cut.toArrow().to_pydict()
-    if not found["lang"]:
+    named = rows.select(F.col(id_col).alias("_id"), F.xxhash64(id_col).alias("_order"), F.col(lang).alias("_lang"))
+    # each task passes on SAMPLE rows of a language at most
+    first = named.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_id"))).where(F.col("_n") <= SAMPLE)
+    chosen = rows.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"))
+    chosen = chosen.join(F.broadcast(first.select("_id", "_lang").distinct()), ["_id", "_lang"], "left_semi")  # SAMPLE rows of a language
+    found = chosen.select("_lang", "_text").distinct().orderBy(F.xxhash64("_text"), "_text").toArrow().to_pydict()
+    if not found["_lang"]:
         return None
-    labels = tuple(sorted(set(found["lang"])))
-    stacks = [np.frombuffer(x, np.uint8).reshape(-1, LENGTH) for x in found["windows"]]
-    targets = np.repeat([labels.index(x) for x in found["lang"]], [len(x) for x in stacks])
+    labels = tuple(sorted(set(found["_lang"])))
+    stacks = [_windows(x.encode()) for x in found["_text"]]
+    targets = np.repeat([labels.index(x) for x in found["_lang"]], [len(x) for x in stacks])
     return train(np.concatenate(stacks), targets, labels)
 
 
