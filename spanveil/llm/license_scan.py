@@ -23,6 +23,16 @@ from pyspark.sql import functions as F
 
 from spanveil.storage import cut
 
+# Paragraphs of public licence texts.
+_FREE = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+_MIT_CONDITION = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+_MIT_LIABILITY = "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_ISC_DISCLAIMER = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+_BSD_CONDITIONS = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_DISCLAIMER = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, version {1} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
 # Statements by which licences are declared.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -37,11 +47,25 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("Proprietary", "All rights reserved"),
+    # whole licence texts and notices, for licence files
+    ("MIT", _FREE + _MIT_CONDITION + _AS_IS + _MIT_LIABILITY),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_DISCLAIMER),
+    ("BSD-2-Clause", _BSD + _BSD_CONDITIONS + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", _BSD + _BSD_CONDITIONS + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_DISCLAIMER),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", _GPL.format("General", "3") + " See the GNU General Public License for more details."),
+    ("GPL-2.0", _GPL.format("General", "2") + " See the GNU General Public License for more details."),
+    ("LGPL-3.0", _GPL.format("Lesser General", "3") + " See the GNU Lesser General Public License for more details."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 HEADER = r"(?i)licen[cs]e|copyright|all rights reserved|permission is hereby|redistribution and use"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)([.\-_][^/]*)?$"
 TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 THRESHOLD = 0.5
+#: Directories with a licence above them that may be sent to every task; beyond, files are salted.
+SMALL, SALTS = 20_000, 32
 
 
 def _terms(text: Column) -> Column:
@@ -89,7 +113,7 @@ def scan_licences(files: DataFrame, id_col: str = "doc_id", path: str = "path",
     """(id, path, licence, score, origin, licence_dir): origin is own, inherited or none."""
     is_file = F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
     rows = files.select(F.col(id_col).alias("_id"), F.col(path).alias("_path"), is_file.alias("is_file"), header_of(F.col(text), is_file).alias("header"))
-    rows = cut(rows.withColumn("row", F.xxhash64("_id", "_path", "header")))
+    rows = cut(rows.withColumn("row", F.sha2("header", 256)))
     found = match_templates(rows.where("header <> ''").select("row", "header").dropDuplicates(["row"])).where(F.col("score") >= THRESHOLD)
     own = rows.join(found, "row", "left").select("_id", "_path", "is_file", "licence", "score")
     own = cut(own)
@@ -100,7 +124,12 @@ def scan_licences(files: DataFrame, id_col: str = "doc_id", path: str = "path",
     above = dirs.select("own_dir", F.posexplode(F.filter(F.concat(F.array("own_dir"), _ancestors(F.col("own_dir"))), lambda x: x.isNotNull())).alias("up", "dir")).distinct()
     nearest = above.join(ranked, "dir").groupBy("own_dir").agg(F.min(F.struct("up", "dir", "dir_licence")).alias("b")).select("own_dir", "b.dir", "b.dir_licence")
     out = own.withColumn("own_dir", F.when(F.col("licence").isNull() & F.col("_path").isNotNull(), F.element_at(_ancestors(F.col("_path")), 1)))
-    out = out.join(nearest, "own_dir", "left")
+    nearest = cut(nearest)
+    if nearest.count() <= SMALL:
+        out = out.join(F.broadcast(nearest), "own_dir", "left")
+    else:  # a directory may hold a third of all files: its rows are salted
+        spread = nearest.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        out = out.withColumn("_salt", F.pmod(F.xxhash64("_id", "_path"), F.lit(SALTS)).cast("int")).join(spread, ["own_dir", "_salt"], "left")
     return out.select(
         F.col("_id").alias(id_col),
         F.col("_path").alias(path),

@@ -22,7 +22,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(docs.select("doc_id", "text", F.concat_ws("/", "source", "lang", name).alias("path")))
 
 
-_VALUES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
+_VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 _HEADER, _TERM = HEADER.removeprefix("(?i)"), TERM
 
 SQL = f"""
