@@ -24,8 +24,8 @@ from spanveil.storage import cut
 
 #: Words are runs of anything but the six white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of a source's key order; a part is what one task sorts.
-BUCKETS = 4096
+#: A source's key order is cut into parts of about so many rows, if all rows are the source's; a part is what one task sorts.
+PART_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -79,13 +79,14 @@ def mix_sources(
     """
     body = F.coalesce(F.col(text), F.lit(""))
     u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(2**52)) + 0.5) / float(2**52)
+    parts_of_key = max(1, -(-docs.count() // PART_ROWS))
     keyed = cut(
         docs.select(
             F.col(id_col).alias("_id"),
             F.col(source).alias("source"),
             word_count(F.col(text)).alias("size"),
             (-F.log(u) / quality_weight(body)).alias("key"),
-        ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+        ).withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * parts_of_key).cast("int"))
     )
     parts = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("part_size"))
     targets = source_targets(parts.groupBy("source").agg(F.sum("part_size").alias("source_size")), cap, list(map(float, weights)))
