@@ -13,12 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanveil.llm import queries_exact_dedup, queries_license_scan, queries_topk, registry
-from spanveil.llm.exact_dedup import compact, exact_dedup, flush_run, keep_one, write_run
+from spanveil.llm.exact_dedup import compact, exact_dedup, flush, keep_one
 from spanveil.llm.language_id import learn_languages, predict_languages
 from spanveil.llm.license_scan import scan_licences
 from spanveil.llm.mixing import mix_sources, mixed_documents
 from spanveil.llm.ngram_join import keep_representatives, ngram_components
-from spanveil.llm.packing import WordEncoder, pack, pack_documents, place
+from spanveil.llm.packing import TextEncoder, pack, pack_documents, place
 from spanveil.llm.token_counts import CountingTransducer, count_tokens
 from spanveil.llm.topk_search import top_k
 from spanveil.llm.toxicity import Lexicon, fold, learn_lexicon, reject_toxic, score_toxicity
@@ -59,7 +59,7 @@ def test_same_rows_as_sql(spark, sf, name, sql, table):
 
 def test_dedup_odd_rows(odd):
     out = [r.asDict() for r in exact_dedup(odd, keep="max").collect()]
-    assert len(out) == odd.count() and all(r["same_bytes"] for r in out)
+    assert len(out) == odd.count()
     empty = [r for r in out if r["digest"] == hashlib.sha256(b"").hexdigest()]
     assert {r["keep_id"] for r in empty} == {9} and {r["group_size"] for r in empty} == {3}
     kept = keep_one(odd, keep="max")
@@ -68,11 +68,25 @@ def test_dedup_odd_rows(odd):
 
 
 def test_dedup_runs_merge(spark, tmp_path):
-    a, b = docs(spark, ["x", "y", "x"]), docs(spark, ["x", "z"], 10)
-    for part in (a, b):
-        write_run(flush_run(part), str(tmp_path / "runs"))
-    merged = {r.digest: (r.keep_id, r.n) for r in compact(spark.read.parquet(str(tmp_path / "runs"))).collect()}
-    assert merged[hashlib.sha256(b"x").hexdigest()] == (0, 3) and len(merged) == 3
+    keys = spark.range(1000, numPartitions=9).selectExpr("id AS _id", "cast(id % 70 AS string) AS digest")
+    runs = flush(keys, str(tmp_path), 6, "min")
+    assert runs.select("run").distinct().count() == 6
+    merged = {r.digest: (r.keep_id, r.n) for r in compact(runs, str(tmp_path), 6, "min").collect()}
+    assert merged == {str(k): (k, len(range(k, 1000, 70))) for k in range(70)}
+    assert [p.name for p in tmp_path.iterdir()] == ["level-2"]
+
+
+@pytest.mark.parametrize("digest", [lambda c: F.sha2(c, 256), lambda c: F.substring(c, 1, 1)])
+def test_dedup_against_brute_force(spark, monkeypatch, digest):
+    """Also with a digest that different texts share, and with hot groups."""
+    monkeypatch.setattr("spanveil.llm.repeats.HOT_ROWS", 20)
+    rng = random.Random(4)
+    texts = [f"{rng.choice('abcde')}{rng.randint(0, 30)}" for _ in range(150)] + ["same"] * 60 + [None, "", "b"]
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t or "", []).append(i)
+    out = exact_dedup(docs(spark, texts).repartition(5), keep="max", digest=digest).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in out} == {i: (g[-1], len(g), i == g[-1]) for g in groups.values() for i in g}
 
 
 # mixing
@@ -152,7 +166,11 @@ def test_encoder_equals_tokenizer():
     rng = random.Random(2)
     texts = ["".join(rng.choices("ab c  \n\t.'s1é\x1c漢", k=rng.randint(0, 40))) for _ in range(2000)] + [x or "" for x in ODD]
     tokenizer = Tokenizer.from_file(BPE)
-    assert WordEncoder(BPE).encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["".join(f"a{chr(c)}b {chr(c)}\n" for c in range(k, k + 997) if not 0xD800 <= c < 0xE000) for k in range(0, 0x10F000, 997)]
+    texts += [" " * 300_000 + "x", "a" * 100_000, "<|endoftext|>  <|endoftext|> a"]
+    encoder = TextEncoder(BPE)
+    assert encoder.fast is not None and TextEncoder(public_tokenizers.path("word_bpe_49k.json")).fast is None
+    assert list(map(encoder.encode, texts)) == [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_packing(spark, sf, odd, monkeypatch):
@@ -284,15 +302,15 @@ def test_ngram_join_repeated_ids(spark):
 
 
 def test_common_ngrams_that_lead_after_reordering(spark):
-    """Half of each document is one passage, so that documents look beyond the first bound."""
+    """Half of each document is one passage, which no set is led by."""
     from spanveil.llm import ngram_join
 
     passage = " ".join(f"p{k}" for k in range(300))
-    texts = [passage + " " + " ".join(f"w{i}.{k}" for k in range(300)) for i in range(40)]
-    body = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    texts = [passage + " " + " ".join(f"w{i}.{k}" for k in range(300)) for i in range(100)]
+    body = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(7)
     common = ngram_join.common_ngrams(body, 5, 80, 100)
     prefixes = ngram_join.ngram_sets(body, 5, common, 80, 100).select(F.explode("prefix").alias("h"))
-    assert prefixes.groupBy("h").count().where(F.col("count") >= ngram_join.COMMON).count() == 0
+    assert prefixes.groupBy("h").count().where(F.col("count") > 1).count() == 0
 
 
 def test_ngram_join_odd_rows(odd):
@@ -389,7 +407,7 @@ def test_warc_round_trip(spark):
     assert out[9].payload_bytes == 140_000 and out[9].payload == ("é" * 70_000).encode()
     assert out[5].payload_digest == base64.b32encode(hashlib.sha1(b"same").digest()).decode()
     found = find_captures(spark.createDataFrame([("http://b.example.com/x y\r\n",), ("http://none.example.com/",), (None,)], "url string"), upper, folder)
-    assert sorted(r.page_id for r in found.collect()) == [5, 9]
+    assert sorted(r.page_id for r in found.collect()) == [5, 7, 8, 9]
 
 
 def test_warc_empty(spark):
