@@ -7,11 +7,12 @@ To decide on a candidate pair, the order is cut into fragments: the overlap is
 counted in each fragment separately and summed for the pair.
 
 Documents with equal sets are one class and take part once. Candidates are not
-expanded into all pairs of a posting: first each document meets the smallest one
-of its postings and the one before it; then only documents that are still in different components meet,
+expanded into all pairs of a posting. A posting in the order of size falls into
+runs that sizes keep apart. In its runs each document meets the smallest one and the
+one before it; then only documents that are still in different components meet,
 inside tasks (block by block, if a posting is large), where a parity sketch rules
-out most pairs before any row is made. What is left is verified in rounds, each
-document's likeliest pairs first; pairs that a round's links join need no more.
+out most pairs before any row is made. Pairs are verified in rounds, each document's
+likeliest ones first; pairs that a round's links join need no more.
 
 Which n-grams count as common only affects the work, never the result; so the
 filter that holds them has a bounded size.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,8 @@ PICK_BITS = 1 << 23
 FRAGMENT_BITS = 4
 #: Pairs of a document that are verified in a round; in the last one all that are left.
 TRIES = (2, 16, None)
+#: The same for the first meetings: a document and the smallest and last ones of its postings.
+STAR_TRIES = (1, 4, None)
 _TOP = np.uint64(1 << 63)
 _U = np.uint64
 
@@ -301,21 +305,24 @@ def ngram_fragments(body: DataFrame, n: int, common: tuple[bytes, bytes], num: i
     return body.mapInArrow(run, "id long, d1 long, fragment int, ngrams array<long>").dropDuplicates(["id", "d1", "fragment"])
 
 
+def _differ():
+    """Bits in which the sketches of a and b differ: a sketch that is twice as wide is folded; other widths tell nothing."""
+    a, b = F.col("sketch_a"), F.col("sketch_b")
+    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+    half = lambda x: (F.size(x) / 2).cast("int")
+    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) == 2 * F.size(b), bits(folded(a), b)).when(F.size(b) == 2 * F.size(a), bits(a, folded(b))).otherwise(0)
+
+
 def _possible(num: int, den: int):
-    """Sets a and b that the sizes and the parity sketches don't rule out.
+    """Sets a and b that the sizes and ``apart``, how far the parity sketches differ, don't rule out.
 
     A sketch bit is the parity of the n-grams on it, so two sketches differ in no
     more bits than the sets differ in n-grams; and sets that reach the threshold
-    differ in (den - num) / (den + num) of their summed sizes at most. A sketch
-    that is twice as wide is folded; other widths tell nothing.
+    differ in (den - num) / (den + num) of their summed sizes at most.
     """
-    a, b = F.col("sketch_a"), F.col("sketch_b")
-    bits = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
-    half = lambda x: (F.size(x) / 2).cast("int")
-    folded = lambda x: F.zip_with(F.slice(x, F.lit(1), half(x)), F.slice(x, half(x) + 1, half(x)), lambda p, q: p.bitwiseXOR(q))
-    differ = F.when(F.size(a) == F.size(b), bits(a, b)).when(F.size(a) == 2 * F.size(b), bits(folded(a), b)).when(F.size(b) == 2 * F.size(a), bits(a, folded(b))).otherwise(0)
     sizes = (F.least("n_a", "n_b") * den) >= (F.greatest("n_a", "n_b") * num)
-    return sizes & (differ * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    return sizes & (F.col("apart") * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
 
 
 def _folded(sketch: str):
@@ -325,22 +332,52 @@ def _folded(sketch: str):
     return fold(fold(F.col(sketch)))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, d1_a, b, d1_b) that reach the threshold, from overlaps summed over fragments."""
-    small = sets.select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"])
-    left, right = (small.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in small.columns]) for x in "ab")
-    pair = ["a", "d1_a", "b", "d1_b"]
-    possible = cut(pairs.join(left, ["a", "d1_a"]).join(right, ["b", "d1_b"]).where(_possible(num, den)).select(*pair, "n_a", "n_b"))
-    needed = possible.select(F.col("a").alias("id")).union(possible.select("b")).distinct()
+_KEYS = ["a", "d1_a", "b", "d1_b"]
+
+
+def _candidates(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, d1_a, b, d1_b, n_a, n_b, apart) of the ``pairs`` that may reach the threshold."""
+    left, right = (sketches.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in sketches.columns]) for x in "ab")
+    both = pairs.join(left, ["a", "d1_a"]).join(right, ["b", "d1_b"]).withColumn("apart", _differ())
+    return both.where(_possible(num, den)).select(*_KEYS, "n_a", "n_b", "apart")
+
+
+def verified(pairs: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, d1_a, b, d1_b, n_a, n_b) that reach the threshold, from overlaps summed over fragments."""
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     fragments = ngram_fragments(body, n, common, num, den, _bitmap(needed.select(F.pmod("id", F.lit(PICK_BITS)).alias("position")), PICK_BITS))
-    cut_pairs = possible.select("*", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))).alias("fragment"))
+    cut_pairs = pairs.select(*_KEYS, "n_a", "n_b", F.explode(F.sequence(F.lit(0), F.lit((1 << FRAGMENT_BITS) - 1))).alias("fragment"))
     of_a, of_b = (fragments.select(F.col("id").alias(x), F.col("d1").alias(f"d1_{x}"), "fragment", F.col("ngrams").alias(f"grams_{x}")) for x in "ab")
     met = cut_pairs.join(of_a, ["a", "d1_a", "fragment"]).join(of_b, ["b", "d1_b", "fragment"])
-    partial = met.select(*pair, "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
-    overlap = partial.groupBy(*pair, "n_a", "n_b").agg(F.sum("part").alias("overlap"))
+    partial = met.select(*_KEYS, "n_a", "n_b", F.size(F.array_intersect("grams_a", "grams_b")).alias("part"))
+    overlap = partial.groupBy(*_KEYS, "n_a", "n_b").agg(F.sum("part").alias("overlap"))
     return overlap.where((F.col("overlap") * den) >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b").distinct()
 
 
+def _joined(met: DataFrame, links: DataFrame, rounds: tuple, sides: str, sketches: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """``links`` (u, v) with links of the pairs ``met`` (a, d1_a, b, d1_b, apart), and the components of both.
+
+    In a round the likeliest pairs of each document on one of the ``sides`` are
+    verified; what their links join needn't be compared any more.
+    """
+    every = cut(components(links))
+    for tries in rounds:
+        if met.isEmpty():
+            break
+        some = met
+        if tries:
+            best = [met.withColumn("_r", F.row_number().over(Window.partitionBy(x, f"d1_{x}").orderBy("apart", *_KEYS))).where(F.col("_r") <= tries).drop("_r") for x in sides]
+            some = cut(reduce(DataFrame.unionByName, best).distinct())
+        chosen = some if "n_a" in some.columns else cut(_candidates(some.select(*_KEYS), sketches, num, den))
+        links = cut(links.unionByName(verified(chosen, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        every = cut(components(links))
+        left = met.join(some.select(*_KEYS), _KEYS, "left_anti")
+        for x in "ab":
+            left = left.join(every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
+        met = cut(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*met.columns))
+    return links, every
+
+
 def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Bits in which the sketches of i and j differ; the sketch of j is as wide or folded once."""
     out = np.zeros(len(i), np.int64)
@@ -450,45 +487,50 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b").mapInArrow(run, _PAIR)
 
 
-def _live_postings(postings: DataFrame) -> DataFrame:
-    """(h, id, d1, low, low_d1, last, last_d1, rank) of the postings (h, part, id, d1) that more than one set is in.
+def _live_postings(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """(h, run, id, d1, low, low_d1, last, last_d1, rank) of the postings (h, part, n, id, d1) in which sets may be alike.
 
-    ``low`` is the smallest member of the posting's part, ``last`` the one before the
-    row, ``rank`` the row's place. Rows are read in order, once, and none is held but the last. Common
-    n-grams (below zero) have parts; all their rows are passed on.
+    A posting's part is read in the order of size and ends a run where the next set is
+    too large for the one before; sets of different runs can't reach the threshold.
+    ``low`` is the first of the run (the row itself, if their sizes rule it out), ``last``
+    the one before the row, ``rank`` the row's place. Rows are read once, and none is
+    held but the last. Runs of one row are left out, but for common n-grams (below
+    zero), whose parts have rows elsewhere; these have no ``run``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the last row: h, part, id, d1, low, low_d1, rank, last, last_d1
-        names = ["h", "id", "d1", "low", "low_d1", "last", "last_d1", "rank"]
+        names = ["h", "run", "id", "d1", "low", "low_d1", "last", "last_d1", "rank"]
+        held: list[np.ndarray] = []  # the last row: h, part, n, id, d1, then first (n, id, d1), rank, last, last_d1
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, part, ids, d1 = (batch.column(i).to_numpy() for i in range(4))
+            h, part, n, ids, d1 = (batch.column(i).to_numpy() for i in range(5))
             if held:
-                h, part, ids, d1 = (np.concatenate([x, y]) for x, y in zip(held, (h, part, ids, d1), strict=False))
+                h, part, n, ids, d1 = (np.concatenate([x, y]) for x, y in zip(held, (h, part, n, ids, d1), strict=False))
             new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-            first = np.flatnonzero(new)
+            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1]) | (n[:-1] * den < n[1:] * num)
+            at = np.flatnonzero(new)
             of = np.cumsum(new) - 1
-            low, low_d1, rank = ids[first][of], d1[first][of], np.arange(len(h)) - first[of]
-            if held:
-                same = of == 0
-                low[same], low_d1[same] = held[4][0], held[5][0]
-                rank[same] += held[6][0]
+            first, rank = [x[at][of] for x in (n, ids, d1)], np.arange(len(h)) - at[of]
             last, last_d1 = (np.where(new, x, np.roll(x, 1)) for x in (ids, d1))
             if held:
-                last[0], last_d1[0] = held[7][0], held[8][0]
+                same = of == 0
+                for x, y in zip(first, held[5:8], strict=True):
+                    x[same] = y[0]
+                rank[same] += held[8][0]
+                last[0], last_d1[0] = held[9][0], held[10][0]
             multi = (np.bincount(of)[of] > 1) | (rank > 0) | (h < 0)
             multi[-1] = False  # the next batch tells
-            columns = (h, ids, d1, low, low_d1, last, last_d1, rank)
+            alike = first[0] * den >= n * num
+            columns = (h, np.where(h < 0, 0, first[0]), ids, d1, np.where(alike, first[1], ids), np.where(alike, first[2], d1), last, last_d1, rank)
             yield pa.RecordBatch.from_arrays([pa.array(x[multi]) for x in columns], names=names)
-            held = [x[-1:] for x in (h, part, ids, d1, low, low_d1, rank, last, last_d1)]
-        if held and (held[6][0] > 0 or held[0][0] < 0):
-            yield pa.RecordBatch.from_arrays([pa.array(held[i]) for i in (0, 2, 3, 4, 5, 7, 8, 6)], names=names)
+            held = [x[-1:] for x in (h, part, n, ids, d1, *first, rank, last, last_d1)]
+            end = [x[-1:] for x in columns]
+        if held and (held[8][0] > 0 or held[0][0] < 0):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in end], names=names)
 
-    ordered = postings.repartition("h", "part").sortWithinPartitions("h", "part", "id", "d1")
-    return ordered.mapInArrow(run, "h long, id long, d1 long, low long, low_d1 long, last long, last_d1 long, rank long")
+    ordered = postings.repartition("h", "part").sortWithinPartitions("h", "part", "n", "id", "d1")
+    return ordered.mapInArrow(run, "h long, run long, id long, d1 long, low long, low_d1 long, last long, last_d1 long, rank long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -508,43 +550,29 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     several = cut(sets_of.where("low <> high").select("id"))
     ties = some.join(several, "id", "left_semi").select("id", "n", "d1", "d2").distinct().join(classes, ["n", "d1", "d2"])
     ties = cut(ties.where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v")))
-    unique = some.select("id", "d1", "prefix").dropDuplicates(["id", "d1"])
+    unique = some.select("id", "d1", "n", "prefix").dropDuplicates(["id", "d1"])
     chosen = unique.join(classes.select(F.col("class_id").alias("id"), "d1"), ["id", "d1"], "left_semi")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a common n-gram may lead a third of all sets: its posting is read in parts, whose smallest sets meet
     part = F.when(F.col("h") < 0, F.pmod(F.xxhash64("id", "d1"), F.lit(parts))).otherwise(0).cast("int")
-    live = cut(_live_postings(chosen.select(F.explode("prefix").alias("h"), "id", "d1").select("h", part.alias("part"), "id", "d1")))
+    live = cut(_live_postings(chosen.select(F.explode("prefix").alias("h"), "n", "id", "d1").select("h", part.alias("part"), "n", "id", "d1"), num, den))
     heads = live.where("h < 0 and rank = 0").select("h", "id", "d1")
     lowest = heads.groupBy("h").agg(F.min(F.struct("id", "d1")).alias("least"))
     met = heads.join(lowest, "h").select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col("least.id").alias("b"), F.col("least.d1").alias("d1_b"))
     side = lambda x: live.select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col(x).alias("b"), F.col(f"{x}_d1").alias("d1_b"))
     stars = side("low").unionByName(side("last")).unionByName(met).where("a <> b or d1_a <> d1_b").distinct()
-    edges = cut(verified(stars, sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(ties))
-    found = cut(components(edges))
-    placed = live.select("h", "id", "d1").join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
+    sketches = cut(sets.where("n > 0 and id is not null").select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"]))
+    edges, found = _joined(cut(_candidates(stars, sketches, num, den)), ties, STAR_TRIES, "a", sketches, body, n, common, num, den)
+    placed = live.select(F.xxhash64("h", "run").alias("h"), "id", "d1").join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("h", "m")
     apart = cut(placed.join(mixed, "h"))  # documents of different components in one posting
-    sketches = sets.select("id", "d1", F.col("n").cast("int").alias("n"), _folded("sketch").alias("sketch")).dropDuplicates(["id", "d1"])
-    meetings = _meetings(apart.where(F.col("m") <= POSTING_ROWS).join(sketches, ["id", "d1"]), num, den)
+    folded = sketches.select("id", "d1", F.col("n").cast("int").alias("n"), _folded("sketch").alias("sketch"))
+    meetings = _meetings(apart.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), num, den)
     large = apart.where(F.col("m") > POSTING_ROWS)
     if not large.isEmpty():
-        meetings = meetings.unionByName(_block_meetings(large.join(sketches, ["id", "d1"]), num, den))
-    every, links = found, edges
-    pair = ["a", "d1_a", "b", "d1_b"]
-    met = cut(meetings.groupBy(*pair).agg(F.min("apart").alias("apart")))
-    for tries in TRIES:  # the likeliest links first: what they join needn't be compared any more
-        if met.isEmpty():
-            break
-        some = met
-        if tries:
-            best = lambda x, met=met, tries=tries: met.withColumn("_r", F.row_number().over(Window.partitionBy(x, f"d1_{x}").orderBy("apart", *pair))).where(F.col("_r") <= tries).select(*pair)
-            some = cut(best("a").unionByName(best("b")).distinct())
-        links = cut(links.unionByName(verified(some.select(*pair), sets, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))))
-        every = cut(components(links))
-        left = met.join(some, pair, "left_anti")
-        for x in "ab":
-            left = left.join(every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
-        met = cut(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*pair, "apart"))
+        meetings = meetings.unionByName(_block_meetings(large.join(folded, ["id", "d1"]), num, den))
+    met = cut(meetings.groupBy(*_KEYS).agg(F.min("apart").alias("apart")))
+    _, every = _joined(met, edges, TRIES, "ab", sketches, body, n, common, num, den)
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = own.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     vertices = several.join(every.select(F.col("node").alias("id"), F.col("component").alias("of_id")), "id")
