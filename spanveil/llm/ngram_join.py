@@ -11,8 +11,8 @@ expanded into all pairs of a posting. A posting in the order of size falls into
 runs that sizes keep apart. In its runs each document meets the smallest one and the
 one before it; then only documents that are still in different components meet,
 inside tasks (block by block, if a posting is large), where a parity sketch rules
-out most pairs before any row is made. Pairs are verified in rounds, each document's
-likeliest ones first; pairs that a round's links join need no more.
+out most pairs before any row is made. What is left is verified in rounds, each
+document's likeliest pairs first; pairs that a round's links join need no more.
 
 Which n-grams count as common only affects the work, never the result; so the
 filter that holds them has a bounded size.
@@ -56,8 +56,6 @@ PICK_BITS = 1 << 23
 FRAGMENT_BITS = 4
 #: Pairs of a document that are verified in a round; in the last one all that are left.
 TRIES = (2, 16, None)
-#: The same for the first meetings: a document and the smallest and last ones of its postings.
-STAR_TRIES = (1, 4, None)
 _TOP = np.uint64(1 << 63)
 _U = np.uint64
 
@@ -354,28 +352,29 @@ def verified(pairs: DataFrame, body: DataFrame, n: int, common: tuple[bytes, byt
     return overlap.where((F.col("overlap") * den) >= (F.col("n_a") + F.col("n_b") - F.col("overlap")) * num).select("a", "b").distinct()
 
 
-def _joined(met: DataFrame, links: DataFrame, rounds: tuple, sides: str, sketches: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+def _joined(met: DataFrame, links: DataFrame, every: DataFrame | None, rounds: tuple, sketches: DataFrame, body: DataFrame, n: int, common: tuple[bytes, bytes], num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """``links`` (u, v) with links of the pairs ``met`` (a, d1_a, b, d1_b, apart), and the components of both.
 
-    In a round the likeliest pairs of each document on one of the ``sides`` are
-    verified; what their links join needn't be compared any more.
+    In a round the likeliest pairs of each document are verified; what their links
+    join needn't be compared any more. ``every``: the components of ``links``, if known.
     """
-    every = cut(components(links))
     for tries in rounds:
         if met.isEmpty():
             break
         some = met
         if tries:
-            best = [met.withColumn("_r", F.row_number().over(Window.partitionBy(x, f"d1_{x}").orderBy("apart", *_KEYS))).where(F.col("_r") <= tries).drop("_r") for x in sides]
+            best = [met.withColumn("_r", F.row_number().over(Window.partitionBy(x, f"d1_{x}").orderBy("apart", *_KEYS))).where(F.col("_r") <= tries).drop("_r") for x in "ab"]
             some = cut(reduce(DataFrame.unionByName, best).distinct())
         chosen = some if "n_a" in some.columns else cut(_candidates(some.select(*_KEYS), sketches, num, den))
         links = cut(links.unionByName(verified(chosen, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))))
         every = cut(components(links))
+        if not tries:
+            break
         left = met.join(some.select(*_KEYS), _KEYS, "left_anti")
         for x in "ab":
             left = left.join(every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
         met = cut(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*met.columns))
-    return links, every
+    return links, cut(components(links)) if every is None else every
 
 
 def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -562,7 +561,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     side = lambda x: live.select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col(x).alias("b"), F.col(f"{x}_d1").alias("d1_b"))
     stars = side("low").unionByName(side("last")).unionByName(met).where("a <> b or d1_a <> d1_b").distinct()
     sketches = cut(sets.where("n > 0 and id is not null").select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"]))
-    edges, found = _joined(cut(_candidates(stars, sketches, num, den)), ties, STAR_TRIES, "a", sketches, body, n, common, num, den)
+    edges, found = _joined(cut(_candidates(stars, sketches, num, den)), ties, None, (None,), sketches, body, n, common, num, den)
     placed = live.select(F.xxhash64("h", "run").alias("h"), "id", "d1").join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("h", "m")
     apart = cut(placed.join(mixed, "h"))  # documents of different components in one posting
@@ -572,7 +571,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     if not large.isEmpty():
         meetings = meetings.unionByName(_block_meetings(large.join(folded, ["id", "d1"]), num, den))
     met = cut(meetings.groupBy(*_KEYS).agg(F.min("apart").alias("apart")))
-    _, every = _joined(met, edges, TRIES, "ab", sketches, body, n, common, num, den)
+    _, every = _joined(met, edges, found, TRIES, sketches, body, n, common, num, den)
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = own.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     vertices = several.join(every.select(F.col("node").alias("id"), F.col("component").alias("of_id")), "id")
