@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.components import components
+from spanveil.llm.components import components, cut_to_size
 from spanveil.storage import cut
 
 #: Texts are read in slices of so many rows, and parts of about so many bytes.
@@ -54,6 +54,8 @@ SKETCH_BITS = 256
 PICK_BITS = 1 << 23
 #: The order is cut at its leading bits.
 FRAGMENT_BITS = 4
+#: A task takes so many pairs.
+PAIRS_A_TASK = 20_000
 #: Pairs of a document that are verified in a round; in the last one all that are left.
 TRIES = (2, 16, None)
 _TOP = np.uint64(1 << 63)
@@ -364,16 +366,16 @@ def _joined(met: DataFrame, links: DataFrame, every: DataFrame | None, rounds: t
         some = met
         if tries:
             best = [met.withColumn("_r", F.row_number().over(Window.partitionBy(x, f"d1_{x}").orderBy("apart", *_KEYS))).where(F.col("_r") <= tries).drop("_r") for x in "ab"]
-            some = cut(reduce(DataFrame.unionByName, best).distinct())
-        chosen = some if "n_a" in some.columns else cut(_candidates(some.select(*_KEYS), sketches, num, den))
-        links = cut(links.unionByName(verified(chosen, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))))
+            some = cut_to_size(reduce(DataFrame.unionByName, best).distinct(), PAIRS_A_TASK)
+        chosen = some if "n_a" in some.columns else cut_to_size(_candidates(some.select(*_KEYS), sketches, num, den), PAIRS_A_TASK)
+        links = cut_to_size(links.unionByName(verified(chosen, body, n, common, num, den).select(F.col("a").alias("u"), F.col("b").alias("v"))), PAIRS_A_TASK)
         every = cut(components(links))
         if not tries:
             break
         left = met.join(some.select(*_KEYS), _KEYS, "left_anti")
         for x in "ab":
             left = left.join(every.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")), x, "left")
-        met = cut(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*met.columns))
+        met = cut_to_size(left.where("coalesce(of_a, a) <> coalesce(of_b, b)").select(*met.columns), PAIRS_A_TASK)
     return links, cut(components(links)) if every is None else every
 
 
@@ -548,7 +550,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     sets_of = sets.where("id is not null").groupBy("id").agg(F.min(F.struct("n", "d1", "d2")).alias("low"), F.max(F.struct("n", "d1", "d2")).alias("high"))
     several = cut(sets_of.where("low <> high").select("id"))
     ties = some.join(several, "id", "left_semi").select("id", "n", "d1", "d2").distinct().join(classes, ["n", "d1", "d2"])
-    ties = cut(ties.where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v")))
+    ties = cut_to_size(ties.where("id <> class_id").select(F.col("id").alias("u"), F.col("class_id").alias("v")), PAIRS_A_TASK)
     unique = some.select("id", "d1", "n", "prefix").dropDuplicates(["id", "d1"])
     chosen = unique.join(classes.select(F.col("class_id").alias("id"), "d1"), ["id", "d1"], "left_semi")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -561,7 +563,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     side = lambda x: live.select(F.col("id").alias("a"), F.col("d1").alias("d1_a"), F.col(x).alias("b"), F.col(f"{x}_d1").alias("d1_b"))
     stars = side("low").unionByName(side("last")).unionByName(met).where("a <> b or d1_a <> d1_b").distinct()
     sketches = cut(sets.where("n > 0 and id is not null").select("id", "d1", "n", "sketch").dropDuplicates(["id", "d1"]))
-    edges, found = _joined(cut(_candidates(stars, sketches, num, den)), ties, None, (None,), sketches, body, n, common, num, den)
+    edges, found = _joined(cut_to_size(_candidates(stars, sketches, num, den), PAIRS_A_TASK), ties, None, (None,), sketches, body, n, common, num, den)
     placed = live.select(F.xxhash64("h", "run").alias("h"), "id", "d1").join(found.withColumnRenamed("node", "id"), "id", "left").select("h", "id", "d1", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("h", "m")
     apart = cut(placed.join(mixed, "h"))  # documents of different components in one posting
@@ -570,7 +572,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     large = apart.where(F.col("m") > POSTING_ROWS)
     if not large.isEmpty():
         meetings = meetings.unionByName(_block_meetings(large.join(folded, ["id", "d1"]), num, den))
-    met = cut(meetings.groupBy(*_KEYS).agg(F.min("apart").alias("apart")))
+    met = cut_to_size(meetings.groupBy(*_KEYS).agg(F.min("apart").alias("apart")), PAIRS_A_TASK)
     _, every = _joined(met, edges, found, TRIES, sketches, body, n, common, num, den)
     own = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left")
     own = own.select("n", "d1", "d2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
