@@ -9,10 +9,17 @@ from spanveil.functions.spans import matches, shadow_of, staged
 
 #: A tier that claims a term keeps it; earlier tiers first.
 TIERS = ("enterprise", "custom", "industry", "user", "team", "org")
-# Domain packs and their terms.
+# Domain packs, the usual type of their terms, terms, terms of other types.
 PACKS = {
     "HEALTHCARE_PHI": ("MEDICAL_RECORD", ("Protected Health Information", "Electronic Health Record", "ICD-10-CM", "HIPAA Identifier", "Medical Record Number", "MRN Patient", "Clinical Trial Subject", "Prescription Rx Number", "Patient History Record")),
-    "FINANCE_MNPI": ("FINANCIAL_METRIC", ("Material Non-Public Information", "MNPI Disclosure", "Offshore Ledger Account", "Wire Transfer Settlement", "Insider Trading Window", "EBITDA Guidance", "Q4 Revenue Forecast")),
+    "FINANCE_MNPI": ("FINANCIAL_METRIC", ("Material Non-Public Information", "MNPI Disclosure", "Offshore Ledger Account", "Wire Transfer Settlement", "Insider Trading Window", "Merger & Acquisition Codename", "EBITDA Guidance", "Q4 Revenue Forecast")),
+    "LEGAL_PRIVILEGE": ("LEGAL_REFERENCE", ("Attorney-Client Privileged", "Work Product Doctrine", "Confidential Disclosure Agreement", "Trade Secret Classification", "Subject to NDA", "Court Sealed File", "Under Protective Order")),
+    "CYBER_DEVOPS": ("COMPANY_SECRET", ("Staging DB Cluster", "K8s Secret Manifest", "Internal Gateway Route", "Production Root Credential", "AWS IAM Master Role")),
+    "GOVT_DEFENSE": ("COMPANY_SECRET", ("TOP SECRET // NOFORN", "Controlled Unclassified Information", "Sensitive Compartmented Information", "ITAR Restricted Technical Data", "Special Access Program")),
+}
+OTHER_TYPES = {
+    "Merger & Acquisition Codename": "PROJECT_CODENAME", "Trade Secret Classification": "COMPANY_SECRET", "K8s Secret Manifest": "API_KEY",
+    "Production Root Credential": "PASSWORD", "AWS IAM Master Role": "API_KEY",
 }
 _LETTER, _OTHER = r"[\p{L}\p{N}_&'-]", r"[^\p{L}\p{N}_&'-]"
 _WORD = _LETTER + "+"
@@ -28,10 +35,16 @@ def words_key(text: Column) -> Column:
 def pack_terms(spark, enabled: tuple[str, ...] = tuple(PACKS), own: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """(term, entity_type, tier, pack_id) of one's own terms (term, type) and the enabled packs."""
     rows = [(term, kind, "enterprise", None) for term, kind in own]
-    rows += [(term, PACKS[pack][0], "industry", pack) for pack in enabled for term in PACKS[pack][1]]
+    rows += [(term, OTHER_TYPES.get(term, PACKS[pack][0]), "industry", pack) for pack in enabled for term in PACKS[pack][1]]
     return spark.createDataFrame(rows, "term string, entity_type string, tier string, pack_id string")
 
 
+def learned_terms(found: DataFrame, least: int = 2, id_col: str = "doc_id") -> DataFrame:
+    """(term, entity_type, tier, n_docs) of the ``found`` values (id, entity_type, value) that at least so many documents have."""
+    seen = found.groupBy(F.col("value").alias("term"), "entity_type").agg(F.count_distinct(id_col).alias("n_docs"))
+    return seen.where(F.col("n_docs") >= least).select("term", "entity_type", F.lit("custom").alias("tier"), "n_docs")
+
+
 def merged_terms(terms: DataFrame) -> DataFrame:
     """(term_key, term, entity_type, tier): for each term the first tier that claims it."""
     rank = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))

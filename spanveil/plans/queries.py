@@ -11,14 +11,17 @@ from spanveil.functions.scalars import html_escaped, html_text, luhn_valid, snip
 from spanveil.functions.matching import Rule
 from spanveil.operators import reports, risk
 from spanveil.operators.detect import candidates, detect, detected_values
-from spanveil.operators.dictionary import match_terms, merged_terms
+from spanveil.operators import ocr
+from spanveil.operators.dictionary import learned_terms, match_terms, merged_terms
+from spanveil.operators.edits import chunks, masked_more, purged, unmasked
 from spanveil.operators.geometry import iou, rects_overlap
 from spanveil.operators.mask import mask
 from spanveil.operators.resolve import resolve
 from spanveil.operators.reveal import decrypted, encrypted, revealed_text
 from spanveil.operators.sessions import activity_sessions, rate_limited
 from spanveil.operators.shield import session_id, shield
-from spanveil.rules import regex, secret
+from spanveil.operators.votes import fuse_votes
+from spanveil.rules import packs, regex, secret
 from spanveil.storage import spread, table
 
 _ALL = {r.evidence: r for r in (*regex.RULES, *secret.RULES)}
@@ -200,6 +203,70 @@ def session_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", session_id(F.col("doc_id"), F.col("text")).alias("session_id"))
 
 
+def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks(_docs(spark, sf_dir))
+
+
+def fused_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as votes on stretches of their order."""
+    start = F.col("l_linenumber") * 4
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", start.alias("start"), (start + 2 + F.col("l_suppkey") % 5).alias("end"), F.col("l_returnflag").alias("entity_type"), (0.5 + F.col("l_discount")).alias("confidence"))
+    out = fuse_votes(lines, "l_orderkey")
+    return out.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long"), "confidence": F.round("confidence", 6)})
+
+
+def pack_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _values(*packs.pack_rules())(spark, sf_dir)
+
+
+def learned_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IP addresses and e-mail addresses that several documents have."""
+    found = detected_values(_docs(spark, sf_dir), (EMAIL, IP))
+    return learned_terms(found).select("term", "entity_type", "n_docs")
+
+
+def purged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("mapping"), "lang")
+    return purged(docs, F.col("lang") == "en").select("doc_id", F.coalesce(F.length("mapping"), F.lit(0)).cast("long").alias("n_chars"), "is_purged")
+
+
+def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's name hidden in the text afterwards, and shown again."""
+    docs = _docs(spark, sf_dir).where("text IS NOT NULL").withColumn("word", F.coalesce(F.regexp_extract("text", "[A-Za-z]{4,}", 0), F.lit("")))
+    hidden = docs.withColumn("hidden", masked_more(F.col("text"), F.col("word"), F.lit("[[CUSTOM_TERM_001]]")))
+    shown = unmasked(F.col("hidden"), F.lit("[[CUSTOM_TERM_001]]"), F.col("word"))
+    return hidden.select("doc_id", F.length("hidden").cast("long").alias("n_hidden"), (shown == F.col("text")).alias("restored"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as images of ten words a line."""
+    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "text"))
+    line = F.floor(F.col("at") / 10).cast("int")
+    width = F.least(F.length("text") * 8.0, F.lit(78.0))
+    return words.select("doc_id", line.alias("line_no"), (F.col("at") % 10).cast("int").alias("word_no"), "text", (F.col("at") % 10 * 80.0).alias("x"), (line * 20.0).alias("y"), width.alias("width"), F.lit(16.0).alias("height"))
+
+
+def ocr_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.image_text(_words(spark, sf_dir), "doc_id")
+
+
+def ocr_entity_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the stretches 10 to 120 and 200 to 210 of each text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit(800.0).alias("w"), F.lit(10_000.0).alias("h"))
+    stretches = F.array(*[F.struct(F.lit(i).alias("entity_id"), F.lit(a).alias("start"), F.lit(b).alias("end")) for i, a, b in ((1, 10, 120), (2, 200, 210))])
+    entities = docs.select("*", F.inline(stretches))
+    return ocr.entity_boxes(entities, ocr.text_offsets(_words(spark, sf_dir), "doc_id"), "doc_id", size=("w", "h"))
+
+
+def ocr_phrase_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other places of the two words at the top of each document."""
+    words = _words(spark, sf_dir)
+    boxes = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("box_id"), *[F.lit(v).alias(n) for n, v in zip(ocr.RECT, (0.0, 0.0, 159.0, 16.0), strict=True)])
+    phrases = ocr.text_under(boxes, words, "doc_id").withColumnRenamed("box_id", "phrase_id")
+    found = ocr.uncovered(ocr.phrase_boxes(phrases, words, "doc_id"), boxes, "doc_id")
+    return found.select("doc_id", "line_no", "word_no", "x", "y", "width", "height")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_email": _values(EMAIL),
     "detect_ipv4": _values(IP),
@@ -210,6 +277,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             detect_card_luhn, detect_all, entity_counts_by_lang, entity_rollup, entity_cube, top_documents, distinct_types_by_source, risk_by_document,
             risk_levels_by_lang, mask_email, hash_cards, placeholder_numbers, shield_documents, mask_reveal_roundtrip, unmask_first, detect_in_pages,
             mask_conversations, dictionary_matches, dictionary_tiers, session_ttl, rate_limit, audit_search, recent_history, escaped_snippets, box_overlaps, session_ids,
+            text_chunks, fused_votes, pack_values, learned_values, purged_documents, edited_documents, ocr_text, ocr_entity_boxes, ocr_phrase_boxes,
         )
     },
 }

@@ -112,3 +112,57 @@ SQL: dict[str, str] = {
         WHERE common / (aa + ab - common) >= 0.3 OR common / least(aa, ab) >= 0.45""",
     "session_ids": "SELECT doc_id, 'shd_' || substr(sha256(concat_ws(':', '', CAST(doc_id AS VARCHAR), text)), 1, 16) AS session_id FROM documents",
 }
+
+# documents laid out as images of ten words a line
+_WORDS = r"""
+    listed AS (SELECT doc_id, w, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)),
+    words AS (SELECT doc_id, pos, CAST(pos // 10 AS INTEGER) AS line_no, CAST(pos % 10 AS INTEGER) AS word_no, w[pos + 1] AS text, (pos % 10) * 80.0::DOUBLE AS x, (pos // 10) * 20.0::DOUBLE AS y,
+                     least(length(w[pos + 1]) * 8.0, 78.0)::DOUBLE AS width, 16.0::DOUBLE AS height FROM listed)"""
+_CLEAN = r"lower(regexp_replace(regexp_replace(text, '^[^\p{L}\p{N}]+', ''), '[^\p{L}\p{N}]+$', ''))"
+_PACKS = (
+    ("MEDICAL_RECORD", r"\bMRN[-\s]?\d{6,10}\b", "i"), ("MEDICAL_RECORD", r"\bICD-10-[A-Z0-9]{3,7}\b", "i"), ("MEDICAL_RECORD", r"\bRx[-\s]?#?\d{7,10}\b", "i"),
+    ("BANK_ACCOUNT", r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", ""), ("FINANCIAL_METRIC", r"\b[A-Z]{6}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b", ""), ("FINANCIAL_METRIC", r"\bCUSIP[-\s]?[A-Z0-9]{9}\b", "i"),
+    ("LEGAL_REFERENCE", r"CONFIDENTIAL\s+ATTORNEY-CLIENT\s+PRIVILEGED", "i"), ("COMPANY_SECRET", r"TRADE\s+SECRET\s+-\s+DO\s+NOT\s+DISCLOSE", "i"),
+    ("URL", r"(?:^|[^A-Za-z0-9_-])([A-Z0-9-]+\.internal)\b", "i"), ("URL", r"(?:^|[^A-Za-z0-9_-])([A-Z0-9-]+\.local)\b", "i"),
+    ("CONNECTION_STRING", r"mongodb(?:\+srv)?://[\w-]+:[^@\s]+@[\w.-]+", "i"), ("COMPANY_SECRET", r"\bTOP\s+SECRET\b", "i"), ("COMPANY_SECRET", r"\bCUI//[A-Z0-9/-]+\b", "i"),
+)
+
+SQL |= {
+    "text_chunks": "SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_no, unnest(c) AS chunk FROM (SELECT doc_id, string_split(text, ' ') AS c FROM documents)",
+    "fused_votes": """
+        WITH v AS (SELECT l_orderkey, l_linenumber * 4 AS s, l_linenumber * 4 + 2 + l_suppkey % 5 AS e, l_returnflag AS t, 0.5 + l_discount AS c FROM lineitem),
+        r AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
+        p AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS place FROM r),
+        g AS (SELECT l_orderkey, place, t, min(s) AS s, max(e) AS e, round(least(0.99, max(c) + 0.03 * (count(*) - 1))::DOUBLE, 9) AS score, count(*) AS n FROM p GROUP BY ALL),
+        o AS (SELECT *, min(s) OVER w AS low, max(e) OVER w AS high, row_number() OVER (PARTITION BY l_orderkey, place ORDER BY score DESC, t) AS k FROM g WINDOW w AS (PARTITION BY l_orderkey, place))
+        SELECT l_orderkey, CAST(low AS BIGINT) AS start, CAST(high AS BIGINT) AS "end", t AS entity_type, round(score, 6) AS confidence, n AS votes FROM o WHERE k = 1""",
+    "pack_values": " UNION ALL ".join(f"SELECT doc_id, '{kind}' AS entity_type, unnest({_list(pattern, int('([A-Z' in pattern), flags)}) AS value FROM documents" for kind, pattern, flags in _PACKS),
+    "learned_values": f"SELECT value AS term, entity_type, count(DISTINCT doc_id) AS n_docs FROM ({SQL['detect_email']} UNION ALL {SQL['detect_ipv4']}) GROUP BY ALL HAVING count(DISTINCT doc_id) >= 2",
+    "purged_documents": "SELECT doc_id, CASE WHEN lang = 'en' THEN 0 ELSE coalesce(length(text), 0) END AS n_chars, coalesce(lang = 'en', false) AS is_purged FROM documents",
+    "edited_documents": """
+        WITH w AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{4,}') AS word FROM documents WHERE text IS NOT NULL)
+        SELECT doc_id, length(CASE WHEN word = '' THEN text ELSE replace(text, word, '[[CUSTOM_TERM_001]]') END) AS n_hidden, true AS restored FROM w""",
+    "ocr_text": f"WITH {_WORDS}, lines AS (SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY word_no) AS line FROM words GROUP BY ALL) SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id",
+    "ocr_entity_boxes": f"""
+        WITH {_WORDS},
+        o AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM words),
+        b AS (
+          SELECT doc_id, entity_id, line_no, min(x) AS x0, min(y) AS y0, max(x + width) AS x1, max(y + height) AS y1
+          FROM o JOIN (VALUES (1, 10, 120), (2, 200, 210)) e(entity_id, a, z) ON o.s + length(text) > a AND o.s < z GROUP BY ALL),
+        c AS (SELECT *, greatest(0, x0 - 2) AS x, greatest(0, y0 - 2) AS y FROM b)
+        SELECT doc_id, entity_id, line_no, x::DOUBLE AS x, y::DOUBLE AS y, greatest(1, least(x1 - x0 + 4, 800 - x))::DOUBLE AS width, greatest(1, least(y1 - y0 + 4, 10000 - y))::DOUBLE AS height FROM c""",
+    "ocr_phrase_boxes": f"""
+        WITH {_WORDS},
+        k AS (SELECT *, {_CLEAN} AS token FROM words),
+        wanted AS (SELECT doc_id, list_filter(list(token ORDER BY pos), lambda t: t <> '') AS want FROM k WHERE pos < 2 GROUP BY doc_id),
+        lines AS (SELECT doc_id, line_no, list(token ORDER BY pos) AS tokens FROM k GROUP BY ALL),
+        hits AS (
+          SELECT k.doc_id, k.line_no, k.word_no, len(want) AS m FROM k JOIN wanted USING (doc_id) JOIN lines USING (doc_id, line_no)
+          WHERE len(want) > 0 AND tokens[k.word_no + 1 : k.word_no + len(want)] = want),
+        b AS (
+          SELECT h.doc_id, h.line_no, h.word_no, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(height) AS height
+          FROM hits h JOIN words w ON w.doc_id = h.doc_id AND w.line_no = h.line_no AND w.word_no BETWEEN h.word_no AND h.word_no + m - 1 GROUP BY ALL),
+        c AS (SELECT *, greatest(least(x + width, 159) - x, 0) * greatest(least(y + height, 16) - y, 0) AS common FROM b)
+        SELECT doc_id, line_no, word_no, x, y, width, height FROM c
+        WHERE NOT (common / (width * height + 159 * 16 - common) >= 0.3 OR common / least(width * height, 159 * 16) >= 0.45)""",
+}
