@@ -18,6 +18,11 @@ def luhn_valid(value: Column) -> Column:
     return F.length(digits).between(13, 19) & F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
+def iban_format(value: Column) -> Column:
+    """Has it the form of an international account number (15 to 34 characters)? Blanks don't count; check digits aren't tested."""
+    return F.regexp_replace(value, r"\s", "").rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\z")
+
+
 def snippet(text: Column, size: int = 120) -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size - 3), F.lit("..."))).otherwise(text)
 

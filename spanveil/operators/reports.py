@@ -24,6 +24,12 @@ def top_documents(entities: DataFrame, k: int = 10, id_col: str = "doc_id") -> D
     return counts(entities, id_col).orderBy(F.desc("n"), id_col).limit(k)
 
 
+def totals(documents: DataFrame, *keys: str) -> DataFrame:
+    """Documents, entities and the mean and lowest privacy score, by the given keys or over all (columns n_entities, privacy_score)."""
+    entities = F.coalesce(F.sum("n_entities"), F.lit(0)).cast("long").alias("n_entities")
+    return documents.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_docs"), entities, F.round(F.avg("privacy_score"), 6).alias("mean_score"), F.min("privacy_score").alias("low_score"))
+
+
 def search(audit: DataFrame, text: str, columns: tuple[str, ...], decision: str | None = None, decision_col: str = "decision") -> DataFrame:
     """Rows with the text, in any case, in one of the columns, and the decision if one is given."""
     hit = F.lit(False)

@@ -84,6 +84,11 @@ def risk_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_entities", "privacy_score", (100 - F.col("privacy_score")).cast("int").alias("risk_score"), risk.risk_level(F.col("privacy_score"), F.lit(False)).alias("risk_level"))
 
 
+def risk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over all documents."""
+    return reports.totals(risk_by_document(spark, sf_dir))
+
+
 def risk_levels_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(candidates(F.col("text"), PLAIN))
     rows = _docs(spark, sf_dir).select("lang", risk.privacy_score(n).alias("score"))
@@ -277,7 +282,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             detect_card_luhn, detect_all, entity_counts_by_lang, entity_rollup, entity_cube, top_documents, distinct_types_by_source, risk_by_document,
             risk_levels_by_lang, mask_email, hash_cards, placeholder_numbers, shield_documents, mask_reveal_roundtrip, unmask_first, detect_in_pages,
             mask_conversations, dictionary_matches, dictionary_tiers, session_ttl, rate_limit, audit_search, recent_history, escaped_snippets, box_overlaps, session_ids,
-            text_chunks, fused_votes, pack_values, learned_values, purged_documents, edited_documents, ocr_text, ocr_entity_boxes, ocr_phrase_boxes,
+            risk_totals, text_chunks, fused_votes, pack_values, learned_values, purged_documents, edited_documents, ocr_text, ocr_entity_boxes, ocr_phrase_boxes,
         )
     },
 }

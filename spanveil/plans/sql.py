@@ -128,6 +128,7 @@ _PACKS = (
 )
 
 SQL |= {
+    "risk_totals": f"SELECT count(*) AS n_docs, CAST(coalesce(sum(n_entities), 0) AS BIGINT) AS n_entities, round(avg(privacy_score), 6) AS mean_score, min(privacy_score) AS low_score FROM ({SQL['risk_by_document']})",
     "text_chunks": "SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS chunk_no, unnest(c) AS chunk FROM (SELECT doc_id, string_split(text, ' ') AS c FROM documents)",
     "fused_votes": """
         WITH v AS (SELECT l_orderkey, l_linenumber * 4 AS s, l_linenumber * 4 + 2 + l_suppkey % 5 AS e, l_returnflag AS t, 0.5 + l_discount AS c FROM lineitem),

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from spanveil.functions.matching import find_all
-from spanveil.operators import ocr
+from spanveil.functions.scalars import iban_format
+from spanveil.operators import ocr, reports
 from spanveil.operators.dictionary import PACKS, learned_terms, match_terms, pack_terms
 from spanveil.operators.edits import chunks, masked_more, purged, unmasked
 from spanveil.operators.votes import fuse_votes
@@ -89,3 +90,13 @@ def test_packs(spark):
 def test_learned_terms(spark):
     found = spark.createDataFrame([(1, "PERSON_NAME", "Ann"), (1, "PERSON_NAME", "Ann"), (2, "PERSON_NAME", "Ann"), (2, "PERSON_NAME", "Bo")], "doc_id int, entity_type string, value string")
     assert [tuple(r) for r in learned_terms(found).collect()] == [("Ann", "PERSON_NAME", "custom", 2)]
+
+
+def test_totals_of_no_documents(spark):
+    none = spark.createDataFrame([], "doc_id int, n_entities int, privacy_score int")
+    assert [tuple(r) for r in reports.totals(none).collect()] == [(0, 0, None, None)]
+
+
+def test_iban_format(spark):
+    rows = spark.createDataFrame([("DE89 3704 0044 0532 0130 00",), ("DE89",), ("de89370400440532013000",), (None,)], "v string")
+    assert [r.ok for r in rows.select(iban_format(F.col("v")).alias("ok")).collect()] == [True, False, False, None]
