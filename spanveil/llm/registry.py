@@ -13,6 +13,8 @@ from spanveil.llm import (
     queries_mixing,
     queries_ngram_join,
     queries_packing,
+    queries_periodic_runs,
+    queries_spelling_variants,
     queries_token_counts,
     queries_topk,
     queries_toxicity,
@@ -32,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": queries_token_counts.op8_token_counts,
         "op9_exact_dedup": queries_exact_dedup.op9_exact_dedup,
         "op10_warc": queries_warc.op10_warc,
+        "op12_spelling_variants": queries_spelling_variants.op12_spelling_variants,
+        "op13_periodic_runs": queries_periodic_runs.op13_periodic_runs,
     }
 
 
