@@ -10,6 +10,7 @@ from spanveil.llm import (
     queries_exact_dedup,
     queries_language_id,
     queries_license_scan,
+    queries_minhash_join,
     queries_mixing,
     queries_ngram_join,
     queries_packing,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": queries_token_counts.op8_token_counts,
         "op9_exact_dedup": queries_exact_dedup.op9_exact_dedup,
         "op10_warc": queries_warc.op10_warc,
+        "op11_minhash_join": queries_minhash_join.op11_minhash_join,
         "op12_spelling_variants": queries_spelling_variants.op12_spelling_variants,
         "op13_periodic_runs": queries_periodic_runs.op13_periodic_runs,
     }
