@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.llm.repeats import look_up
 from spanveil.storage import cut
 
 # Paragraphs of public licence texts.
@@ -79,12 +80,16 @@ def header_of(text: Column, whole: Column) -> Column:
 
 
 def match_templates(headers: DataFrame) -> DataFrame:
-    """(row, licence, score) of the best template of each (row, header)."""
+    """(row, licence, score) of the best template of each (row, header, copies).
+
+    A header that several files have is given once; ``copies`` is how many, and each
+    of them counts in the frequencies of terms among files.
+    """
     spark = headers.sparkSession
-    counts = headers.select("row", F.explode(_terms(F.col("header"))).alias("term")).groupBy("row", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = headers.select("row", "copies", F.explode(_terms(F.col("header"))).alias("term")).groupBy("row", "copies", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = cut(counts)
-    files = counts.select("row").distinct().count()
-    idf = counts.groupBy("term").agg((F.log((F.lit(1.0) + files) / (F.count(F.lit(1)) + 1)) + 1).alias("idf"))
+    files = counts.select("row", "copies").distinct().agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    idf = counts.groupBy("term").agg((F.log((F.lit(1.0) + files) / (F.sum("copies") + 1)) + 1).alias("idf"))
     weighed = counts.join(idf, "term").select("row", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighed.groupBy("row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
@@ -114,9 +119,13 @@ def scan_licences(files: DataFrame, id_col: str = "doc_id", path: str = "path",
     is_file = F.coalesce(F.col(path).rlike(LICENCE_FILE), F.lit(False))
     rows = files.select(F.col(id_col).alias("_id"), F.col(path).alias("_path"), is_file.alias("is_file"), header_of(F.col(text), is_file).alias("header"))
     rows = cut(rows.withColumn("row", F.sha2("header", 256)))
-    found = match_templates(rows.where("header <> ''").select("row", "header").dropDuplicates(["row"])).where(F.col("score") >= THRESHOLD)
-    own = rows.join(found, "row", "left").select("_id", "_path", "is_file", "licence", "score")
-    own = cut(own)
+    # a header may be that of a third of all files: it is matched once, and its files find it without meeting in one task
+    some = rows.where("header <> ''")
+    headers = cut(some.groupBy("row").agg(F.first("header").alias("header"), F.count(F.lit(1)).alias("copies")))
+    found = match_templates(headers).where(F.col("score") >= THRESHOLD).join(headers.select("row", "copies"), "row")
+    own = look_up(some.select("row", "_id", "_path", "is_file"), cut(found), "row", "copies", rows.count())
+    nothing = rows.where("header = ''").select("_id", "_path", "is_file", F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("score"))
+    own = cut(own.select("_id", "_path", "is_file", "licence", "score").unionByName(nothing))
     declared = own.where("is_file and licence is not null").select(F.element_at(_ancestors(F.col("_path")), 1).alias("dir"), "licence")
     ranked = declared.groupBy("dir", "licence").agg(F.count(F.lit(1)).alias("n"))
     ranked = ranked.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("low"), "licence")).alias("b")).select("dir", F.col("b.licence").alias("dir_licence"))

@@ -355,6 +355,13 @@ def test_licence_inheritance(spark):
     assert scan_licences(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
 
+def test_licences_of_repeated_headers(spark, tmp_path):
+    texts = ["Copyright 2020 the authors, MIT License applies"] * 9 + ["some words\nReleased under a MIT style License, copyright of the authors", None, "", "no such line", "Licensed under the Apache License, Version 2.0", "x\nThe license of this work is unknown"] + ["plain text"] * 20
+    docs = helpers.docs(spark, texts, source=lambda i: None if i % 3 else "licence").withColumnRenamed("n_chars", "row")
+    folder = helpers.saved(docs.repartition(1), tmp_path)
+    same(queries_license_scan.op7_license_scan(spark, folder).toPandas(), duck_rows(queries_license_scan.SQL, documents=f"{folder}/documents.parquet/*.parquet"))
+
+
 # token counts
 
 
