@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.scalars import html_escaped, html_text, luhn_valid, snippet
 from spanveil.functions.matching import Rule
-from spanveil.operators import reports, risk
+from spanveil.operators import images, reports, risk
 from spanveil.operators.detect import candidates, detect, detected_values
 from spanveil.operators import ocr
 from spanveil.operators.dictionary import learned_terms, match_terms, merged_terms
@@ -272,6 +272,21 @@ def ocr_phrase_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "word_no", "x", "y", "width", "height")
 
 
+def image_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each text as the pixels of an image of three rows, of which two boxes are hidden and put back."""
+    docs = _docs(spark, sf_dir).where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("body")).withColumn("w", F.length("body"))
+    drawn = docs.select("doc_id", "w", images.png_of(F.concat(*12 * ["body"]), F.col("w"), 4).alias("data"))
+    half = F.floor(F.col("w") / 2).cast("double")
+    box = lambda name, *rect: F.struct(F.lit(name).alias("box_id"), *[F.lit(v).cast("double").alias(n) for n, v in zip(ocr.RECT, rect, strict=True)])
+    boxes = drawn.select("doc_id", F.inline(F.array(box("a", 0, 0, F.greatest(half, F.lit(1.0)), 2), box("b", half, 2, F.col("w"), 1))))
+    boxes = boxes.select("*", F.lit("CUSTOM").alias("entity_type"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("placeholder"))
+    shielded = images.shield_images(drawn.drop("w"), boxes, "key", "doc_id")
+    kept = shielded.select("session_id", "encrypted_mappings", F.lit(1).alias("expires_at"), F.lit(False).alias("is_purged"))
+    seen = images.reveal_images(shielded.select("doc_id", "session_id", "shielded"), kept, "key", F.lit(0), "shielded")
+    shown = seen.select("doc_id", "status", "n_restored", images.png_pixels(F.col("shielded")).alias("before"), images.png_pixels(F.col("restored")).alias("after"))
+    return shown.select("doc_id", "status", F.col("n_restored").cast("long").alias("n_restored"), F.col("after.width").cast("long").alias("width"), (F.col("before.rgba") != F.col("after.rgba")).alias("hidden"), F.sha2("after.rgba", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_email": _values(EMAIL),
     "detect_ipv4": _values(IP),
@@ -285,4 +300,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
             risk_totals, text_chunks, fused_votes, pack_values, learned_values, purged_documents, edited_documents, ocr_text, ocr_entity_boxes, ocr_phrase_boxes,
         )
     },
+    "image_reveal": image_reveal,
 }

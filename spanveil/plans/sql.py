@@ -38,6 +38,7 @@ def _redacted(text: str, *, ip: bool) -> str:
 _BARE = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
 
 SQL: dict[str, str] = {
+    "image_reveal": "SELECT doc_id, 'OK' AS status, 2::BIGINT AS n_restored, octet_length(encode(text))::BIGINT AS width, true AS hidden, sha256(encode(repeat(text, 12))) AS restored_sha256 FROM documents WHERE text <> ''",
     "detect_email": f"SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, unnest({_FOUND['EMAIL_ADDRESS']}) AS value FROM documents",
     "detect_ipv4": f"SELECT doc_id, 'IP_ADDRESS' AS entity_type, unnest({_FOUND['IP_ADDRESS']}) AS value FROM documents",
     "detect_token": f"SELECT doc_id, 'API_KEY' AS entity_type, unnest({_FOUND['API_KEY']}) AS value FROM documents",
