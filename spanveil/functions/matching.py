@@ -71,13 +71,50 @@ def _compiled(pattern: str) -> re.Pattern:
     return re.compile(pattern.replace(r"\d", "[0-9]"))
 
 
-def find_all(text: str, rules: tuple[Rule | Reader, ...]) -> list[dict]:
-    """Every rule's matches in ``text``, as SPAN fields; seq is the rule's place and orders ties."""
-    if not text or text.isspace():
-        return []
-    lower = text.lower()
+def _name_of(rule: Rule | Reader) -> str:
+    return f"{rule.detector}: {rule.evidence}" if isinstance(rule, Rule) else rule.detector
+
+
+def _as_span(found: Found, text: str, seq: int) -> dict:
     names = ("start", "end", "entity_type", "confidence", "priority", "detector", "evidence", "prefix")
-    return [dict(zip(names, found, strict=True)) | {"text": text[found[0] : found[1]], "seq": seq} for seq, rule in enumerate(rules) for found in rule.find(text, lower)]
+    span = dict(zip(names, found, strict=True))
+    if not 0 <= span["start"] < span["end"] <= len(text):
+        raise ValueError(f"a span from {span['start']} to {span['end']} in a text of {len(text)} characters")
+    return span | {"text": text[span["start"] : span["end"]], "seq": seq}
+
+
+def findings(text: str, rules: tuple[Rule | Reader, ...]) -> tuple[list[dict], list[str]]:
+    """Every rule's matches in ``text`` as SPAN fields, and what failed.
+
+    seq is the rule's place and orders ties. A detector that fails on a text adds
+    nothing to it and is named, with its error; the others aren't touched.
+    """
+    if not text or text.isspace():
+        return [], []
+    lower, spans, failed = text.lower(), [], []
+    for seq, rule in enumerate(rules):
+        try:
+            spans += [_as_span(found, text, seq) for found in rule.find(text, lower)]
+        except Exception as e:  # noqa: BLE001  a detector may be anyone's code
+            failed.append(f"{_name_of(rule)}: {type(e).__name__}: {e}")
+    return spans, failed
+
+
+def find_all(text: str, rules: tuple[Rule | Reader, ...]) -> list[dict]:
+    """Every rule's matches in ``text``."""
+    return findings(text, rules)[0]
+
+
+def registered(rules: tuple[Rule | Reader, ...], *more: Rule | Reader) -> tuple[Rule | Reader, ...]:
+    """``rules`` and ``more``; a Reader takes the place of the one with its name."""
+    out = list(rules)
+    for rule in more:
+        at = next((k for k, old in enumerate(out) if isinstance(rule, Reader) and isinstance(old, Reader) and old.detector == rule.detector), None)
+        if at is None:
+            out.append(rule)
+        else:
+            out[at] = rule
+    return tuple(out)
 
 
 _FIELDS = [("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("confidence", pa.float64()), ("priority", pa.int32())]
@@ -85,6 +122,16 @@ _FIELDS += [(n, pa.string()) for n in ("detector", "evidence", "text", "prefix")
 _SPANS = pa.list_(pa.struct(_FIELDS))
 
 
+def rule_findings(text: Column, rules: tuple[Rule | Reader, ...]) -> Column:
+    """struct<spans: array<SPAN>, failed: array<string>>: all rules' matches, and the detectors that failed on this text."""
+
+    def read(texts: pa.Array) -> pa.Array:
+        found = [findings(x.as_py(), rules) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], _SPANS), pa.array([x for _, x in found], pa.list_(pa.string()))], names=["spans", "failed"])
+
+    return F.arrow_udf(read, f"struct<spans:array<{SPAN}>,failed:array<string>>").asNondeterministic()(F.coalesce(text, F.lit("")))
+
+
 def rule_spans(text: Column, rules: tuple[Rule | Reader, ...]) -> Column:
     """array<SPAN> of all rules' matches; blank texts have none."""
 

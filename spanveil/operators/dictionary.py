@@ -1,11 +1,17 @@
-"""Terms of users and domains, found by joins on word n-grams."""
+"""Terms of users and domains: looked up word by word where texts are read, or, for large dictionaries, joined on runs of words."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import matches, shadow_of, staged
+from spanveil.functions.matching import Reader
+from spanveil.functions.spans import staged
+from spanveil.types import DICTIONARY_PRIORITY, SPAN
 
 #: A tier that claims a term keeps it; earlier tiers first.
 TIERS = ("enterprise", "custom", "industry", "user", "team", "org")
@@ -21,8 +27,8 @@ OTHER_TYPES = {
     "Merger & Acquisition Codename": "PROJECT_CODENAME", "Trade Secret Classification": "COMPANY_SECRET", "K8s Secret Manifest": "API_KEY",
     "Production Root Credential": "PASSWORD", "AWS IAM Master Role": "API_KEY",
 }
-_LETTER, _OTHER = r"[\p{L}\p{N}_&'-]", r"[^\p{L}\p{N}_&'-]"
-_WORD = _LETTER + "+"
+_WORD = r"[\p{L}\p{N}_&'-]+"
+_PY_WORD = re.compile(r"(?:[^\W_]|[_&'-])+")
 #: A dictionary up to so many rows may be sent to every executor.
 SMALL = 50_000
 
@@ -53,28 +59,104 @@ def merged_terms(terms: DataFrame) -> DataFrame:
     return keyed.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("term_key", "term", "entity_type", "tier")
 
 
-def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, start, end, term, entity_type, value) of each place where a term stands as whole words.
+class TermFinder:
+    """Terms looked up at every word of a text, longest or not: a detector for texts in Arrow batches.
+
+    ``terms``: (term_key, term, entity_type, tier). A term stands where its words follow
+    one another with nothing but other characters between.
+    """
+
+    def __init__(self, terms: list[tuple[str, str, str, str]]):
+        self.terms = {key: (term, kind, tier) for key, term, kind, tier in terms}
+        self.sizes: dict[str, set[int]] = {}
+        for key in self.terms:
+            self.sizes.setdefault(key.split(" ", 1)[0], set()).add(key.count(" ") + 1)
+
+    def places(self, text: str) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, term, entity_type, tier)."""
+        words = [(m.group().lower(), m.start(), m.end()) for m in _PY_WORD.finditer(text)]
+        for k, (word, start, _) in enumerate(words):
+            for n in self.sizes.get(word, ()):
+                if k + n <= len(words) and (found := self.terms.get(" ".join(w for w, _, _ in words[k : k + n]))):
+                    yield start, words[k + n - 1][2], *found
+
+    def __call__(self, text: str) -> Iterator[tuple]:
+        for start, end, _, kind, tier in self.places(text):
+            yield start, end, kind, 1.0, DICTIONARY_PRIORITY, f"term of the {tier} dictionary", None
+
+
+def term_reader(terms: DataFrame) -> Reader | None:
+    """A detector of the ``terms``, or null if they are more than SMALL and must be joined."""
+    rows = merged_terms(terms).limit(SMALL + 1).collect()
+    return None if len(rows) > SMALL else Reader("dictionary", TermFinder([tuple(r) for r in rows]))
+
+
+def _text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def term_places(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, places) of each of the ``texts`` (key, text, each text once) with terms; places: (start, end, term, entity_type, tier, value).
 
     Every run of words that is as long as some term is a candidate; candidates meet
-    the terms in an equi join. A dictionary is broadcast only up to SMALL rows.
+    the terms in an equi join, and the text goes along by its key, not by an id that
+    rows may share or lack. For dictionaries of any size.
     """
     merged = merged_terms(terms)
     sizes = sorted(r.n for r in merged.select(F.size(F.split("term_key", " ")).alias("n")).distinct().collect())
-    empty = docs.select(id_col).where(F.lit(False)).selectExpr(f"`{id_col}`", "0 AS start", "0 AS end", "'' AS term", "'' AS entity_type", "'' AS value")
-    if not sizes:
-        return empty
-    words = staged(docs.select(id_col, text), _words=F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(_WORD), F.lit(0))).select(id_col, "_words")
+    words = staged(texts, _words=F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).select("key", "_words")
 
     def runs(n: int) -> Column:
         starts = F.slice("_words", 1, F.greatest(F.size("_words") - (n - 1), F.lit(0)))
         return starts if n == 1 else F.transform(starts, lambda w, i: F.array_join(F.slice("_words", (i + 1).cast("int"), n), " "))
 
-    side = F.broadcast(merged) if merged.count() <= SMALL else merged
-    keys = words.select(id_col, F.explode(F.array_distinct(F.concat(*[runs(n) for n in sizes]))).alias("term_key"))
-    met = keys.join(side, "term_key").join(docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("_text")), id_col)
-    # the places of the few terms that a document has
-    quoted = F.transform(F.split("term_key", " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
-    pattern = F.concat(F.lit(rf"(?iu)(?<!{_LETTER})"), F.array_join(quoted, rf"{_OTHER}+"), F.lit(rf"(?!{_LETTER})"))
-    found = met.select(id_col, "term", "entity_type", F.explode(matches(shadow_of(F.col("_text")), pattern)).alias("m"))
-    return found.select(id_col, "m.start", "m.end", "term", "entity_type", F.col("m.text").alias("value"))
+    every = F.array_distinct(F.concat(*[runs(n) for n in sizes])) if sizes else F.array().cast("array<string>")
+    met = words.select("key", F.explode(every).alias("term_key")).join(merged, "term_key")
+    own = met.groupBy("key").agg(F.collect_list(F.struct("term_key", "term", "entity_type", "tier")).alias("terms"))
+
+    def locate(bodies: pa.Array, found: pa.Array) -> pa.Array:
+        out = []
+        for text, terms in zip(bodies.to_pylist(), found.to_pylist(), strict=True):
+            finder = TermFinder([tuple(t.values()) for t in terms])
+            out.append([dict(zip(_PLACE, (*p, text[p[0] : p[1]]), strict=True)) for p in finder.places(text)])
+        return pa.array(out, pa.list_(pa.struct([(n, pa.int32() if n in ("start", "end") else pa.string()) for n in _PLACE])))
+
+    kind = ",".join(f"{n}:{'int' if n in ('start', 'end') else 'string'}" for n in _PLACE)
+    return own.join(texts, "key").select("key", F.arrow_udf(locate, f"array<struct<{kind}>>")("text", "terms").alias("places"))
+
+
+_PLACE = ("start", "end", "term", "entity_type", "tier", "value")
+
+
+def with_terms(docs: DataFrame, terms: DataFrame, text: str = "text", column: str = "term_spans") -> DataFrame:
+    """``docs`` with array<SPAN> of a dictionary too large to send to every task. Each row gets its text's places, whatever its id."""
+    keyed = docs.withColumn("_key", _text_key(F.col(text)))
+    texts = keyed.select(F.col("_key").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("text <> ''").dropDuplicates(["key"])
+    span = lambda p, i: F.struct(
+        p["start"].alias("start"), p["end"].alias("end"), p["entity_type"].alias("entity_type"), F.lit(1.0).alias("confidence"), F.lit(DICTIONARY_PRIORITY).alias("priority"), F.lit("dictionary").alias("detector"),
+        F.concat(F.lit("term of the "), p["tier"], F.lit(" dictionary")).alias("evidence"), p["value"].alias("text"), F.lit(None).cast("string").alias("prefix"), i.cast("int").alias("seq"),
+    ).cast(SPAN)
+    found = term_places(texts, terms).select(F.col("key").alias("_key"), F.transform("places", span).alias(column))
+    none = F.array().cast(f"array<{SPAN}>")
+    return keyed.join(found, "_key", "left").withColumn(column, F.coalesce(column, none)).drop("_key")
+
+
+def match_terms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, start, end, term, entity_type, value) of each place where a term stands as whole words.
+
+    A dictionary up to SMALL rows goes to every task, and texts are read once where
+    they are; a larger one is joined. Rows keep their own ids, repeated or null.
+    """
+    rows = merged_terms(terms).limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        keyed = docs.select(id_col, _text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("text <> ''")
+        found = keyed.drop("text").join(term_places(keyed.select("key", "text").dropDuplicates(["key"]), terms), "key").select(id_col, F.inline("places"))
+        return found.select(id_col, "start", "end", "term", "entity_type", "value")
+    finder = TermFinder([tuple(r) for r in rows])
+
+    def read(texts: pa.Array) -> pa.Array:
+        out = [[{"start": s, "end": e, "term": t, "entity_type": k, "value": x[s:e]} for s, e, t, k, _ in finder.places(x)] for x in texts.to_pylist()]
+        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("entity_type", pa.string()), ("value", pa.string())])))
+
+    places = F.arrow_udf(read, "array<struct<start:int,end:int,term:string,entity_type:string,value:string>>").asNondeterministic()
+    return docs.select(id_col, places(F.coalesce(F.col(text), F.lit(""))).alias("p")).select(id_col, F.inline("p"))

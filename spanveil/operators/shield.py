@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.matching import Reader, Rule
+from spanveil.functions.matching import Reader, Rule, registered, rule_findings
 from spanveil.functions.spans import staged
 from spanveil.operators import risk
-from spanveil.operators.detect import DEFAULT, candidates
+from spanveil.operators.detect import DEFAULT
+from spanveil.operators.dictionary import term_reader, with_terms
 from spanveil.operators.mask import mask
 from spanveil.operators.resolve import apply_overrides, resolve_spans
 
@@ -18,17 +19,37 @@ def session_id(id_col: Column, text: Column, salt: str = "") -> Column:
     return F.concat(F.lit("shd_"), F.substring(F.sha2(F.concat_ws(":", F.lit(salt), id_col.cast("string"), text), 256), 1, 16))
 
 
-def shield(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule | Reader, ...] = DEFAULT, overrides: str | None = None, strategy: str = "REPLACE", salt: str = "", case_exact: bool = False) -> DataFrame:
-    """``docs`` with masked_text, entities, mapping, scores, risk level and verdict. No shuffle."""
+#: The version that a processing record names.
+ENGINE = "spanveil-1"
+
+
+def shield(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: tuple[Rule | Reader, ...] = DEFAULT, overrides: str | None = None, strategy: str = "REPLACE", salt: str = "", case_exact: bool = False, terms: DataFrame | None = None) -> DataFrame:
+    """``docs`` with masked_text, entities, mapping, scores, risk level, verdict and a processing record.
+
+    ``terms`` (term, entity_type, tier) are found beside the rules: without a shuffle up
+    to ``dictionary.SMALL`` of them, by a join on the text beyond. A detector that fails
+    on a text is named in ``processing.failed`` and adds nothing.
+    """
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("spans", candidates(F.col(text), rules))
+    reader = None if terms is None else term_reader(terms)
+    if terms is not None and reader is None:
+        docs = with_terms(docs, terms, text, "_terms")
+    rules = registered(rules, reader) if reader else rules
+    found = rule_findings(F.col(text), rules)
+    out = staged(docs, _found=found).withColumns({"spans": F.col("_found.spans"), "_failed": F.col("_found.failed")}).drop("_found")
+    if "_terms" in out.columns:
+        out = out.withColumn("spans", F.concat("spans", "_terms")).drop("_terms")
+    chosen = F.coalesce(F.size(F.col(overrides)), F.lit(0)) if overrides else F.lit(0)
+    out = out.withColumn("_chosen", F.greatest(chosen, F.lit(0)))
     if overrides:
         out = staged(out, spans=apply_overrides(F.col("spans"), F.col(overrides), body))
     out = staged(out, spans=resolve_spans(body, F.col("spans")))
+    out = out.withColumn("_detected", F.size("spans"))
     out = mask(out, text, strategy=strategy, salt=salt, case_exact=case_exact)
     out = staged(out, residual_categories=risk.residual_categories(F.col("masked_text")))
     unresolved = F.size("residual_categories") > 0
     out = out.withColumns({"n_entities": F.size("entities"), "privacy_score": risk.privacy_score(F.size("entities"))})
+    detectors = F.array(*map(F.lit, dict.fromkeys([r.detector for r in rules] + ["dictionary"] * (terms is not None))))
     return out.withColumns(
         {
             "session_id": session_id(F.col(id_col), body, salt),
@@ -38,5 +59,9 @@ def shield(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: t
             "verdict": risk.verdict(unresolved),
             "decision": F.when(F.size("entities") > 0, "MASKED").otherwise("PASSED"),
             "summary": risk.summary(F.col("entities")),
+            "processing": F.struct(
+                F.lit(ENGINE).alias("engine_version"), detectors.alias("detectors"), F.col("_detected").alias("entities_detected"), F.col("n_entities").alias("entities_masked"),
+                F.col("_chosen").alias("manual_overrides"), F.col("_failed").alias("failed"),
+            ),
         }
-    )
+    ).drop("_failed", "_chosen", "_detected")
