@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
@@ -45,7 +46,9 @@ LOSE = 199
 LETTERS, OCCURRENCES, TIMES = 6, 5, 5
 GROUPS = 12
 #: Words in a task's subtree, words that a task counts before it passes them on, words in a partition.
-WORDS_A_TREE, _HELD, WORDS_A_TASK = 8_000, 200_000, 50_000
+WORDS_A_TREE, _HELD, WORDS_A_TASK = 40_000, 200_000, 50_000
+#: Nodes of a level that may be sent to every task.
+NODES = 20_000
 #: Searches that go down a subtree together, and pairs of words compared at once.
 _SEARCHES, _PAIRS = 20_000, 100_000
 
@@ -82,62 +85,54 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return found.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= OCCURRENCES)
 
 
-def _group_of() -> np.ndarray:
-    """The group of each letter: by its place in the alphabet, accented ones by their code."""
-    return np.arange(256) % GROUPS
+def _vectors(words: list[bytes]) -> np.ndarray:
+    """How many letters of each group each word has; a letter's group follows from its code."""
+    row = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
+    letters = np.frombuffer(b"".join(words), np.uint8)
+    return np.bincount(row * GROUPS + letters % GROUPS, minlength=len(words) * GROUPS).reshape(-1, GROUPS)
 
 
-def _with_vectors(words: DataFrame) -> DataFrame:
-    """``words`` with ``v``: how many letters each group has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = _group_of()
-        for batch in batches:
-            letters = [x.encode("latin-1") for x in batch.column(0).to_pylist()]
-            vectors = [np.bincount(group[np.frombuffer(x, np.uint8)], minlength=GROUPS) for x in letters]
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *vectors]).astype(np.int32))
-            v = pa.ListArray.from_arrays(pa.array(np.arange(0, GROUPS * len(letters) + 1, GROUPS), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([*batch.columns, v], names=["word", "n", "v"])
-
-    return words.mapInArrow(run, "word string, n long, v array<int>")
-
-
-def _within(v: Column, upto: int) -> Column:
-    """The name of the node on a level."""
-    return F.concat_ws(",", F.slice(v, 1, upto))
+def _letters_of(group: int) -> Column:
+    """The same for one group, of a column ``word``."""
+    letters = "".join(chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x100)) if c % GROUPS == group)
+    return F.length("word") - F.length(F.translate("word", letters, ""))
 
 
 def subtrees(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The words (tree, word, n, v), each in its subtree, and the searches (tree, word, v) of each subtree that a word's budget reaches.
+    """The words (tree, word, n), each in its subtree, and the searches (tree, word) of each subtree that a word's budget reaches.
 
-    All words begin at the root. Those at a node of few words, or at a leaf, stay
-    there; the others go one level down: as words to their own child, as searches to
-    up to three.
+    A node of few words, and one at the lowest level, is a subtree; of the others, each
+    word goes one level down: to its own child as a word, and to up to three as a search.
     """
+    total = words.count()
+    if total <= WORDS_A_TREE:
+        return words.select(F.lit("").alias("tree"), "word", "n"), words.select(F.lit("").alias("tree"), "word")
+
+    def step(looks: DataFrame, level: int) -> DataFrame:
+        found = looks.withColumn("_c", _letters_of(level)).select("*", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("d"))
+        found = found.where("d <= surplus and -d <= deficit and _c + d >= 0")
+        child = F.concat("node", (F.col("_c") + F.col("d")).cast("string"), F.lit(","))
+        return found.select("word", child.alias("node"), (F.col("surplus") - F.greatest("d", F.lit(0))).alias("surplus"), (F.col("deficit") + F.least("d", F.lit(0))).alias("deficit"))
+
     stays, reach = [], []
-    now = words.select("*", F.lit("").alias("node"))
-    looks = words.select("word", "v", F.lit("").alias("node"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit"))
-    for level in range(GROUPS + 1):
-        nodes = cut_to_size(now.groupBy("node").agg(F.count(F.lit(1)).alias("m")), WORDS_A_TASK)
-        small = nodes.where(F.col("m") <= WORDS_A_TREE) if level < GROUPS else nodes
+    now = words.select("word", "n", F.concat(_letters_of(0).cast("string"), F.lit(",")).alias("node"))
+    looks = step(words.select("word", F.lit("").alias("node"), F.lit(1).alias("surplus"), F.lit(1).alias("deficit")), 0)
+    for level in range(1, GROUPS + 1):
+        nodes = cut(now.groupBy("node").agg(F.count(F.lit(1)).alias("m")))
+        few = nodes.count() <= NODES
+        side = lambda df: F.broadcast(df) if few else df  # noqa: E731, B023
+        small = nodes if level == GROUPS else nodes.where(F.col("m") <= WORDS_A_TREE)
         slots = small.select("node", F.ceil(F.col("m") / WORDS_A_TREE).alias("slots"))
-        name = lambda slot: F.concat(F.lit(f"{level}:"), "node", F.lit(":"), slot.cast("string"))  # noqa: E731, B023
-        stays.append(now.join(slots, "node").select(name(F.pmod(F.xxhash64("word"), F.col("slots"))).alias("tree"), "word", "n", "v"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))
-        reach.append(looks.join(slots, "node").select("node", "word", "v", every.alias("slot")).select(name(F.col("slot")).alias("tree"), "word", "v"))
-        if level == GROUPS or not nodes.where(F.col("m") > WORDS_A_TREE).head(1):
-            break
+        name = lambda slot: F.concat("node", F.lit(":"), slot.cast("string"))
+        stays.append(now.join(side(slots), "node").select(name(F.pmod(F.xxhash64("word"), F.col("slots"))).alias("tree"), "word", "n"))
+        met = looks.join(side(slots), "node")
+        reach.append(met.select("node", "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot")).select(name(F.col("slot")).alias("tree"), "word"))
         large = nodes.where(F.col("m") > WORDS_A_TREE).select("node")
-        now = now.join(large, "node", "left_semi").withColumn("node", _within(F.col("v"), level + 1))
-        steps = F.explode(F.expr("filter(array(-1, 0, 1), d -> (d <= surplus) and (-d <= deficit) and v[{0}] + d >= 0)".format(level)))
-        looks = looks.join(large, "node", "left_semi").select("*", steps.alias("d"))
-        child = F.concat_ws(",", F.when(F.lit(level > 0), F.col("node")), (F.col("v")[level] + F.col("d")).cast("string"))
-        looks = looks.select("word", "v", child.alias("node"), (F.col("surplus") - F.greatest("d", F.lit(0))).alias("surplus"), (F.col("deficit") + F.least("d", F.lit(0))).alias("deficit"))
-        now, looks = cut_to_size(now, WORDS_A_TASK), cut_to_size(looks, 4 * WORDS_A_TASK)
-    both = stays[0], reach[0]
-    for more in zip(stays[1:], reach[1:], strict=True):
-        both = both[0].unionByName(more[0]), both[1].unionByName(more[1])
-    return both
+        if level == GROUPS or not large.head(1):
+            break
+        now = now.join(side(large), "node", "left_semi").withColumn("node", F.concat("node", _letters_of(level).cast("string"), F.lit(",")))
+        looks = step(looks.join(side(large), "node", "left_semi"), level)
+    return reduce(DataFrame.unionByName, stays), reduce(DataFrame.unionByName, reach)
 
 
 def _padded(words: list[bytes], back: bool = False) -> np.ndarray:
@@ -172,7 +167,8 @@ def one_apart(a: list[bytes], b: list[bytes], i: np.ndarray, k: np.ndarray) -> n
 class Trie:
     """Words in the order of their vectors; a node is a stretch of them."""
 
-    def __init__(self, words: list[bytes], n: np.ndarray, vectors: np.ndarray):
+    def __init__(self, words: list[bytes], n: np.ndarray):
+        vectors = _vectors(words)
         order = np.lexsort(vectors.T[::-1])
         self.words, self.n, self.v = [words[k] for k in order], n[order], vectors[order]
         #: Each word's place by code points.
@@ -228,9 +224,8 @@ class Trie:
 def near_words(words: DataFrame, searches: DataFrame) -> DataFrame:
     """(word, n_near, best) for each search in each subtree that has near words; best: (-n, form) of the most frequent one."""
 
-    def answers(trie: Trie, looks: list[tuple[bytes, list]]) -> pa.RecordBatch:
-        letters = [x for x, _ in looks]
-        found = list(trie.search(letters, np.array([v for _, v in looks], np.int64).reshape(-1, GROUPS)))
+    def answers(trie: Trie, letters: list[bytes]) -> pa.RecordBatch:
+        found = list(trie.search(letters, _vectors(letters)))
         i, k = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
         order = np.lexsort((trie.rank[k], -trie.n[k], i))
         i, k = i[order], k[order]
@@ -243,24 +238,24 @@ def near_words(words: DataFrame, searches: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, held, trie, looks = None, [], None, []
         for batch in batches:  # a subtree's words, then its searches
-            for name, n, word, v in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for name, n, word in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if name != tree:
                     if looks:
                         yield answers(trie, looks)
                     tree, held, trie, looks = name, [], None, []
+                letters = word.encode("latin-1")
                 if n is not None:
-                    held.append((word.encode("latin-1"), n, v))
+                    held.append((letters, n))
                     continue
-                if trie is None:
-                    trie = Trie([x for x, _, _ in held], np.array([x for _, x, _ in held], np.int64), np.array([x for _, _, x in held], np.int64))
-                looks.append((word.encode("latin-1"), v))
+                trie = trie or Trie([x for x, _ in held], np.array([x for _, x in held], np.int64))
+                looks.append(letters)
                 if len(looks) >= _SEARCHES:
                     yield answers(trie, looks)
                     looks = []
         if looks:
             yield answers(trie, looks)
 
-    rows = words.select("tree", "n", "word", "v").unionByName(searches.select("tree", F.lit(None).cast("long").alias("n"), "word", "v"))
+    rows = words.select("tree", "n", "word").unionByName(searches.select("tree", F.lit(None).cast("long").alias("n"), "word"))
     found = rows.repartition("tree").sortWithinPartitions("tree", F.col("n").desc_nulls_last()).mapInArrow(run, "word string, n_near long, less long, form string")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "form")).alias("best"))
 
@@ -282,7 +277,7 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     Near words differ by one letter; a word's form is its near word of largest n (ties:
     smallest by code points) if that occurs TIMES as often; root is where forms lead.
     """
-    words = cut_to_size(_with_vectors(word_counts(docs, id_col, text)), WORDS_A_TASK)
+    words = cut_to_size(word_counts(docs, id_col, text), WORDS_A_TASK)
     near = near_words(*subtrees(words))
     found = cut_to_size(words.select("word", "n").join(near, "word", "left"), WORDS_A_TASK)
     much = -F.col("best.less") >= TIMES * F.col("n")
