@@ -28,7 +28,9 @@ def rescaled(rect: dict[str, Column], scale: Column) -> dict[str, Column]:
 
 def image_size(data: Column) -> Column:
     """struct<width, height> from the header of a PNG, GIF or BMP file; null for others."""
-    number = lambda *at: F.conv(F.concat(*[F.hex(F.substring(data, i, 1)) for i in at]), 16, 10).cast("int")
+    unsigned = lambda *at: F.conv(F.concat(*[F.hex(F.substring(data, i, 1)) for i in at]), 16, 10).cast("long")
+    # a picture stored from the top down has a height below zero
+    number = lambda *at: F.when(unsigned(*at) >= 1 << 31, (1 << 32) - unsigned(*at)).otherwise(unsigned(*at)).cast("int")
     size = lambda w, h: F.struct(number(*w).alias("width"), number(*h).alias("height"))
     starts = lambda magic: F.hex(F.substring(data, 1, len(magic) // 2)) == magic
     return (

@@ -118,6 +118,30 @@ def apply_overrides(found: Column, overrides: Column, text: Column) -> Column:
     return F.when(overrides.isNull(), found).otherwise(F.aggregate(overrides, found, choose))
 
 
+def by_lines(overrides: Column, text: Column) -> Column:
+    """``overrides`` of which each stands for the lines it runs over: one for each line that isn't blank, without white space at its ends.
+
+    Of overrides that overlap the later holds.
+    """
+
+    def lines(o: Column) -> Column:
+        pieces = F.split(F.substring(text, o["start"] + 1, o["end"] - o["start"]), "\n", -1)
+        before = lambda ps, i: F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p) + 1)
+
+        def part(ps: Column, p: Column, i: Column) -> Column:
+            left = F.length(p) - F.length(F.regexp_replace(p, r"^\s+", ""))
+            start = o["start"] + before(ps, i) + left
+            kept = F.length(F.regexp_replace(p, r"^\s+|\s+\z", ""))
+            return F.struct(start.cast("int").alias("start"), (start + kept).cast("int").alias("end"), o["action"].alias("action"), o["entity_type"].alias("entity_type"))
+
+        return let(pieces, lambda ps: F.filter(F.transform(ps, lambda p, i: part(ps, p, i)), lambda x: x["start"] < x["end"]))
+
+    def later(every: Column) -> Column:
+        return F.filter(every, lambda o, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda p: overlap(o, p)))
+
+    return let(F.flatten(F.transform(overrides, lines)), later)
+
+
 def resolve(docs: DataFrame, text: str = "text", found: str = "candidates", overrides: str | None = None) -> DataFrame:
     """``docs`` with ``spans`` in the place of its candidates."""
     if overrides:
