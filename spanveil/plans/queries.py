@@ -11,7 +11,7 @@ from spanveil.functions.scalars import html_escaped, html_text, luhn_valid, snip
 from spanveil.functions.matching import Rule
 from spanveil.operators import images, reports, risk
 from spanveil.operators.detect import candidates, detect, detected_values
-from spanveil.operators import ocr
+from spanveil.operators import ocr, scans
 from spanveil.operators.dictionary import learned_terms, match_terms, merged_terms
 from spanveil.operators.edits import chunks, masked_more, purged, unmasked
 from spanveil.operators.geometry import iou, rects_overlap
@@ -287,6 +287,50 @@ def image_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "status", F.col("n_restored").cast("long").alias("n_restored"), F.col("after.width").cast("long").alias("width"), (F.col("before.rgba") != F.col("after.rgba")).alias("hidden"), F.sha2("after.rgba", 256).alias("restored_sha256"))
 
 
+def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as vector graphics: a text element for each line that isn't blank, lower and larger from line to line."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = docs.select("doc_id", F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")).alias("text"))
+    line = lambda t, i: F.concat(F.lit('<text x="'), (i % 7 + 5).cast("string"), F.lit('" y="'), (20 * (i + 1)).cast("string"), F.lit('" font-size="'), (10 + i % 5).cast("string"), F.lit('">'), t, F.lit("</text>"))
+    return coded.select("doc_id", F.array_join(F.transform(F.split("text", "\n", -1), line), "").alias("svg"))
+
+
+def svg_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and their places, read from documents drawn as vector graphics: one row a line with its last word."""
+    found = scans.svg_words(_markup(spark, sf_dir), "doc_id")
+    ends = found.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_words"), F.max_by(F.struct("text", "x", "y", "width", "height"), "word_no").alias("w"))
+    return ends.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_words", F.col("w.text").alias("last_word"), *[F.col(f"w.{n}").alias(n) for n in ocr.RECT])
+
+
+def json_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents laid out as recognised pages in JSON of half the size, at their places on the image: one row a line."""
+    words = _words(spark, sf_dir)
+    bbox = F.struct((F.col("x") / 2).alias("x0"), (F.col("y") / 2).alias("y0"), ((F.col("x") + F.col("width")) / 2).alias("x1"), ((F.col("y") + F.col("height")) / 2).alias("y1"))
+    lines = words.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", F.struct("text", bbox.alias("bbox")).alias("w")))).alias("ws"))
+    text = F.array_join(F.transform("ws", lambda w: w["w"]["text"]), " ")
+    pages = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", F.struct(text.alias("text"), F.transform("ws", lambda w: w["w"]).alias("words")).alias("line")))).alias("ls"))
+    pages = pages.select("doc_id", F.to_json(F.struct(F.transform("ls", lambda x: x["line"]).alias("lines"))).alias("page"), F.lit(100_000).alias("width"), F.lit(1_000_000).alias("height"), F.lit(2.0).alias("scale"))
+    found = scans.json_words(pages, "doc_id", scale="scale")
+    # lines count from one anew; what counts is what stands on them
+    return found.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_words"), F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right")).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_words", "x", "y", "right")
+
+
+def continued_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as boxes down a page, with a placeholder for each of two suppliers: which continue the one before."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    boxes = lines.select("l_orderkey", F.col("l_linenumber").alias("box_no"), F.lit("API_KEY").alias("entity_type"), F.concat(F.lit("[[API_KEY_00"), (F.col("l_suppkey") % 2).cast("string"), F.lit("]]")).alias("placeholder"), F.lit(None).cast("string").alias("evidence"), (F.col("l_partkey") % 90).cast("double").alias("x"), (F.col("l_linenumber") * 25).cast("double").alias("y"), F.lit(30.0).alias("width"), F.lit(20.0).alias("height"))
+    found = scans.continued_boxes(boxes, "l_orderkey")
+    return found.select("l_orderkey", F.col("box_no").cast("long").alias("box_no"), "placeholder", "continues", "chain_no")
+
+
+def fallback_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first and the last word of each text, looked for on the lines without their offsets: how they were found."""
+    words = _words(spark, sf_dir)
+    docs = _docs(spark, sf_dir).select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("ws")).where("size(ws) > 0")
+    ends = docs.select("doc_id", F.posexplode(F.array(F.element_at("ws", 1), F.element_at("ws", -1))).alias("entity_id", "text"), F.lit(100_000).alias("width"), F.lit(1_000_000).alias("height"))
+    return scans.fallback_boxes(ends, words, "doc_id").select("doc_id", F.col("entity_id").cast("long").alias("entity_id"), "how")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_email": _values(EMAIL),
     "detect_ipv4": _values(IP),
@@ -301,4 +345,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         )
     },
     "image_reveal": image_reveal,
+    **{f.__name__: f for f in (svg_words, json_words, continued_boxes, fallback_boxes)},
 }

@@ -38,6 +38,32 @@ def _redacted(text: str, *, ip: bool) -> str:
 _BARE = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
 
 SQL: dict[str, str] = {
+    "svg_words": r"""
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
+        t AS (SELECT doc_id, no, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') AS ws FROM l),
+        w AS (SELECT doc_id, no, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n, 10 + (no - 1) % 5 AS s FROM t),
+        z AS (SELECT *, greatest(10, floor(length(word) * (s * 0.6::DOUBLE) + 0.5)) AS width FROM w),
+        a AS (SELECT *, (no - 1) % 7 + 5 + coalesce(sum(width + 6) OVER (PARTITION BY doc_id, no ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS x FROM z)
+        SELECT doc_id, no::BIGINT AS line_no, n::BIGINT AS n_words, word AS last_word, x::DOUBLE AS x, (20 * no - s)::DOUBLE AS y, width::DOUBLE AS width, greatest(14, floor(s * 1.3::DOUBLE + 0.5))::DOUBLE AS height
+        FROM a WHERE k = n""",
+    "continued_boxes": """
+        WITH b AS (SELECT l_orderkey, l_linenumber::BIGINT AS box_no, '[[API_KEY_00' || (l_suppkey % 2) || ']]' AS placeholder, l_partkey % 90 AS x, l_linenumber * 25 AS y
+          FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL)),
+        c AS (
+          SELECT *, EXISTS (SELECT 1 FROM b p WHERE p.l_orderkey = b.l_orderkey AND p.placeholder = b.placeholder AND p.box_no < b.box_no
+              AND b.y - (p.y + 20) BETWEEN -8 AND 27 AND (least(p.x, b.x) + 30 - greatest(p.x, b.x) > 10 OR abs(b.x - p.x) < 60)) AS continues
+          FROM b)
+        SELECT l_orderkey, box_no, placeholder, continues, (sum(CASE WHEN continues THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey, placeholder ORDER BY box_no))::BIGINT AS chain_no FROM c""",
+    "fallback_boxes": r"SELECT doc_id, unnest([0, 1])::BIGINT AS entity_id, 'words' AS how FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]')",
+    "rate_limit": """
+        WITH RECURSIVE e AS (SELECT event_id, user_id AS key, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+        w AS (
+          SELECT key, min(ts) AS opened FROM e GROUP BY key
+          UNION ALL
+          SELECT w.key, (SELECT min(ts) FROM e WHERE e.key = w.key AND e.ts > w.opened + INTERVAL 1 HOUR) FROM w WHERE w.opened IS NOT NULL),
+        m AS (SELECT e.event_id, e.key, e.ts, w.opened FROM e ASOF JOIN (SELECT * FROM w WHERE opened IS NOT NULL) w ON e.key = w.key AND e.ts >= w.opened),
+        h AS (SELECT *, row_number() OVER (PARTITION BY key, opened ORDER BY ts, event_id) AS hits FROM m)
+        SELECT event_id, key, ts, hits, hits <= 3 AS allowed FROM h""",
     "image_reveal": "SELECT doc_id, 'OK' AS status, 2::BIGINT AS n_restored, octet_length(encode(text))::BIGINT AS width, true AS hidden, sha256(encode(repeat(text, 12))) AS restored_sha256 FROM documents WHERE text <> ''",
     "detect_email": f"SELECT doc_id, 'EMAIL_ADDRESS' AS entity_type, unnest({_FOUND['EMAIL_ADDRESS']}) AS value FROM documents",
     "detect_ipv4": f"SELECT doc_id, 'IP_ADDRESS' AS entity_type, unnest({_FOUND['IP_ADDRESS']}) AS value FROM documents",
@@ -144,6 +170,7 @@ SQL |= {
     "edited_documents": """
         WITH w AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{4,}') AS word FROM documents WHERE text IS NOT NULL)
         SELECT doc_id, length(CASE WHEN word = '' THEN text ELSE replace(text, word, '[[CUSTOM_TERM_001]]') END) AS n_hidden, true AS restored FROM w""",
+    "json_words": f"WITH {_WORDS} SELECT doc_id, (line_no + 1)::BIGINT AS line_no, count(*) AS n_words, min(x)::DOUBLE AS x, min(y)::DOUBLE AS y, max(x + width)::DOUBLE AS right FROM words GROUP BY doc_id, line_no",
     "ocr_text": f"WITH {_WORDS}, lines AS (SELECT doc_id, line_no, string_agg(text, ' ' ORDER BY word_no) AS line FROM words GROUP BY ALL) SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM lines GROUP BY doc_id",
     "ocr_entity_boxes": f"""
         WITH {_WORDS},
