@@ -6,10 +6,10 @@ character before a value.
 
 from __future__ import annotations
 
-_EMAIL = r"(?:^|[^A-Za-z0-9_])([a-z0-9_%+-]+(?:\s*\.\s*[a-z0-9_%+-]+)*\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\.[a-z0-9-]+){0,4}(?:\s*\.\s*[a-z]{2,4})(?:\s*\.\s*[a-z]{2})?)\b"
+_EMAIL = r"(?:^|[^A-Za-z0-9_])([a-z0-9_%+-]+(?:\s*\.\s*[a-z0-9_%+-]+)*\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\.[a-z0-9-]+){0,4}(?:\s*\.\s*[a-z]{2,4}|\.[a-z]{5,})(?:\s*\.\s*[a-z]{2})?)\b"
 _CARD = r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|6(?:011|5[0-9][0-9])[0-9]{12}|3[47][0-9]{13})\b|\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b"
 _BYTE = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-_IP = rf"\b(?:{_BYTE}\.){{3}}{_BYTE}\b|\b(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}\b|\b(?:[0-9a-fA-F]{{1,4}}:){{1,6}}:[0-9a-fA-F]{{1,4}}\b"
+_IP = rf"\b(?:{_BYTE}\.){{3}}{_BYTE}\b|\b(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}\b|\b(?:[0-9a-fA-F]{{1,4}}:){{1,6}}(?::[0-9a-fA-F]{{1,4}}){{1,6}}\b"
 _TOKEN = r"""\b[A-Za-z0-9_]*(?i:api[_-]?key|access[_-]?token|auth[_-]?token|private[_-]?key|secret[_-]?key|token|secret)[A-Za-z0-9_]*["'']?\s{0,8}[:=]\s{0,8}["'']([^\s"'']{6,})["'']"""
 
 

@@ -14,7 +14,7 @@ from spanveil.types import CONTEXT_PRIORITY as CONTEXT
 
 _UP, _ANY = r"[A-ZÀ-ɏḀ-ỿ]", r"[a-zA-ZÀ-ɏḀ-ỿ]"
 _NAME_WORD = rf"{_UP}(?:{_ANY}|['’-](?={_ANY}))+"
-_RUN = re.compile(rf"(?<![A-Za-z0-9_-])(?:{_NAME_WORD}|Dr\.|Prof\.|Mr\.|Mrs\.|Ms\.)(?:[ \t]+(?:{_NAME_WORD}|{_UP}\.))*")
+_RUN = re.compile(rf"(?<![A-Za-z0-9_-])(?:(?:Dr|Prof|Mr|Mrs|Ms)\.|{_NAME_WORD})(?:[ \t]+(?:(?:Dr|Prof|Mr|Mrs|Ms)\.|{_NAME_WORD}|{_UP}\.))*")
 _WORD = re.compile(r"[^\s]+")
 
 # Verbs, titles and labels that stand before values.
@@ -60,7 +60,10 @@ def _persons(text: str) -> Iterator[tuple]:
             word = text[start:end].lower()
             if heard and word not in _TRIGGERS and _announced(heard):
                 if word not in NO_NAMES:
-                    yield start, words[min(i + 2, len(words) - 1)][1], "PERSON_NAME", 0.98, CONTEXT, "name after a phrase that announces one", None
+                    last = i
+                    while last + 1 < len(words) and (low_word := text[slice(*words[last + 1])].lower()) not in NO_NAMES and low_word not in _TRIGGERS:
+                        last += 1
+                    yield start, words[last][1], "PERSON_NAME", 0.98, CONTEXT, "name after a phrase that announces one", None
                 break
             if i > 3 and len(heard) > said + 3:
                 break

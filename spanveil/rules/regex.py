@@ -8,14 +8,14 @@ from spanveil.functions.matching import B0, B1, DIGIT, Rule
 from spanveil.types import REGEX_PRIORITY
 
 # Shapes of values, and the words that stand before phone numbers or other numbers.
-EMAIL = rf"(?i)(?<![A-Za-z0-9_%+-])[a-z0-9_%+-]++(?:\s*\.\s*[a-z0-9_%+-]++)*+\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\.[a-z0-9-]+){{0,4}}(?:\s*\.\s*[a-z]{{2,4}})(?:\s*\.\s*[a-z]{{2}})?{B1}"
+EMAIL = rf"(?i)(?<![A-Za-z0-9_%+-])[a-z0-9_%+-]++(?:\s*\.\s*[a-z0-9_%+-]++)*+\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\.[a-z0-9-]+){{0,4}}(?:\s*\.\s*[a-z]{{2,4}}|\.[a-z]{{5,}}+)(?:\s*\.\s*[a-z]{{2}})?{B1}"
 CARD = rf"{B0}(?:4[0-9]{{12}}(?:[0-9]{{3}})?|5[1-5][0-9]{{14}}|6(?:011|5[0-9][0-9])[0-9]{{12}}|3[47][0-9]{{13}}){B1}|{B0}\d{{4}}[-\s]?\d{{4}}[-\s]?\d{{4}}[-\s]?\d{{4}}{B1}"
 IBAN = rf"{B0}[A-Z]{{2}}\d{{2}}[A-Z0-9]{{11,30}}{B1}"
 SSN = rf"{B0}\d{{3}}-\d{{2}}-\d{{4}}{B1}"
 UUID = rf"{B0}[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[1-5][0-9a-fA-F]{{3}}-[89abAB][0-9a-fA-F]{{3}}-[0-9a-fA-F]{{12}}{B1}"
 URL = rf"(?i){B0}https?://[^\s<>'\"]+"
 _BYTE = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
-IP = rf"{B0}(?:{_BYTE}\.){{3}}{_BYTE}{B1}|{B0}(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}{B1}|{B0}(?:[0-9a-fA-F]{{1,4}}:){{1,6}}:[0-9a-fA-F]{{1,4}}{B1}"
+IP = rf"{B0}(?:{_BYTE}\.){{3}}{_BYTE}{B1}|{B0}(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}{B1}|{B0}(?:[0-9a-fA-F]{{1,4}}:){{1,6}}(?::[0-9a-fA-F]{{1,4}}){{1,6}}{B1}"
 _MONTH = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATE = (
     rf"(?i){B0}(?:19|20)\d{{2}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d+)?)?(?:Z|[+-]\d{{2}}:?\d{{2}})?{B1}"

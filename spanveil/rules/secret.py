@@ -8,8 +8,9 @@ prose: a value in a sentence must hold a digit or a sign.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from spanveil.functions.matching import B0, Rule
+from spanveil.functions.matching import B0, Reader, Rule
 from spanveil.types import SECRET_PRIORITY
 
 # Shapes of credentials. Runs are possessive: values of any length are taken whole, in linear time.
@@ -24,12 +25,14 @@ BEARER = r"(?i)(?<![A-Za-z0-9_])Bearer\s{1,8}([A-Za-z0-9_.+/=-]{8,}+)"
 _NAME = r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)[\"']?\s{0,8}[:=]\s{0,8}"
 ASSIGNED_PASSWORD = _NAME + r"[\"']?([^\s\"';,}}\])\[]{3,}+)"
 ASSIGNED_KEY = _NAME + r"[\"']([^\s\"']{6,}+)[\"']"
+BARE_KEY = _NAME + r"(?![\"'\[])([^\s\"';,}}\])\[(]{6,}+)(?!\s*[(\[])"
 SAID = (
-    r"(?i)(?<![A-Za-z0-9_])(?:password|passwd|pwd|passcode|pin)\s{1,4}(?:is\s{1,4}now|is|was\s{1,4}changed\s{1,4}to|changed\s{1,4}to|set\s{1,4}to)\s{1,4}[\"']?"
+    r"(?i)(?<![A-Za-z0-9_])(?:password|passwd|pwd|passcode|pin)\s++(?:is\s++now|is|was\s++changed\s++to|changed\s++to|set\s++to)\s++[\"']?"
     r"([^\s\"';,]{3,}+)"
 )
-SET_TO = r"(?i)(?<![A-Za-z0-9_])(?:set\s{1,4}it\s{1,4}to|changed\s{1,4}it\s{1,4}to|new\s{1,4}value\s{1,4}is)\s{1,4}[\"']?([^\s\"';,]{6,}+)"
-OPTION = rf"{B0}(?:mysql|psql|mysqldump|mongo|redis-cli|sshpass)(?![A-Za-z0-9_])[^\n]{{0,200}}?\s-p([^\s]{{4,}}+)"
+SET_TO = r"(?i)(?<![A-Za-z0-9_])(?:set\s++it\s++to|changed\s++it\s++to|new\s++value\s++is)\s++[\"']?([^\s\"';,]{6,}+)"
+COMMAND = re.compile(rf"{B0}(?:mysql|psql|mysqldump|mongo|redis-cli|sshpass)(?![A-Za-z0-9_])")
+OPTION = re.compile(r"\s-p(\S{4,}+)")
 USER_URL = r"(?i)(?<![A-Za-z0-9_])https?://[^\s/:@<>'\"]++:[^\s/@<>'\"]++@[^\s<>'\"]+"
 ORDER = r"#ORD-[A-Za-z0-9-]{3,}+"
 # Parts of names that hold passwords or keys, and of names that don't.
@@ -52,6 +55,26 @@ def _rule(entity_type: str, pattern: str, confidence: float, evidence: str, mark
     return Rule(entity_type, pattern, confidence, SECRET_PRIORITY, evidence, groups, detector="secret", marks=marks, guard=guard)
 
 
+def _bare_key(text: str, m: re.Match, group: int) -> bool:
+    """A key without quotes has letters and digits, or is very long; calls, addresses and numbers are none."""
+    value = m.group(group).rstrip(".!?")
+    mixed = bool(re.search("[0-9]", value) and re.search("[A-Za-z]", value))
+    return _named(_KEYS)(text, m, group) and "://" not in value and (mixed or len(value) >= 24)
+
+
+def _options(text: str) -> Iterator[tuple]:
+    """Passwords given to a command on its line, however far behind it."""
+    if " -p" not in text and "\t-p" not in text:
+        return
+    at = 0
+    for line in text.split("\n"):
+        if "-p" in line and (command := COMMAND.search(line)):
+            for m in OPTION.finditer(line, command.end()):
+                if re.search("[0-9A-Z]", m.group(1)):
+                    yield at + m.start(1), at + m.end(1), "PASSWORD", 0.95, SECRET_PRIORITY, "password option", None
+        at += len(line) + 1
+
+
 RULES = (
     _rule("CONNECTION_STRING", CONNECTION, 0.99, "database address", ("://",)),
     _rule("SOURCE_CODE_SECRET", PEM, 0.99, "private key block", ("-----begin ",)),
@@ -60,9 +83,10 @@ RULES = (
     _rule("JWT_TOKEN", BEARER, 0.97, "bearer token", ("bearer",), (1,), _has("[0-9]")),
     _rule("PASSWORD", ASSIGNED_PASSWORD, 0.97, "assigned password", ("passw", "pwd", "dbpass", "credential"), (2,), _named(_PASSWORDS)),
     _rule("API_KEY", ASSIGNED_KEY, 0.96, "assigned key or token", ("key", "token", "secret"), (2,), _named(_KEYS)),
+    _rule("API_KEY", BARE_KEY, 0.95, "assigned key or token without quotes", ("key", "token", "secret"), (2,), _bare_key),
     _rule("PASSWORD", SAID, 0.95, "password in a sentence", ("passw", "pwd", "passcode", "pin"), (1,), _has("[0-9!@#$%^&*]")),
     _rule("PASSWORD", SET_TO, 0.9, "value in a sentence", ("set", "changed", "value"), (1,), _has("[0-9]", "[A-Za-z]")),
-    _rule("PASSWORD", OPTION, 0.95, "password option", ("-p",), (1,), _has("[0-9A-Z]")),
+    Reader("secret", _options),
     _rule("URL", USER_URL, 0.98, "address with a password", ("://",)),
     _rule("CUSTOMER_ID", ORDER, 0.9, "order number", ("#ord-",)),
 )

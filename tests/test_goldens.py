@@ -44,6 +44,21 @@ CASES = [
     ("| Name | City |\r\n|---|---|\r\n| Ann Lee | Rome |", "| Name | City |\r\n|---|---|\r\n| [[PERSON_NAME_001]] | [[CITY_001]] |"),
     ("Address: 1 Main Row\nManchester, M1 4WX, United Kingdom", "Address: [[ADDRESS_001]]\n[[ADDRESS_002]]"),
     ("we spoke to Mary-Jane O'Neil today", "we spoke to [[PERSON_NAME_001]] today"),
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "AWS_SECRET_ACCESS_KEY=[[API_KEY_001]]"),
+    ("api_key = abcd1234efgh5678ijkl", "api_key = [[API_KEY_001]]"),
+    ("token=abcdef123456", "token=[[API_KEY_001]]"),
+    ("token = getToken1(user) and max_tokens=4096", None),
+    ("signed by Ana María López García", "signed by [[PERSON_NAME_001]]"),
+    ("Contact Dr. José Núñez", "Contact Dr. [[PERSON_NAME_001]]"),
+    ("at 2001:db8::ff00:42:8329 now", "at [[IP_ADDRESS_001]] now"),
+    ("write me@example.technology. Please", "write [[EMAIL_ADDRESS_001]]. Please"),
+    ("The password      is     now    P@ssw0rd!123.", "The password      is     now    [[PASSWORD_001]]."),
+    ("mysql " + "-v " * 200 + "-pS3cretX db", "mysql " + "-v " * 200 + "-p[[PASSWORD_001]] db"),
+    ("Response: everything fine", None),
+    ("Result: OK\nOutput: 12\nError: none of it\nDebug: on\nJun: 12", None),
+    ("Fee: $1,200 USD\nSerial: ***\nBadge: n/a\nBranch: the one in town", None),
+    ("Passcode: K0i!Fish&Pond#2026, please rotate before launch.", "Passcode: [[PASSWORD_001]], please rotate before launch."),
+    ("Ref ID: Officer / QX-77. Then more", "Ref ID: Officer / [[REF_ID_001]]. Then more"),
     ("State of California law", None),
     ("", None),
     ("   ", None),
