@@ -24,7 +24,7 @@ from spanveil.operators.votes import fuse_votes
 from spanveil.rules import packs, regex, secret
 from spanveil.storage import spread, table
 
-_ALL = {r.evidence: r for r in (*regex.RULES, *secret.RULES)}
+_ALL = {r.evidence: r for r in (*regex.RULES, *secret.RULES) if isinstance(r, Rule)}
 EMAIL, CARD, IP, TOKEN = (_ALL[k] for k in ("e-mail address", "card number", "IP address", "assigned key or token"))
 PLAIN = (EMAIL, CARD, IP, TOKEN)
 
