@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.masking import detected_and_masked, masked_column
 from spanveil.functions.matching import Reader, Rule, registered, rule_findings
 from spanveil.functions.spans import staged
 from spanveil.operators import risk
 from spanveil.operators.detect import DEFAULT
 from spanveil.operators.dictionary import term_reader, with_terms
-from spanveil.operators.mask import mask
-from spanveil.operators.resolve import apply_overrides, resolve_spans
+from spanveil.operators.mask import STRATEGIES
+from spanveil.operators.resolve import apply_overrides
 
 
 def session_id(id_col: Column, text: Column, salt: str = "") -> Column:
@@ -35,17 +36,19 @@ def shield(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rules: t
     if terms is not None and reader is None:
         docs = with_terms(docs, terms, text, "_terms")
     rules = registered(rules, reader) if reader else rules
-    found = rule_findings(F.col(text), rules)
-    out = staged(docs, _found=found).withColumns({"spans": F.col("_found.spans"), "_failed": F.col("_found.failed")}).drop("_found")
-    if "_terms" in out.columns:
-        out = out.withColumn("spans", F.concat("spans", "_terms")).drop("_terms")
-    chosen = F.coalesce(F.size(F.col(overrides)), F.lit(0)) if overrides else F.lit(0)
-    out = out.withColumn("_chosen", F.greatest(chosen, F.lit(0)))
-    if overrides:
-        out = staged(out, spans=apply_overrides(F.col("spans"), F.col(overrides), body))
-    out = staged(out, spans=resolve_spans(body, F.col("spans")))
-    out = out.withColumn("_detected", F.size("spans"))
-    out = mask(out, text, strategy=strategy, salt=salt, case_exact=case_exact)
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    options = {"strategy": strategy, "salt": salt, "case_exact": case_exact}
+    chosen = F.greatest(F.coalesce(F.size(F.col(overrides)), F.lit(0)), F.lit(0)) if overrides else F.lit(0)
+    out = docs.withColumn("_chosen", chosen)
+    if overrides or "_terms" in out.columns:
+        out = staged(out, _found=rule_findings(F.col(text), rules))
+        spans = F.concat("_found.spans", "_terms") if "_terms" in out.columns else F.col("_found.spans")
+        out = staged(out, _spans=apply_overrides(spans, F.col(overrides), body) if overrides else spans, _failed=F.col("_found.failed"))
+        out = staged(out.drop("_found", "_terms"), _m=masked_column(F.col(text), F.col("_spans"), **options)).drop("_spans")
+    else:
+        out = staged(out, _m=detected_and_masked(F.col(text), rules, **options)).withColumn("_failed", F.col("_m.failed"))
+    out = out.select(*[c for c in out.columns if c not in ("_m", "entities", "masked_text", "mapping")], F.col("_m.detected").alias("_detected"), "_m.entities", "_m.masked_text", "_m.mapping")
     out = staged(out, residual_categories=risk.residual_categories(F.col("masked_text")))
     unresolved = F.size("residual_categories") > 0
     out = out.withColumns({"n_entities": F.size("entities"), "privacy_score": risk.privacy_score(F.size("entities"))})
