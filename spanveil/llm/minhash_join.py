@@ -51,10 +51,11 @@ from spanveil.llm.ngram_join import (
     _folded,
     _joined,
     _live_postings,
-    _meetings,
     _mix,
+    _pair,
     _parts,
     _possible,
+    _unlike,
 )
 from spanveil.llm.repeats import look_up
 from spanveil.storage import cut
@@ -136,7 +137,10 @@ def signed_sets(body: DataFrame, n: int) -> DataFrame:
 
 
 def error_keys(signatures: np.ndarray, chunks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, chunk of each column): for each chunk and each symbol that may be wrong in it, a 63-bit hash of the others."""
+    """(keys, chunk of each column): for each chunk and each symbol that may be wrong in it, a hash of the others.
+
+    A key is below 2 ** 63, and its last bits tell which symbol may be wrong, twice.
+    """
     columns, of = [], []
     for c, (begin, end) in enumerate(chunks):
         for wrong in range(begin, end):
@@ -144,11 +148,84 @@ def error_keys(signatures: np.ndarray, chunks: list[tuple[int, int]]) -> tuple[n
             for k in range(begin, end):
                 if k != wrong:
                     h = _mix(h * _U(0xD6E8FEB86659FD93) + signatures[:, k].astype(np.uint64))
-            columns.append(h >> _U(1))
+            columns.append(_tagged(h, wrong, wrong))
             of.append(c)
     return np.stack(columns, 1), np.array(of)
 
 
+def _tagged(h: np.ndarray, wrong: int | np.ndarray, other: int | np.ndarray) -> np.ndarray:
+    tag = (np.asarray(wrong) * SYMBOLS + other).astype(np.uint64)
+    return (h >> _U(1)) & ~_U(SYMBOLS * SYMBOLS - 1) | tag
+
+
+def _first_common(unlike: np.ndarray, chunks: list[tuple[int, int]], without: np.ndarray | None = None) -> np.ndarray:
+    """Of each pair (a row of which symbols differ) the first symbol whose key both have; none of the chunk that has the symbol ``without``."""
+    chunk_of = np.repeat(np.arange(len(chunks)), [end - begin for begin, end in chunks])
+    begins = np.array([begin for begin, _ in chunks])
+    few = np.add.reduceat(unlike, begins, axis=1, dtype=np.int64) <= 1
+    if without is not None:
+        few[np.arange(len(few)), chunk_of[without]] = False
+    first = few.argmax(1)
+    here = unlike & (chunk_of[None, :] == first[:, None])
+    return np.where(few.any(1), np.where(here.any(1), here.argmax(1), begins[first]), -1)
+
+
+def meetings(rows: DataFrame, most: int, chunks: list[tuple[int, int]], num: int, den: int) -> DataFrame:
+    """(a, d1_a, b, d1_b, apart) of the rows (h, key, n, id, d1, component, signature, sketch) under one h, which are few, that
+
+    are of different components, whose signatures differ in ``most`` symbols at most and
+    whose sizes and sketches may reach the threshold. A pair that meets under several
+    keys comes from the first only.
+    """
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        h, key, n, ids, d1, comp = (rows.column(c).to_numpy() for c in ("h", "key", "n", "id", "d1", "component"))
+        own, other = key // SYMBOLS % SYMBOLS, key % SYMBOLS
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        sketch = rows.column("sketch").combine_chunks()
+        words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
+        at = np.cumsum(width) - width
+        i, far = np.arange(len(h)), 0
+        while len(i):  # rows under one h that are so many places apart
+            far += 1
+            i = i[i + far < len(h)]
+            i = i[h[i] == h[i + far]]
+            ok = (comp[i] != comp[i + far]) & (n[i] * den >= n[i + far] * num)  # rows under one h are in the order of size
+            a = i[ok]
+            for k in range(0, len(a), 50_000):
+                x, y = a[k : k + 50_000], a[k : k + 50_000] + far
+                unlike = signature[x] != signature[y]
+                near = np.count_nonzero(unlike, axis=1) <= most
+                x, y, unlike = x[near], y[near], unlike[near]
+                first = _first_common(unlike, chunks)
+                here = first == own[x]
+                paired = own[x] != other[x]
+                here[paired] &= _first_common(unlike[paired], chunks, first[paired]) == other[x][paired]
+                x, y = x[here], y[here]
+                bits = _unlike(words, at, width, x, y)
+                may = bits * (den + num) <= (n[x] + n[y]) * (den - num)
+                if may.any():
+                    yield _pair(ids, d1, x[may], y[may], bits[may])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # sorted by h: all but the last h of a batch are complete
+            if not batch.num_rows:
+                continue
+            h = batch.column(0).to_numpy()
+            cut_at = int(np.searchsorted(h, h[-1], "left"))
+            if cut_at or (held and held[-1].column(0)[-1].as_py() != h[0]):
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut_at)])
+                held = []
+                yield from pairs(whole)
+            held.append(batch.slice(cut_at))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    ordered = rows.select("h", "key", "n", "id", "d1", "component", "signature", "sketch").repartition("h").sortWithinPartitions("h", "n", "id")
+    return ordered.mapInArrow(run, "a long, d1_a long, b long, d1_b long, apart long")
+
+
 def postings(signed: DataFrame, chunks: list[tuple[int, int]]) -> DataFrame:
     """(h, n, id, d1) for each key of each of ``signed``'s signatures."""
 
@@ -177,7 +254,8 @@ def paired_postings(met: DataFrame, chunks: list[tuple[int, int]]) -> DataFrame:
                 own = of[np.argmax(keys == h[:, None], axis=1)]
                 other = of[None, :] != own[:, None]
                 row, column = np.nonzero(other)
-                both = _mix(h[row] * _U(0x9E3779B97F4A7C15) ^ keys[row, column]) >> _U(1)
+                wrong = (h // _U(SYMBOLS) % _U(SYMBOLS)).astype(np.int64)
+                both = _tagged(_mix(h[row] * _U(0x9E3779B97F4A7C15) ^ keys[row, column]), wrong[row], column)
                 yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), *[rows.column(c).take(pa.array(row)) for c in (1, 2, 3)]], names=["h", "id", "d1", "component"])
 
     return met.select("h", "id", "d1", "component", "signature").mapInArrow(run, "h long, id long, d1 long, component long")
@@ -185,12 +263,13 @@ def paired_postings(met: DataFrame, chunks: list[tuple[int, int]]) -> DataFrame:
 
 def _marked_hot(rows: DataFrame) -> DataFrame:
     """``rows`` with h below zero where its key's counter is far above the mean: the key may have very many rows."""
-    counted = cut(rows.groupBy(F.pmod("h", F.lit(COUNTERS)).alias("_c")).agg(F.count(F.lit(1)).alias("m")))
+    counter = F.pmod(F.shiftright("h", 12), F.lit(COUNTERS))
+    counted = cut(rows.groupBy(counter.alias("_c")).agg(F.count(F.lit(1)).alias("m")))
     total = counted.agg(F.sum("m")).first()[0] or 0
     hot = [r["_c"] for r in counted.where(F.col("m") > 2 * total / COUNTERS + POSTING_ROWS).select("_c").collect()]  # COUNTERS at most
     if not hot:
         return rows
-    return rows.withColumn("h", F.when(F.array_contains(F.lit(hot), F.pmod("h", F.lit(COUNTERS))), -F.col("h") - 1).otherwise(F.col("h")))
+    return rows.withColumn("h", F.when(F.array_contains(F.lit(hot), counter), -F.col("h") - 1).otherwise(F.col("h")))
 
 
 def _symbols_apart(a: str, b: str) -> Column:
@@ -242,17 +321,17 @@ def minhash_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     first = cut_to_size(near_pairs(stars, signed, most, num, den), PAIRS_A_TASK)
     edges, found = _joined(first, ties, None, (None,), signed, body, n, _PLAIN, num, den)
     apart = _apart(live.select("h", "run", "id", "d1"), found)
-    folded = signed.select("id", "d1", F.col("n").cast("int").alias("n"), _folded("sketch").alias("sketch"))
-    meetings = _meetings(apart.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), num, den)
+    folded = signed.select("id", "d1", "n", "signature", _folded("sketch").alias("sketch"))
+    met = meetings(apart.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), most, chunks, num, den)
     large = apart.where(F.col("m") > POSTING_ROWS)
     if large.head(1):
         # under two keys fewer meet; what is common even so meets block by block
         own_key = large.select(F.col("key").alias("h"), "id", "d1", "component").join(signed.select("id", "d1", "signature"), ["id", "d1"])
-        twice = _mixed(paired_postings(own_key, chunks))
-        meetings = meetings.unionByName(_meetings(twice.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), num, den))
+        twice = _mixed(paired_postings(own_key, chunks)).withColumn("key", F.col("h"))
+        met = met.unionByName(meetings(twice.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), most, chunks, num, den))
         if twice.where(F.col("m") > POSTING_ROWS).head(1):
-            meetings = meetings.unionByName(_block_meetings(twice.where(F.col("m") > POSTING_ROWS).join(folded, ["id", "d1"]), num, den))
-    met = cut_to_size(near_pairs(meetings.select(*_KEYS).distinct(), signed, most, num, den), PAIRS_A_TASK)
+            met = met.unionByName(_block_meetings(twice.where(F.col("m") > POSTING_ROWS).join(folded.withColumn("n", F.col("n").cast("int")), ["id", "d1"]), num, den))
+    met = cut_to_size(near_pairs(met.select(*_KEYS).distinct(), signed, most, num, den), PAIRS_A_TASK)
     _, every = _joined(met, edges, found, TRIES, signed, body, n, _PLAIN, num, den)
     of_class = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left").select(digests.alias("set"), "m", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     # a row that finds nothing is the only one of its class, and not linked
