@@ -3,13 +3,15 @@
 A vector's dimensions are cut into slices; a score is the sum of one partial score
 from each slice. Queries and candidates meet in tiles (a block of queries with a
 block of candidates), so that neither side is broadcast or collected.
-1. Each slice of each tile gives every query its k best partial scores; only the
-   candidates on these local lists are scored in full, and the k-th best score
-   that a query has anywhere is a safe cutoff: the final list cannot fall below.
+1. In each slice of each tile the longest rows, HEAD of them, give every query its k
+   best partial scores; only the candidates on these local lists are scored in full,
+   and the k-th best score that a query has anywhere is a safe cutoff: the final
+   list cannot fall below.
 2. The cutoffs travel to the tiles with the queries. A score that reaches the
-   cutoff c has a partial score of c / slices at least in one of the slices, so
-   entries with such a partial score are sufficient. Slices in which the lengths
-   of the vectors rule such a score out aren't looked at.
+   cutoff c has a partial score of c / slices at least in one of the slices; pairs
+   whose lengths rule that out in all slices aren't multiplied. The others are
+   multiplied slice by slice, each only as long as what it has and what lengths let
+   the other slices add can reach the cutoff.
 3. Only the scores of these entries are resolved, exactly, and each tile passes on
    its k best.
 
@@ -34,8 +36,9 @@ from pyspark.sql import functions as F
 
 from spanveil.storage import cut
 
-QUERY_BLOCK, ROW_BLOCK = 1024, 4096
-SLICES = 4
+#: A table's rows are copied once for each block of queries, so these are large; what a task holds is one tile.
+QUERY_BLOCK, ROW_BLOCK = 4096, 4096
+SLICES, HEAD = 4, 256
 _LOWEST = -(1 << 63)
 
 
@@ -77,11 +80,71 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(a.astype(object) @ b.astype(object).T, _LOWEST, -_LOWEST - 1).astype(np.int64)
 
 
-def _tiles(pairs: DataFrame, k: int, phase: int) -> DataFrame:
-    """(query_id, vec_id, score): from each tile the local lists (phase 1) or the sufficient entries."""
+def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whole scores of the pairs (i, j), exact."""
+    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
+    if most >= 2**62:
+        return np.array([max(_LOWEST, min(-_LOWEST - 1, sum(int(a) * int(b) for a, b in zip(q[m], x[n], strict=True)))) for m, n in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+    step = max(1, 4_000_000 // max(1, q.shape[1]))
+    return np.concatenate([np.zeros(0, np.int64), *[(q[i[k : k + step]] * x[j[k : k + step]]).sum(1) for k in range(0, len(i), step)]])
+
+
+def _lengths(m: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    """Of each row its length in each slice."""
+    return np.stack([np.sqrt((m[:, c].astype(np.float64) ** 2).sum(1)) for c in cuts], 1)
+
+
+def local_lists(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, score, multiplied): rows that are among a query's k best partial scores over the HEAD longest rows of a slice."""
+    cuts = np.array_split(np.arange(q.shape[1]), max(1, min(SLICES, q.shape[1])))
+    chosen, multiplied = np.zeros((len(q), len(x)), bool), 0
+    for c, length in zip(cuts, _lengths(x, cuts).T, strict=True):
+        head = np.argsort(-length, kind="stable")[:HEAD]
+        part, n = _exact(q[:, c], x[head][:, c]), min(k, len(head))
+        multiplied += part.size
+        best = np.argpartition(-part.astype(np.float64), n - 1, axis=1)[:, :n]
+        chosen[np.arange(len(q))[:, None], head[best]] = True
+    i, j = np.nonzero(chosen)
+    return i, j, _scores(q, x, i, j), multiplied
+
+
+def sufficient_entries(q: np.ndarray, x: np.ndarray, cutoff: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, score, multiplied) of the pairs that reach the query's cutoff; all pairs of a query whose cutoff isn't ``known``.
+
+    multiplied: how many pairs were multiplied, slice by slice. A pair isn't multiplied
+    at all if lengths rule its share of the cutoff out in every slice, and no further
+    once what it has and the lengths of the slices to come can't add up to the cutoff.
+    """
+    cuts = np.array_split(np.arange(q.shape[1]), max(1, min(SLICES, q.shape[1])))
+    length, own = _lengths(x, cuts), _lengths(q, cuts)
+    least = cutoff.astype(np.float64) * (1 - 1e-9 * np.sign(cutoff)) - 1  # lengths are rounded
+    share = (least / len(cuts))[:, None]
+    open_ = np.zeros((len(q), len(x)), bool)
+    for c in range(len(cuts)):
+        open_ |= own[:, c, None] * length[None, :, c] >= share
+    open_ |= ~known[:, None]
+    most = own @ length.T  # what all slices can add
+    open_ &= (most >= least[:, None]) | ~known[:, None]
+    i, j = np.nonzero(open_)
+    multiplied, so_far = 0, np.zeros(len(i))
+    rest = most[i, j]
+    for s, c in enumerate(cuts):
+        if 4 * len(i) >= open_.size:  # most pairs are open: one product of matrices
+            part = _exact(q[:, c], x[:, c])[i, j].astype(np.float64)
+            multiplied += open_.size
+        else:
+            part = _scores(q[:, c], x[:, c], i, j).astype(np.float64)
+            multiplied += len(i)
+        so_far, rest = so_far + part, rest - own[i, s] * length[j, s]
+        stays = ~known[i] | (so_far + rest >= least[i] - 1e-9 * np.abs(so_far))
+        i, j, so_far, rest = i[stays], j[stays], so_far[stays], rest[stays]
+    score = _scores(q, x, i, j)
+    ok = ~known[i] | (score >= cutoff[i])
+    return i[ok], j[ok], score[ok], multiplied
+
 
-    def best(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
-        return np.lexsort((ids, -score.astype(np.float64) if np.abs(score).max(initial=0) < 2**53 else [-int(s) for s in score]))[:k]
+def _tiles(pairs: DataFrame, k: int, phase: int) -> DataFrame:
+    """(query_id, vec_id, score): from each tile each query's k best entries of the local lists (phase 1) or of the sufficient entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,37 +153,21 @@ def _tiles(pairs: DataFrame, k: int, phase: int) -> DataFrame:
                 query, qvs, cutoff = found.field(0).to_numpy(), found.field(1), found.field(2)
                 dims = int(max(vs.value_lengths().to_numpy().max(), qvs.value_lengths().to_numpy().max()))
                 x, q, ids = _matrix(vs, dims), _matrix(qvs, dims), ids.to_numpy()
-                cuts = np.array_split(np.arange(dims), min(SLICES, dims))
-                longest = [np.sqrt((x[:, c].astype(np.float64) ** 2).sum(1)).max() for c in cuts]
-                out: tuple[list, list, list] = ([], [], [])
-                for begin in range(0, len(q), 128):
-                    some, open_cut = slice(begin, begin + 128), cutoff[begin : begin + 128].is_null().to_numpy(zero_copy_only=False)
-                    least = cutoff[begin : begin + 128].fill_null(0).to_numpy()
-                    share = -(-least // len(cuts))  # of a score that reaches the cutoff, in one slice at least
-                    parts, chosen = [], np.zeros((len(least), len(ids)), bool)
-                    for c, most in zip(cuts, longest, strict=True):
-                        part, n = _exact(q[some][:, c], x[:, c]), min(k + 1, len(ids))  # one may be the query itself
-                        parts.append(part)
-                        if phase == 1:
-                            np.put_along_axis(chosen, np.argpartition(-part.astype(np.float64), n - 1, axis=1)[:, :n], True, 1)
-                        else:
-                            reach = open_cut | (most * np.sqrt((q[some][:, c].astype(np.float64) ** 2).sum(1)) >= share - 1 - 1e-9 * np.abs(share))
-                            chosen[reach] |= part[reach] >= share[reach, None]
-                    if phase == 2:
-                        chosen[open_cut] = True
-                    chosen &= ids[None, :] != query[some][:, None]
-                    large = max(int(np.abs(p).max(initial=0)) for p in parts) >= 2**60
-                    for i in np.flatnonzero(chosen.any(1)):
-                        j = np.flatnonzero(chosen[i])  # only these are scored in full
-                        score = _exact(q[some][i : i + 1], x[j])[0] if large else sum(p[i, j] for p in parts)
-                        if phase == 2 and not open_cut[i]:
-                            j, score = j[score >= least[i]], score[score >= least[i]]
-                        kept = best(ids[j], score)
-                        out[0].append(np.full(len(kept), query[begin + i]))
-                        out[1].append(ids[j[kept]])
-                        out[2].append(score[kept])
-                if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["query_id", "vec_id", "score"])
+                for begin in range(0, len(q), 256):
+                    part, cut_part = slice(begin, begin + 256), cutoff[begin : begin + 256]
+                    if phase == 1:
+                        i, j, score, _ = local_lists(q[part], x, k + 1)  # one may be the query itself
+                    else:
+                        i, j, score, _ = sufficient_entries(q[part], x, cut_part.fill_null(0).to_numpy(), cut_part.is_valid().to_numpy(zero_copy_only=False))
+                    other = ids[j] != query[part][i]
+                    i, j, score = i[other], j[other], score[other]
+                    order = np.lexsort((ids[j], np.negative(score.astype(object)) if (score == _LOWEST).any() else -score, i))
+                    i, j, score = i[order], j[order], score[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
+                    kept = place < k
+                    if kept.any():
+                        columns = query[part][i[kept]], ids[j[kept]], score[kept]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
     return pairs.select("ids", "vs", "found").mapInArrow(run, "query_id long, vec_id long, score long")
 

@@ -119,6 +119,28 @@ def test_mixing_targets_and_budgets(spark):
     assert sorted(map(tuple, out[["doc_id", "taken"]].values)) == sorted(map(tuple, again[["doc_id", "taken"]].values))
 
 
+def test_mixing_hot_rows(spark, monkeypatch):
+    """Rows without an id have places of their own, equal rows follow one another, and no bucket is crowded."""
+    from spanveil.llm import mixing
+
+    monkeypatch.setattr(mixing, "PART_ROWS", 50)
+    rows = [(None, "w " * (1 + k % 7) + str(k), "a") for k in range(600)] + [(7, "same words here", "a")] * 300 + [(k, "123 456 !!", "b") for k in range(400)] + [(None, None, None), (None, "", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out, again = (mixing.mix_sources(t).toPandas() for t in (table, table.repartition(3)))
+    assert len(out) == len(rows)
+    mark = lambda f: sorted(map(tuple, f[["doc_id", "source", "size", "tag", "taken"]].fillna(-1).astype(str).values))
+    assert mark(out) == mark(again)
+    for source, own in out.groupby("source"):
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= 1 and (own.taken <= 3 * own["size"]).all(), source
+        part = own[(own.taken > own.epochs * own["size"]) & (own.taken < (own.epochs + 1) * own["size"])]
+        assert len(part) <= 1
+    assert out[out.doc_id.isna()].key.nunique() == 602
+    bucket = (1 - (-mixing.LEAST_WEIGHT * out[out.source == "b"].key).map(__import__("math").exp)) * 26 // 1
+    assert bucket.value_counts().max() <= 4 * 400 / 26
+    kept = mixing.mixed_documents(table).groupBy("source").count().collect()
+    assert {r.source for r in kept} == {"a", "b"}
+
+
 def test_mixing_odd_rows(odd):
     out = mix_sources(odd)
     assert out.count() == odd.count() and out.where("size = 0 and taken > 0").count() == 0
@@ -334,6 +356,29 @@ def test_top_k_odd_vectors(spark):
     assert top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_multiplies_less_than_all_pairs():
+    import numpy as np
+
+    from spanveil.llm.topk_search import SLICES, local_lists, sufficient_entries
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 64))
+    x = centres[rng.integers(0, 40, 3000)] + 0.3 * rng.normal(size=(3000, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    q = x[:200]
+    every = q @ x.T
+    i, j, score, made = local_lists(q, x, 6)
+    assert (every[i, j] == score).all() and made < 0.2 * SLICES * every.size
+    cutoff = np.array([np.sort(score[i == k])[-5] for k in range(len(q))])
+    i, j, score, made = sufficient_entries(q, x, cutoff, np.arange(len(q)) != 3)
+    assert made < 0.6 * SLICES * every.size
+    expected = every >= cutoff[:, None]
+    expected[3] = True
+    assert (np.argwhere(expected) == np.stack([i, j], 1)).all() and (every[i, j] == score).all()
+    low = sufficient_entries(q, x, np.full(len(q), -(10**9)), np.ones(len(q), bool))
+    assert len(low[0]) == every.size
+
+
 def test_top_k_fewer_candidates(spark, tmp_path):
     for size in (2, 4, 6, 8):
         rows = [(50 * k if k < 2 else k, [float(k), -1.5 * k, 2.0, 0.5 * k, 1.0]) for k in range(size)]
