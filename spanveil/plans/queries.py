@@ -21,7 +21,8 @@ from spanveil.operators.reveal import decrypted, encrypted, revealed_text
 from spanveil.operators.sessions import activity_sessions, rate_limited
 from spanveil.operators.shield import session_id, shield
 from spanveil.operators.votes import fuse_votes
-from spanveil.rules import packs, regex, secret
+from spanveil.rules import lines as lines_rules
+from spanveil.rules import names, packs, regex, secret
 from spanveil.storage import spread, table
 
 _ALL = {r.evidence: r for r in (*regex.RULES, *secret.RULES) if isinstance(r, Rule)}
@@ -331,6 +332,31 @@ def fallback_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.fallback_boxes(ends, words, "doc_id").select("doc_id", F.col("entity_id").cast("long").alias("entity_id"), "how")
 
 
+#: Given names and surnames that orders are signed with.
+SIGNERS = tuple((g, n) for g, n in zip(names.GIVEN.split()[:60:2], names.SURNAMES.split()[:60:2], strict=True) if g.isascii())
+
+
+def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as letters: who signs follows from the customer, what stands before from the order."""
+    of = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in SIGNERS]), (F.col("o_custkey") % len(SIGNERS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" was packed and then seen by "), of(0), F.lit(" "), of(1), F.lit(" on the way\n")).alias("text"))
+
+
+def name_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons that the lists of names find in the letters of all orders."""
+    found = detected_values(_signed(spark, sf_dir), (names.READER,), "o_orderkey")
+    return found.select("o_orderkey", F.col("start").cast("long").alias("start"), "entity_type", "value")
+
+
+def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of forms made of all customers: which lines are fields, of which type, and where their values stand."""
+    customers = table(spark, sf_dir, "customer")
+    lines = [("Employer", F.col("c_mktsegment")), ("Country", F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))), ("Result", F.lit("done")), ("Badge", F.concat(F.lit("B-"), F.col("c_custkey").cast("string"))), ("Fee", F.lit("$12.50 USD")), ("Favourite Colour", F.concat(F.lit("c"), (F.col("c_custkey") % 7).cast("string"), F.lit(", please keep it")))]
+    forms = customers.select("c_custkey", F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), value) for label, value in lines]).alias("text"))
+    found = detect(forms, (lines_rules.READER,)).select("c_custkey", F.explode("candidates").alias("s"))
+    return found.select("c_custkey", F.col("s.start").cast("long").alias("start"), "s.entity_type", "s.prefix", F.col("s.text").alias("value"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_email": _values(EMAIL),
     "detect_ipv4": _values(IP),
@@ -345,5 +371,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         )
     },
     "image_reveal": image_reveal,
-    **{f.__name__: f for f in (svg_words, json_words, continued_boxes, fallback_boxes)},
+    **{f.__name__: f for f in (svg_words, json_words, continued_boxes, fallback_boxes, name_values, form_values)},
 }

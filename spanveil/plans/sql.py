@@ -6,6 +6,8 @@ character before a value.
 
 from __future__ import annotations
 
+from spanveil.rules.names import GIVEN, SURNAMES
+
 _EMAIL = r"(?:^|[^A-Za-z0-9_])([a-z0-9_%+-]+(?:\s*\.\s*[a-z0-9_%+-]+)*\s*(?:@|\[at\]|\(at\))\s*[a-z0-9-]+(?:\.[a-z0-9-]+){0,4}(?:\s*\.\s*[a-z]{2,4}|\.[a-z]{5,})(?:\s*\.\s*[a-z]{2})?)\b"
 _CARD = r"\b(?:4[0-9]{12}(?:[0-9]{3})?|5[1-5][0-9]{14}|6(?:011|5[0-9][0-9])[0-9]{12}|3[47][0-9]{13})\b|\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b"
 _BYTE = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
@@ -37,7 +39,22 @@ def _redacted(text: str, *, ip: bool) -> str:
 
 _BARE = r"regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(?:script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g')"
 
+# the same pairs of names as the query's, taken from the plain lists
+_SIGNERS = ", ".join(f"('{g} {n}')" for g, n in zip(GIVEN.split()[:60:2], SURNAMES.split()[:60:2], strict=True) if g.isascii())
+
 SQL: dict[str, str] = {
+    "name_values": f"""
+        WITH s AS (SELECT name, row_number() OVER () - 1 AS k, count(*) OVER () AS n FROM (VALUES {_SIGNERS}) v(name))
+        SELECT o_orderkey, length('order ' || o_orderkey || ' was packed and then seen by ')::BIGINT AS start, 'PERSON_NAME' AS entity_type, name AS value
+        FROM orders JOIN s ON o_custkey % n = k""",
+    "form_values": """
+        WITH l AS (
+          SELECT c_custkey, unnest(['Employer: ' || c_mktsegment, 'Country: N' || c_nationkey, 'Result: done', 'Badge: B-' || c_custkey, 'Fee: $12.50 USD', 'Favourite Colour: c' || (c_custkey % 7) || ', please keep it']) AS line,
+                 unnest([1, 2, 3, 4, 5, 6]) AS no FROM customer),
+        o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY c_custkey ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l),
+        t AS (SELECT * FROM (VALUES (1, 'ORGANIZATION', 'EMPLOYER'), (2, 'LOCATION', 'COUNTRY'), (4, 'CUSTOMER_ID', 'BADGE'), (6, 'CUSTOM_TERM', 'FAVOURITE_COLOUR')) v(no, entity_type, prefix))
+        SELECT c_custkey, (place + strpos(line, ':') + 1)::BIGINT AS start, entity_type, prefix, split_part(substr(line, strpos(line, ':') + 2), ',', 1) AS value
+        FROM o JOIN t USING (no)""",
     "svg_words": r"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
         t AS (SELECT doc_id, no, regexp_extract_all(line, '[^ \t\n\x0B\f\r]+') AS ws FROM l),

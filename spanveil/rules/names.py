@@ -42,7 +42,17 @@ PHRASES = (
     ("ORGANIZATION", 0.95, "Harvard, Harvard University, Stanford, Stanford University, MIT, Massachusetts Institute of Technology, Oxford, University of Oxford, Cambridge, University of Cambridge, UC Berkeley, Columbia University, Yale, Princeton"),
 )
 _WORD = re.compile(r"(?<!\w)[^\W_]+(?:[&'’.-]?[^\W_]+)*(?!\w)|&")
-_STATE_TITLE = re.compile(r"(?i)(?:state|government|republic|commonwealth|ministry|kingdom)\s+of\s+(?:the\s+)?\Z")
+# Titles of states, before their names and at the head of a line; words of official documents, at their top.
+STATE_TITLES = (
+    "federal republic of", "republic of", "kingdom of", "commonwealth of", "united states of", "united kingdom", "people's republic of", "people’s republic of", "emirates of", "government of", "state of",
+    "department of", "ministry of",
+)
+STATE_LINES = ("federal republic", "republic of", "kingdom of", "government of", "commonwealth", "state of")
+OFFICIAL = (
+    "federal republic", "republic of", "kingdom of", "government", "commission", "ministry", "department", "smart card", "official", "national identity", "civil registration", "passport", "certificate",
+)
+#: Titles count so far before a name, and so far after their own end; the top of a document is so long.
+BEFORE, AFTER_TITLE, TOP = 80, 40, 350
 _COMMENT = re.compile(r"\s*(?:#|//|/\*|--)")
 _SUFFIX_WORDS = frozenset(w.lower() for s in ORG_SUFFIXES for w in s.split())
 
@@ -54,6 +64,11 @@ def folded(word: str) -> str:
     return word.lower().removesuffix("'s")
 
 
+# Words that are no given names before a surname.
+NO_FIRST = """contact please primary lead target tell email send meet dear from to ask call message inform reply forward schedule ping use password key secret token is was are were will be
+at for in on by with and or of this that our my your his her their launches launching launched rolls rolling rolled goes went starts starting ends ending releases releasing ships
+shipping arrives leaves backup"""
+_NO_FIRST = frozenset(NO_FIRST.split())
 _GIVEN, _SURNAMES = (frozenset(map(folded, x.split())) for x in (GIVEN, SURNAMES))
 _PHRASES = {folded(" ".join(_WORD.findall(name))): (name, kind, confidence) for kind, confidence, names in reversed(PHRASES) for name in names.split(", ")}
 _LONGEST = max(x.count(" ") + 1 for x in _PHRASES)
@@ -65,15 +80,30 @@ def _line_of(text: str, at: int) -> str:
     return text[text.rfind("\n", 0, at) + 1 : end if end >= 0 else len(text)]
 
 
+def _blanked(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
+def _state_title(text: str, start: int) -> bool:
+    """Does a place stand in the title of a state or of one of its offices, or at the top of an official document?"""
+    before = _blanked(text[max(0, start - BEFORE) : start]) + " "
+    if any((at := before.rfind(t + " ")) >= 0 and len(before) - at - len(t) <= AFTER_TITLE for t in STATE_TITLES):
+        return True
+    line = _blanked(_line_of(text, start))
+    if any(t + " " in line for t in STATE_LINES):
+        return True
+    return start < TOP and any(w in _blanked(text[:TOP]) for w in OFFICIAL)
+
+
 def _spared(text: str, start: int, kind: str) -> bool:
-    """Organisations in comments of code, and states in their own titles, are no finds."""
-    line = _line_of(text, start)
-    if kind == "ORGANIZATION" and _COMMENT.match(line):
-        return not any(w.lower() in _SUFFIX_WORDS for w in line.split())
-    return kind == "LOCATION" and bool(_STATE_TITLE.search(text[max(0, start - 80) : start]))
+    """Organisations in comments of code, and places in official titles, are no finds."""
+    if kind == "ORGANIZATION":
+        line = _line_of(text, start)
+        return bool(_COMMENT.match(line)) and not any(w.lower() in _SUFFIX_WORDS for w in line.split())
+    return kind == "LOCATION" and _state_title(text, start)
 
 
-_INTEREST = _STARTS | _GIVEN
+_INTEREST = _STARTS | _GIVEN | _SURNAMES
 
 
 def _key(word: str) -> str:
@@ -108,6 +138,12 @@ def known_names(text: str) -> Iterator[tuple]:
                 longer = following and keys[i + 1] not in NO_NAMES and not words[i][2].lower().endswith("'s")
                 yield words[i][0], (following[1] if longer else words[i][1]), "PERSON_NAME", 0.92, NAME_PRIORITY, "known given name", None
                 free = i + 2 if longer else i + 1
+        elif free < i and keys[i] in _SURNAMES and joined(i - 1, i) and all(w[2][0].isupper() and len(w[2]) > 1 for w in words[i - 1 : i + 1]):
+            # a surname tells a name whose first word nobody knows; the word before must be able to be one
+            apart = keys[i - 1] not in NO_NAMES and keys[i - 1] not in _NO_FIRST and _SUFFIX_WORDS.isdisjoint(keys[i - 1 : i + 2])
+            if apart and words[i - 1][2].isalpha():
+                yield words[i - 1][0], words[i][1], "PERSON_NAME", 0.96, NAME_PRIORITY, "known surname after a word", None
+                free = i + 1
 
 
 READER = Reader("names", known_names)

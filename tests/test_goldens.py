@@ -59,6 +59,11 @@ CASES = [
     ("Fee: $1,200 USD\nSerial: ***\nBadge: n/a\nBranch: the one in town", None),
     ("Passcode: K0i!Fish&Pond#2026, please rotate before launch.", "Passcode: [[PASSWORD_001]], please rotate before launch."),
     ("Ref ID: Officer / QX-77. Then more", "Ref ID: Officer / [[REF_ID_001]]. Then more"),
+    ("Contact Ifeoma Okafor now", "Contact [[PERSON_NAME_001]] now"),
+    ("we met Zinedine Traore and The King", "we met [[PERSON_NAME_001]] and The King"),
+    ("Please Okafor", "Please Okafor"),
+    ("FEDERAL REPUBLIC OF NIGERIA\nIdentity of the holder\nborn in Kenya", "FEDERAL REPUBLIC OF NIGERIA\nIdentity of the holder\nborn in Kenya"),
+    ("the Ministry of Health of Kenya, " + "x" * 400 + " then Kenya", "the Ministry of Health of Kenya, " + "x" * 400 + " then [[LOCATION_001]]"),
     ("State of California law", None),
     ("", None),
     ("   ", None),
