@@ -118,6 +118,20 @@ def phrase_boxes(phrases: DataFrame, words: DataFrame, image: str = "image_id")
     return met.select(image, "phrase_id", "line_no", F.element_at("_found", 1)["word_no"].alias("word_no"), low("x").alias("x"), low("y").alias("y"), (high("x", "width") - low("x")).alias("width"), (high("y", "height") - low("y")).alias("height"))
 
 
+def word_boxes(phrases: DataFrame, words: DataFrame, image: str = "image_id", least: int = 4) -> DataFrame:
+    """(image, phrase_id, line_no, word_no, x, y, width, height): every word that is, or has in it, a phrase of one word (image, phrase_id, phrase).
+
+    Phrases shorter than ``least`` letters must be the word, punctuation aside. A word
+    that several phrases find is listed once, for the longest phrase.
+    """
+    token = clean(F.col("phrase"))
+    wanted = phrases.where(~F.trim("phrase").rlike(r"\s")).select(image, "phrase_id", token.alias("_token")).where("_token <> ''")
+    bare = clean(F.col("text"))
+    met = words.join(wanted, image).where((bare == F.col("_token")) | (F.lower("text") == F.col("_token")) | ((F.length("_token") >= least) & bare.contains(F.col("_token"))))
+    best = Window.partitionBy(image, "line_no", "word_no").orderBy(F.length("_token").desc(), "phrase_id")
+    return met.withColumn("_n", F.row_number().over(best)).where("_n = 1").select(image, "phrase_id", "line_no", "word_no", *RECT)
+
+
 def uncovered(found: DataFrame, boxes: DataFrame, image: str = "image_id") -> DataFrame:
     """Rows of ``found`` that no box of their image overlaps."""
     box = boxes.select(F.col(image).alias("_image"), *[F.col(n).alias(f"_{n}") for n in RECT])

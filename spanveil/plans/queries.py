@@ -90,6 +90,12 @@ def risk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(risk_by_document(spark, sf_dir))
 
 
+def score_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the privacy score of each language's documents."""
+    scores = _docs(spark, sf_dir).select("lang", risk.privacy_score(F.size(candidates(F.col("text"), PLAIN))).alias("privacy_score"))
+    return reports.percentiles(scores, "privacy_score", (0.1, 0.5, 0.9), "lang")
+
+
 def risk_levels_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.size(candidates(F.col("text"), PLAIN))
     rows = _docs(spark, sf_dir).select("lang", risk.privacy_score(n).alias("score"))
@@ -371,5 +377,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         )
     },
     "image_reveal": image_reveal,
-    **{f.__name__: f for f in (svg_words, json_words, continued_boxes, fallback_boxes, name_values, form_values)},
+    **{f.__name__: f for f in (svg_words, json_words, continued_boxes, fallback_boxes, name_values, form_values, score_percentiles)},
 }

@@ -99,6 +99,9 @@ SQL: dict[str, str] = {
     "risk_by_document": f"""
         WITH c AS (SELECT doc_id, CAST({_N} AS INTEGER) AS n FROM documents), s AS (SELECT *, CAST({_SCORE} AS INTEGER) AS score FROM c)
         SELECT doc_id, n AS n_entities, score AS privacy_score, CAST(100 - score AS INTEGER) AS risk_score, {_LEVEL} AS risk_level FROM s""",
+    "score_percentiles": f"""
+        WITH c AS (SELECT lang, {_N} AS n FROM documents), s AS (SELECT lang, {_SCORE} AS score FROM c)
+        SELECT lang, quantile_cont(score, 0.1)::DOUBLE AS p10, quantile_cont(score, 0.5)::DOUBLE AS p50, quantile_cont(score, 0.9)::DOUBLE AS p90 FROM s GROUP BY lang""",
     "risk_levels_by_lang": f"""
         WITH c AS (SELECT lang, {_N} AS n FROM documents), s AS (SELECT lang, {_SCORE} AS score FROM c)
         SELECT lang, {_LEVEL} AS risk_level, count(*) AS n_documents, CAST(sum(score) AS BIGINT) AS score_sum FROM s GROUP BY ALL""",

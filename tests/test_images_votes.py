@@ -100,3 +100,22 @@ def test_totals_of_no_documents(spark):
 def test_iban_format(spark):
     rows = spark.createDataFrame([("DE89 3704 0044 0532 0130 00",), ("DE89",), ("de89370400440532013000",), (None,)], "v string")
     assert [r.ok for r in rows.select(iban_format(F.col("v")).alias("ok")).collect()] == [True, False, False, None]
+
+
+def test_words_that_have_a_phrase_in_them(spark):
+    from spanveil.operators.ocr import word_boxes
+
+    words = spark.createDataFrame([(1, 0, k, t, 10.0 * k, 0.0, 9.0, 9.0) for k, t in enumerate(["Falcon,", "falconry", "FAL", "fall", "(fal)", "key=FALCON-2", "x"])] + [(2, 0, 0, "falcon", 0.0, 0.0, 9.0, 9.0)], "image_id long, line_no int, word_no int, text string, x double, y double, width double, height double")
+    phrases = spark.createDataFrame([(1, 1, "falcon"), (1, 2, "Fal"), (1, 3, "two words"), (1, 4, "--"), (1, 5, "falconry!")], "image_id long, phrase_id int, phrase string")
+    found = {(r.word_no, r.phrase_id) for r in word_boxes(phrases, words).collect()}
+    assert found == {(0, 1), (1, 5), (2, 2), (4, 2), (5, 1)}
+
+
+def test_percentiles(spark):
+    from spanveil.operators.reports import percentiles
+
+    rows = spark.createDataFrame([("a", k) for k in range(101)] + [("b", 7), ("b", None)], "lang string, score int")
+    out = {r.lang: (r.p50, r.p90, r.p99_5) for r in percentiles(rows, "score", (0.5, 0.9, 0.995), "lang").collect()}
+    assert out == {"a": (50.0, 90.0, 99.5), "b": (7.0, 7.0, 7.0)}
+    near = percentiles(rows, "score", (0.5,), accuracy=1000).first().p50
+    assert abs(near - 50) <= 1 and percentiles(rows.limit(0), "score").first().p50 is None
