@@ -21,23 +21,42 @@ from spanveil.storage import remove, shared_dir, table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` without those that the lexicon, learned from the labelled ones, scores at the threshold or above.
+
+    Null and empty texts score nothing and stay; so do all rows when no label can be
+    learned from. Repeated rows are judged alike; other columns, whatever their names, stay.
+    """
     lexicon = learn_lexicon(docs, table(spark, sf_dir, "labels"), ~held_out())
     return reject_toxic(docs, lexicon, THRESHOLD)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text: that with the largest id, ids before nulls.
+
+    Null counts as empty, so of rows without text one stays.
+    """
     return keep_one(docs, keep="max")
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies (five words, 0.8): that with the smallest id.
+
+    Rows without words, without an id, or without near copies stay.
+    """
     return keep_representatives(docs, n=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target wants them: left out, once or up to three times.
+
+    Rows of a null source are a source of their own; documents without words are left
+    out, since a mix of words takes none of them.
+    """
     return mixed_documents(docs, cap=3.0, weights=(1, 2, 3), seed=1)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in which sequence; a null text is its end mark alone, repeated rows are packed each."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, end_id=0)
