@@ -280,9 +280,8 @@ def fallback_boxes(entities: DataFrame, words: DataFrame, image: str = "image_id
     """
     symbols = F.col("symbols") if "symbols" in words.columns else F.array().cast(f"array<{_PLACED}>")
     word = F.struct("word_no", "text", *RECT, symbols.alias("symbols"))
-    grouped = words.groupBy(image, "line_no").agg(F.array_sort(F.collect_list(F.struct("word_no", F.struct(word).alias("w")))).alias("_w"), *[F.min(c).alias(c) for c in ("x", "y")], F.max(F.col("x") + F.col("width")).alias("_r"), F.max(F.col("y") + F.col("height")).alias("_b"))
-    listed = F.transform("_w", lambda w: w["w"]["col1"])
-    lines = grouped.select(image, "line_no", F.struct(F.array_join(F.transform(listed, lambda w: w["text"]), " ").alias("text"), "x", "y", (F.col("_r") - F.col("x")).alias("width"), (F.col("_b") - F.col("y")).alias("height"), listed.alias("words")).alias("line"))
+    grouped = words.groupBy(image, "line_no").agg(F.array_sort(F.collect_list(word)).alias("_w"), *[F.min(c).alias(c) for c in ("x", "y")], F.max(F.col("x") + F.col("width")).alias("_r"), F.max(F.col("y") + F.col("height")).alias("_b"))
+    lines = grouped.select(image, "line_no", F.struct(F.array_join(F.transform("_w", lambda w: w["text"]), " ").alias("text"), "x", "y", (F.col("_r") - F.col("x")).alias("width"), (F.col("_b") - F.col("y")).alias("height"), F.col("_w").alias("words")).alias("line"))
     bare = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     order = Window.partitionBy(image).orderBy("entity_id")
     same = Window.partitionBy(image, F.lower(F.trim("text"))).orderBy("entity_id")

@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 
 from spanveil.functions.matching import B0, B1, DIGIT, Reader, Rule
-from spanveil.rules.context import ORG_SUFFIXES
+from spanveil.rules.context import NO_NAMES, ORG_SUFFIXES
 from spanveil.types import CONTEXT_PRIORITY, REGEX_PRIORITY
 
 
@@ -101,7 +102,27 @@ BUSINESS = (
     _phrase("MEDICAL_RECORD", rf"(?i){B0}(?:{DIAGNOSES})\s+[A-Za-z0-9]+(?:[ \t][A-Za-z0-9]+){{0,3}}", 0.93, "diagnosis", ("diagnosed", "prescribed", "patient", "symptoms", "medical")),
     _phrase("LEGAL_REFERENCE", rf"(?i){B0}(?:{MATTERS})\s+[A-Za-z0-9_-]+(?:[ \t][A-Za-z0-9_-]+){{0,3}}", 0.9, "legal matter", ("nda", "non-disclosure", "litigation", "case", "settlement", "court")),
 )
-OPTIONAL: dict[str, tuple[Rule | Reader, ...]] = {"identifiers": IDENTIFIERS, "code": CODE, "proper_nouns": (Reader("proper nouns", _proper_nouns),), "business": BUSINESS}
+# Kinds of organisations, repositories and telephones that stand before their names or numbers.
+ORGANISATIONS = "Bank|Company|Organization|Org|Institution|Agency|Business|Employer|Firm|University|College|School|Hospital|Clinic|Ministry|Department|Authority|Foundation|Association"
+REPOSITORIES = r"repository|git\ repo|repo|codebase"
+TELEPHONES = r"Phone(?:\ Number)?|Telephone|Tel|Mobile(?:\ Number)?|Cell(?:\ Phone)?|Call(?:\ us\ at)?|Contact\ (?:Number|Phone)|Hotline|WhatsApp|SMS|Fax|Reach\ me\ (?:on|at)"
+_WORDY = r"[A-Za-z0-9&.'À-ɏḀ-ỿ-]{2,35}"
+
+
+def _a_name(text: str, m: re.Match, group: int) -> bool:
+    return m.group(group).lower().rstrip(".") not in NO_NAMES
+
+
+def _enough_digits(text: str, m: re.Match, group: int) -> bool:
+    return 7 <= sum(c.isdigit() for c in m.group(group)) <= 15
+
+
+PRECURSORS = (
+    replace(_phrase("ORGANIZATION", rf"(?i){B0}(?:{ORGANISATIONS})(?:\s+(?:Name|of))?\s*[:=]\s*[\"']?({_WORDY}(?:[ \t]+{_WORDY}){{0,4}})", 0.99, "label of an organisation", (), (1,)), prefix="ORGANIZATION", guard=_a_name),
+    replace(_phrase("REPOSITORY", rf"(?i){B0}(?:{REPOSITORIES})\s+([A-Z0-9_./-]{{2,40}}){B1}", 0.98, "word before a repository", ("repo", "codebase"), (1,)), guard=_a_name),
+    replace(_phrase("PHONE_NUMBER", rf"(?i){B0}(?:{TELEPHONES})\s*[:=]\s*([+0-9 .()-]{{7,22}}){B1}", 0.99, "label of a telephone", (DIGIT,), (1,)), prefix="PHONE", guard=_enough_digits),
+)
+OPTIONAL: dict[str, tuple[Rule | Reader, ...]] = {"identifiers": IDENTIFIERS, "code": CODE, "proper_nouns": (Reader("proper nouns", _proper_nouns),), "business": BUSINESS, "precursors": PRECURSORS}
 
 
 def optional_rules(*names: str) -> tuple[Rule | Reader, ...]:

@@ -36,6 +36,12 @@ def test_proper_nouns_and_business():
     assert ("Board approved Plan Nine today", "COMPANY_SECRET") in found(text, "business")
 
 
+def test_precursors():
+    text = "Bank Name: First Continental Bank\nUniversity: Oxford; see repo aquire1/core and the repo is down. WhatsApp: +44 20 7946 0958, Fax: 12"
+    got = found(text, "precursors")
+    assert got == {("First Continental Bank", "ORGANIZATION"), ("Oxford", "ORGANIZATION"), ("aquire1/core", "REPOSITORY"), ("+44 20 7946 0958", "PHONE_NUMBER")}
+
+
 def test_off_by_default_and_linear():
     assert not {id(r) for rules in OPTIONAL.values() for r in rules} & {id(r) for r in DEFAULT} and len(optional_rules()) == sum(map(len, OPTIONAL.values()))
     for text in ("1 " * 20_000, "Aa " * 20_000, "$A" * 20_000, "const " * 10_000, "EBITDA " * 10_000, "case " * 10_000, "0x" + "a" * 40_000, "account " * 10_000):
