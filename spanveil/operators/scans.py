@@ -274,8 +274,8 @@ def fallback_boxes(entities: DataFrame, words: DataFrame, image: str = "image_id
     """(image, entity_id, how, x, y, width, height): one box for each entity (image, entity_id, text, width, height) that offsets don't place.
 
     Lines of the image that have the value rank by how they have it: as it is, without
-    punctuation, or its beginning; the n-th entity of one value takes the n-th such
-    line. Without a line, a word that holds the value or is held by it; without one, a
+    punctuation, or its beginning; then by their place. The n-th entity of one value
+    takes the n-th such line. Without a line, a word that holds the value or is held by it; without one, a
     place down the image. ``words`` may have symbols.
     """
     symbols = F.col("symbols") if "symbols" in words.columns else F.array().cast(f"array<{_PLACED}>")
@@ -294,7 +294,7 @@ def fallback_boxes(entities: DataFrame, words: DataFrame, image: str = "image_id
         .when((F.length(own) >= 6) & line_bare.contains(F.substring(own, 1, 10)), 500)
     )
     ranked = met.withColumn("_rank", rank).where("_rank is not null")
-    by_line = Window.partitionBy(image, "entity_id").orderBy("line_no")
+    by_line = Window.partitionBy(image, "entity_id").orderBy(F.desc("_rank"), "line_no")
     ranked = ranked.withColumns({"_k": F.row_number().over(by_line), "_all": F.count(F.lit(1)).over(Window.partitionBy(image, "entity_id"))})
     chosen = ranked.where(F.col("_k") == F.least("_nth", "_all")).select(image, "entity_id", "line")
     loose = asked.join(chosen.select(image, "entity_id"), [image, "entity_id"], "left_anti").select(image, "entity_id", "text", "_nth")
