@@ -180,7 +180,7 @@ SQL |= {
     "fused_votes": """
         WITH v AS (SELECT l_orderkey, l_linenumber * 4 AS s, l_linenumber * 4 + 2 + l_suppkey % 5 AS e, l_returnflag AS t, 0.5 + l_discount AS c FROM lineitem),
         r AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v),
-        p AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS place FROM r),
+        p AS (SELECT *, sum(CASE WHEN reach IS NULL OR s >= reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY s, e RANGE UNBOUNDED PRECEDING) AS place FROM r),
         g AS (SELECT l_orderkey, place, t, min(s) AS s, max(e) AS e, round(least(0.99, max(c) + 0.03 * (count(*) - 1))::DOUBLE, 9) AS score, count(*) AS n FROM p GROUP BY ALL),
         o AS (SELECT *, min(s) OVER w AS low, max(e) OVER w AS high, row_number() OVER (PARTITION BY l_orderkey, place ORDER BY score DESC, t) AS k FROM g WINDOW w AS (PARTITION BY l_orderkey, place))
         SELECT l_orderkey, CAST(low AS BIGINT) AS start, CAST(high AS BIGINT) AS "end", t AS entity_type, round(score, 6) AS confidence, n AS votes FROM o WHERE k = 1""",
