@@ -104,15 +104,17 @@ def clean(word: Column) -> Column:
 def phrase_boxes(phrases: DataFrame, words: DataFrame, image: str = "image_id") -> DataFrame:
     """(image, phrase_id, line_no, word_no, x, y, width, height): every place of a phrase (image, phrase_id, phrase) within a line.
 
-    Words meet the phrase's first word in an equi join; the rest is compared in the line.
+    Lines meet the phrases of their image, each line once and never a word with its line;
+    places are found within it.
     """
     tokens = F.filter(F.transform(F.split(F.trim("phrase"), r"\s+"), clean), lambda w: w != "")
-    wanted = phrases.select(image, "phrase_id", tokens.alias("_wanted")).where(F.size("_wanted") > 0).withColumn("_token", F.element_at("_wanted", 1))
+    wanted = phrases.select(image, "phrase_id", tokens.alias("_wanted")).where(F.size("_wanted") > 0)
     word = F.struct("word_no", clean(F.col("text")).alias("token"), *RECT)
     lines = words.groupBy(image, "line_no").agg(F.array_sort(F.collect_list(word)).alias("_line"))
-    at = lines.select(image, "line_no", "_line", F.posexplode(F.transform("_line", lambda w: w["token"])).alias("_at", "_token"))
-    met = at.join(wanted, [image, "_token"]).withColumn("_found", F.slice("_line", F.col("_at") + 1, F.size("_wanted")))
-    met = met.where(F.transform("_found", lambda w: w["token"]) == F.col("_wanted"))
+    lines = lines.withColumn("_tokens", F.transform("_line", lambda w: w["token"]))
+    met = lines.join(wanted, image).where(F.array_contains("_tokens", F.element_at("_wanted", 1)))
+    begins = F.filter(F.sequence(F.lit(1), F.size("_line")), lambda i: F.slice("_tokens", i, F.size("_wanted")) == F.col("_wanted"))
+    met = met.select(image, "phrase_id", "line_no", "_line", "_wanted", F.explode(begins).alias("_at")).withColumn("_found", F.slice("_line", F.col("_at"), F.size("_wanted")))
     low = lambda n: F.array_min(F.transform("_found", lambda w: w[n]))
     high = lambda n, size: F.array_max(F.transform("_found", lambda w: w[n] + w[size]))
     return met.select(image, "phrase_id", "line_no", F.element_at("_found", 1)["word_no"].alias("word_no"), low("x").alias("x"), low("y").alias("y"), (high("x", "width") - low("x")).alias("width"), (high("y", "height") - low("y")).alias("height"))
