@@ -251,8 +251,16 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out as images of ten words a line."""
-    words = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "text"))
+    """Documents laid out as images of ten words a line.
+
+    Documents are dealt by their id before they are cut into words: what groups or joins
+    words by document then moves none of them.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a number that is asked for stays: parts of texts grow tenfold as words
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * docs.rdd.getNumPartitions())
+    docs = docs.repartition(parts, "doc_id")
+    words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "text"))
     line = F.floor(F.col("at") / 10).cast("int")
     width = F.least(F.length("text") * 8.0, F.lit(78.0))
     return words.select("doc_id", line.alias("line_no"), (F.col("at") % 10).cast("int").alias("word_no"), "text", (F.col("at") % 10 * 80.0).alias("x"), (line * 20.0).alias("y"), width.alias("width"), F.lit(16.0).alias("height"))
