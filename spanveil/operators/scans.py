@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import let
-from spanveil.operators.ocr import RECT, image_size, tsv_words
+from spanveil.functions.spans import let, staged
+from spanveil.operators.ocr import RECT, image_size
 
 _BOX = "bbox:struct<x0:double,y0:double,x1:double,y1:double>"
 _SYMBOL = f"struct<text:string,{_BOX}>"
@@ -47,7 +47,7 @@ def _rect(box: Column, default: Column, more: tuple[float, float], scaling: tupl
 
 
 def _trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _estimated(text: Column, rect: Column, unit: Column, gap: int, confidence: Column) -> Column:
@@ -66,6 +66,7 @@ def _estimated(text: Column, rect: Column, unit: Column, gap: int, confidence: C
 
 _PLACED = "struct<text:string,rect:struct<x:double,y:double,width:double,height:double>>"
 _PLACED_WORD = f"struct<text:string,rect:struct<x:double,y:double,width:double,height:double>,confidence:double,symbols:array<{_PLACED}>>"
+_ROW = f"struct<line_no:int,word_no:int,{_PLACED_WORD.removeprefix('struct<')}"
 
 
 def json_words(pages: DataFrame, image: str = "image_id", page: str = "page", width: str = "width", height: str = "height", scale: str | None = None) -> DataFrame:
@@ -101,13 +102,27 @@ def json_words(pages: DataFrame, image: str = "image_id", page: str = "page", wi
         guessed = _estimated(x["text"], rect, unit, GAP, sure).cast(f"array<{_PLACED_WORD}>")
         return F.when(F.size(x["words"]) > 0, F.transform(filled(x["words"]), lambda w: word(w, outer))).otherwise(guessed)
 
-    alone = F.transform(filled(F.col("_p.words")), lambda w: F.array(word(w, origin)))
-    read = read.withColumn("_lines", F.when(F.size(lines) > 0, F.transform(lines, line)).otherwise(alone))
-    rows = read.select(image, F.posexplode("_lines").alias("_l", "_words")).select(image, (F.col("_l") + 1).alias("line_no"), F.posexplode("_words").alias("_w", "w"))
-    out = rows.select(image, "line_no", (F.col("_w") + 1).alias("word_no"), "w.text", *[F.col(f"w.rect.{n}").alias(n) for n in RECT], "w.confidence", "w.symbols")
-    table = tsv_words(read.where("size(_lines) = 0 and _p.tsv is not null").select(image, F.col("_p.tsv").alias("tsv")), image, "tsv")
-    table = table.select(image, "line_no", "word_no", "text", *RECT, "confidence", F.array().cast(f"array<{_PLACED}>").alias("symbols"))
-    return out.unionByName(table)
+    placed = lambda w, at, k: F.struct((at + 1).alias("line_no"), (k + 1).alias("word_no"), w["text"].alias("text"), w["rect"].alias("rect"), w["confidence"].alias("confidence"), w["symbols"].alias("symbols")).cast(_ROW)
+    of_lines = lambda xs: F.flatten(F.transform(xs, lambda x, at: F.transform(line(x), lambda w, k: placed(w, at, k))))
+    alone = lambda ws: F.transform(ws, lambda w, at: placed(word(w, origin), at, F.lit(0)))
+    # one way through each page: a page of another kind isn't read a second time
+    read = staged(read, _lines=lines, _words=filled(F.col("_p.words")), _tsv=F.col("_p.tsv")).drop("_p")
+    rows = F.when(F.size("_lines") > 0, of_lines(F.col("_lines"))).when(F.size("_words") > 0, alone(F.col("_words"))).otherwise(_tsv_rows(F.col("_tsv")))
+    rows = read.select(image, F.explode(rows).alias("w"))
+    return rows.select(image, "w.line_no", "w.word_no", "w.text", *[F.col(f"w.rect.{n}").alias(n) for n in RECT], "w.confidence", "w.symbols")
+
+
+def _tsv_rows(tsv: Column) -> Column:
+    """Words of a page in TSV as ``tsv_words`` finds them, in an array."""
+    cell = lambda c, i: F.get(c, i - 1)
+    number = lambda c, i: cell(c, i).try_cast("double")
+    cells = F.filter(F.transform(F.split(tsv, r"\r?\n"), lambda r: F.split(r, "\t")), lambda c: (F.size(c) == 12) & (cell(c, 1) == "5"))
+    place = lambda c: F.struct(*[number(c, i).cast("int").alias(n) for i, n in ((2, "page"), (3, "block"), (4, "paragraph"), (5, "line"))])
+    rect = lambda c: F.struct(*[number(c, 7 + i).alias(n) for i, n in enumerate(RECT)])
+    found = F.transform(cells, lambda c: F.struct(place(c).alias("place"), number(c, 6).cast("int").alias("word_no"), F.trim(cell(c, 12)).alias("text"), rect(c).alias("rect"), number(c, 11).alias("confidence")))
+    found = F.filter(found, lambda w: (w["text"] != "") & (w["confidence"] >= 0))
+    row = lambda w, places: F.struct(F.array_position(places, w["place"]).cast("int").alias("line_no"), w["word_no"].alias("word_no"), w["text"].alias("text"), w["rect"].alias("rect"), w["confidence"].alias("confidence"), F.array().cast(f"array<{_PLACED}>").alias("symbols")).cast(_ROW)
+    return let(found, lambda ws: let(F.array_sort(F.array_distinct(F.transform(ws, lambda w: w["place"]))), lambda places: F.transform(ws, lambda w: row(w, places))))
 
 
 def decoded(markup: Column) -> Column:
