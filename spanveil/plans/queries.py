@@ -23,7 +23,7 @@ from spanveil.operators.shield import session_id, shield
 from spanveil.operators.votes import fuse_votes
 from spanveil.rules import lines as lines_rules
 from spanveil.rules import names, packs, regex, secret
-from spanveil.storage import spread, table
+from spanveil.storage import cut, spread, table
 
 _ALL = {r.evidence: r for r in (*regex.RULES, *secret.RULES) if isinstance(r, Rule)}
 EMAIL, CARD, IP, TOKEN = (_ALL[k] for k in ("e-mail address", "card number", "IP address", "assigned key or token"))
@@ -295,7 +295,8 @@ def image_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = lambda name, *rect: F.struct(F.lit(name).alias("box_id"), *[F.lit(v).cast("double").alias(n) for n, v in zip(ocr.RECT, rect, strict=True)])
     boxes = drawn.select("doc_id", F.inline(F.array(box("a", 0, 0, F.greatest(half, F.lit(1.0)), 2), box("b", half, 2, F.col("w"), 1))))
     boxes = boxes.select("*", F.lit("CUSTOM").alias("entity_type"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("placeholder"))
-    shielded = images.shield_images(drawn.drop("w"), boxes, "key", "doc_id")
+    # both sides of the meeting below come from it: images are hidden once
+    shielded = cut(images.shield_images(drawn.drop("w"), boxes, "key", "doc_id").select("doc_id", "session_id", "shielded", "encrypted_mappings"))
     kept = shielded.select("session_id", "encrypted_mappings", F.lit(1).alias("expires_at"), F.lit(False).alias("is_purged"))
     seen = images.reveal_images(shielded.select("doc_id", "session_id", "shielded"), kept, "key", F.lit(0), "shielded")
     shown = seen.select("doc_id", "status", "n_restored", images.png_pixels(F.col("shielded")).alias("before"), images.png_pixels(F.col("restored")).alias("after"))
