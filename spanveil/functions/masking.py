@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from spanveil.functions.matching import Reader, Rule, findings
+from spanveil.functions.matching import Reader, Rule, findings, in_pieces, sliced
 from spanveil.types import COMPATIBLE, CONTAINERS, PROPAGATED, SPECIFICITY, UNKNOWN_SPECIFICITY
 
 # Characters that a value neither begins nor ends with.
@@ -190,7 +190,8 @@ def masked_column(text: Column, found: Column, **options) -> Column:
     """struct<detected, entities, masked_text, mapping> of candidates that are there already."""
 
     def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return _table([masked(t, s or [], **options) for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)])
+        parts = sliced(texts, spans)
+        return pa.concat_arrays([_table([masked(t, s or [], **options) for t, s in zip(a.to_pylist(), b.to_pylist(), strict=True)]) for a, b in parts])
 
     return F.arrow_udf(run, f"struct<{_MASKED}>").asNondeterministic()(F.coalesce(text, F.lit("")), found)
 
@@ -205,4 +206,4 @@ def detected_and_masked(text: Column, rules: tuple[Rule | Reader, ...], **option
             out.append(masked(text, found, **options) | {"failed": failed})
         return _table(out, [("failed", pa.list_(pa.string()))])
 
-    return F.arrow_udf(run, f"struct<{_MASKED},failed:array<string>>").asNondeterministic()(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(in_pieces(run), f"struct<{_MASKED},failed:array<string>>").asNondeterministic()(F.coalesce(text, F.lit("")))

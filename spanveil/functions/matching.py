@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,6 +121,25 @@ def registered(rules: tuple[Rule | Reader, ...], *more: Rule | Reader) -> tuple[
 _FIELDS = [("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("confidence", pa.float64()), ("priority", pa.int32())]
 _FIELDS += [(n, pa.string()) for n in ("detector", "evidence", "text", "prefix")] + [("seq", pa.int32())]
 _SPANS = pa.list_(pa.struct(_FIELDS))
+#: Rows and characters of a batch whose results are Python objects at once.
+SLICE_ROWS, SLICE_CHARS = 256, 1_000_000
+
+
+def sliced(column: pa.Array, *more: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Columns of one batch in pieces of few rows and characters, so that a worker's memory doesn't follow the batch."""
+    begin = size = 0
+    for i, length in enumerate(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()):
+        if i > begin and (size + length > SLICE_CHARS or i - begin == SLICE_ROWS):
+            yield tuple(x.slice(begin, i - begin) for x in (column, *more))
+            begin, size = i, 0
+        size += length
+    if begin < len(column) or not len(column):
+        yield tuple(x.slice(begin) for x in (column, *more))
+
+
+def in_pieces(run: Callable[..., pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """``run`` over a column of texts piece by piece: only the Arrow results of a batch are held whole."""
+    return lambda texts: pa.concat_arrays([run(part) for (part,) in sliced(texts)])
 
 
 def rule_findings(text: Column, rules: tuple[Rule | Reader, ...]) -> Column:
@@ -129,7 +149,7 @@ def rule_findings(text: Column, rules: tuple[Rule | Reader, ...]) -> Column:
         found = [findings(x.as_py(), rules) for x in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], _SPANS), pa.array([x for _, x in found], pa.list_(pa.string()))], names=["spans", "failed"])
 
-    return F.arrow_udf(read, f"struct<spans:array<{SPAN}>,failed:array<string>>").asNondeterministic()(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(in_pieces(read), f"struct<spans:array<{SPAN}>,failed:array<string>>").asNondeterministic()(F.coalesce(text, F.lit("")))
 
 
 def rule_spans(text: Column, rules: tuple[Rule | Reader, ...]) -> Column:
@@ -139,4 +159,4 @@ def rule_spans(text: Column, rules: tuple[Rule | Reader, ...]) -> Column:
         return pa.array([find_all(x.as_py(), rules) for x in texts], _SPANS)
 
     # called nondeterministic so that filters on the result don't repeat it
-    return F.arrow_udf(read, f"array<{SPAN}>").asNondeterministic()(F.coalesce(text, F.lit("")))
+    return F.arrow_udf(in_pieces(read), f"array<{SPAN}>").asNondeterministic()(F.coalesce(text, F.lit("")))
