@@ -354,7 +354,7 @@ SIGNERS = tuple((g, n) for g, n in zip(names.GIVEN.split()[:60:2], names.SURNAME
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as letters: who signs follows from the customer, what stands before from the order."""
     of = lambda k: F.element_at(F.array(*[F.lit(s[k]) for s in SIGNERS]), (F.col("o_custkey") % len(SIGNERS) + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" was packed and then seen by "), of(0), F.lit(" "), of(1), F.lit(" on the way\n")).alias("text"))
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select("o_orderkey", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" was packed and then seen by "), of(0), F.lit(" "), of(1), F.lit(" on the way\n")).alias("text"))
 
 
 def name_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +365,7 @@ def name_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of forms made of all customers: which lines are fields, of which type, and where their values stand."""
-    customers = table(spark, sf_dir, "customer")
+    customers = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
     lines = [("Employer", F.col("c_mktsegment")), ("Country", F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))), ("Result", F.lit("done")), ("Badge", F.concat(F.lit("B-"), F.col("c_custkey").cast("string"))), ("Fee", F.lit("$12.50 USD")), ("Favourite Colour", F.concat(F.lit("c"), (F.col("c_custkey") % 7).cast("string"), F.lit(", please keep it")))]
     forms = customers.select("c_custkey", F.concat_ws("\n", *[F.concat(F.lit(f"{label}: "), value) for label, value in lines]).alias("text"))
     found = detect(forms, (lines_rules.READER,)).select("c_custkey", F.explode("candidates").alias("s"))
