@@ -50,6 +50,8 @@ _BUCKET = 4096  # bytes of a bitmap that bitmap_construct_agg makes
 POSTING_ROWS = 2048
 #: A sketch has two to four bits for each n-gram, and so many at least.
 SKETCH_BITS = 256
+#: A document brings so many of its postings along to tell where a pair of documents met before.
+MET_KEYS = 32
 #: Documents are picked for verification by a filter of so many bits, then exactly.
 PICK_BITS = 1 << 23
 #: The order is cut at its leading bits.
@@ -394,6 +396,23 @@ def _unlike(words: np.ndarray, at: np.ndarray, width: np.ndarray, i: np.ndarray,
     return out
 
 
+def _met_before(keys: pa.ListArray, h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Do documents a and b share a posting below ``h`` among those that they bring along (in order)?
+
+    They meet there in the same way as here, so that a pair is made at the least posting
+    that both bring along, and at those beyond only if they bring none.
+    """
+    flat, width = keys.flatten().to_numpy(), keys.value_lengths().to_numpy()
+    at, out = np.cumsum(width) - width, np.zeros(len(a), bool)
+    column = np.arange(MET_KEYS)
+    for k in range(0, len(a), 2000):
+        i, j, bound = (x[k : k + 2000, None] for x in (a, b, h))
+        held = [np.where(column < width[x], flat[np.minimum(at[x] + column, max(0, len(flat) - 1))], bound) for x in (i, j)]
+        some = (held[0][:, :, None] == held[1][:, None, :]) & (held[0] < bound)[:, :, None]
+        out[k : k + 2000] = some.any((1, 2))
+    return out
+
+
 _PAIR = "a long, d1_a long, b long, d1_b long, apart long"
 
 
@@ -402,13 +421,16 @@ def _pair(ids: np.ndarray, d1: np.ndarray, a: np.ndarray, b: np.ndarray, apart:
 
 
 def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, d1_a, b, d1_b) of documents of one small posting that are in different components and may reach the threshold."""
+    """(a, d1_a, b, d1_b) of documents of one small posting that are in different components and may reach the threshold.
+
+    A pair that met in an earlier posting isn't made again.
+    """
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         h, ids, d1, n, comp = (rows.column(c).to_numpy() for c in ("h", "id", "d1", "n", "component"))
         sketch = rows.column("sketch").combine_chunks()
         words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
-        at = np.cumsum(width) - width
+        at, keys = np.cumsum(width) - width, rows.column("keys").combine_chunks()
         i, far = np.arange(len(h)), 0
         while len(i):  # rows of a posting that are so many places apart
             far += 1
@@ -419,8 +441,9 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
             a, b = i[ok], j[ok]
             unlike = _unlike(words, at, width, a, b)
             ok = unlike * (den + num) <= (n[a] + n[b]) * (den - num)
-            if ok.any():
-                yield _pair(ids, d1, a[ok], b[ok], unlike[ok])
+            a, b, unlike = a[ok], b[ok], unlike[ok]
+            if len(a) and not (again := _met_before(keys, h[a], a, b)).all():
+                yield _pair(ids, d1, a[~again], b[~again], unlike[~again])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -439,7 +462,7 @@ def _meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    return postings.select("h", "id", "d1", "n", "component", "sketch").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, _PAIR)
+    return postings.select("h", "id", "d1", "n", "component", "sketch", "keys").repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(run, _PAIR)
 
 
 def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -453,13 +476,13 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                same = batch.column(0)[row].as_py()
+                same, posting = batch.column(0)[row].as_py(), batch.column(3)[row].as_py()
                 sides = [batch.column(c).slice(row, 1).flatten() for c in (1, 2)]
                 both, first = pa.concat_arrays(sides), len(sides[0])
                 ids, d1, n, comp = (both.field(c).to_numpy() for c in range(4))
                 sketch = both.field(4)
                 words, width = sketch.flatten().to_numpy().view(np.uint64), sketch.value_lengths().to_numpy()
-                at = np.cumsum(width) - width
+                at, keys = np.cumsum(width) - width, both.field(5)
                 for k in range(0, first, 64):
                     i, j = (x.ravel() for x in np.meshgrid(np.arange(k, min(k + 64, first)), np.arange(first, len(n)), indexing="ij"))
                     low = n[i] <= n[j]
@@ -469,14 +492,15 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
                     a, b = np.where(low, i, j)[ok], np.where(low, j, i)[ok]
                     unlike = _unlike(words, at, width, a, b)
                     ok = unlike * (den + num) <= (n[a] + n[b]) * (den - num)
-                    if ok.any():
-                        yield _pair(ids, d1, a[ok], b[ok], unlike[ok])
+                    a, b, unlike = a[ok], b[ok], unlike[ok]
+                    if len(a) and not (again := _met_before(keys, np.full(len(a), posting), a, b)).all():
+                        yield _pair(ids, d1, a[~again], b[~again], unlike[~again])
 
     step = 1.001 * max(math.log(den / num), 0.01)
-    rows = cut(postings.select("h", "id", "d1", "n", "component", "sketch", F.floor(F.log("n") / step).alias("size")))
+    rows = cut(postings.select("h", "id", "d1", "n", "component", "sketch", "keys", F.floor(F.log("n") / step).alias("size")))
     slots = cut(rows.groupBy("h", "size").agg(F.ceil(F.count(F.lit(1)) / POSTING_ROWS).alias("slots")))
     placed = rows.join(slots, ["h", "size"]).withColumn("slot", F.pmod(F.xxhash64("id", "d1"), F.col("slots")))
-    blocks = cut(placed.groupBy("h", "size", "slot").agg(F.collect_list(F.struct("id", "d1", "n", "component", "sketch")).alias("found")))
+    blocks = cut(placed.groupBy("h", "size", "slot").agg(F.collect_list(F.struct("id", "d1", "n", "component", "sketch", "keys")).alias("found")))
     of_a, of_b = (slots.select("h", F.col("size").alias(f"size_{x}"), F.col("slots").alias(f"slots_{x}")) for x in "ab")
     near = of_a.select("*", F.explode(F.array("size_a", F.col("size_a") + 1)).alias("size_b")).join(of_b, ["h", "size_b"])
     for x in "ab":
@@ -485,7 +509,7 @@ def _block_meetings(postings: DataFrame, num: int, den: int) -> DataFrame:
     for x in "ab":
         side = blocks.select("h", F.col("size").alias(f"size_{x}"), F.col("slot").alias(f"slot_{x}"), F.col("found").alias(f"found_{x}"))
         tiles = tiles.join(side, ["h", f"size_{x}", f"slot_{x}"])
-    return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b").mapInArrow(run, _PAIR)
+    return tiles.select(F.expr("size_a = size_b and slot_a = slot_b"), "found_a", "found_b", "h").mapInArrow(run, _PAIR)
 
 
 def _live_postings(postings: DataFrame, num: int, den: int) -> DataFrame:
@@ -568,6 +592,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("h", "m")
     apart = cut(placed.join(mixed, "h"))  # documents of different components in one posting
     folded = sketches.select("id", "d1", F.col("n").cast("int").alias("n"), _folded("sketch").alias("sketch"))
+    keys = apart.groupBy("id", "d1").agg(F.slice(F.array_sort(F.collect_set("h")), 1, MET_KEYS).alias("keys"))
+    folded = folded.join(keys, ["id", "d1"])
     meetings = _meetings(apart.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), num, den)
     large = apart.where(F.col("m") > POSTING_ROWS)
     if not large.isEmpty():
