@@ -50,18 +50,31 @@ def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
+def _sums(values: Column) -> Column:
+    """Sums of an array's values up to each of them.
+
+    Each takes in what stands 1, 2, 4, ... places before it: n values need log n rounds
+    over the array, and not for each of them a way through all before it.
+    """
+    places = F.array(*[F.lit(1 << k) for k in range(31)])  # an array has less than 2^31 values
+    further = lambda sums, k: F.transform(sums, lambda v, i: v + F.coalesce(F.get(sums, i - k), F.lit(0.0)))
+    return let(values, lambda vs: F.aggregate(F.filter(places, lambda k: k < F.size(vs)), vs, further))
+
+
 def _estimated(text: Column, rect: Column, unit: Column, gap: int, confidence: Column) -> Column:
     """Words of a line of which only the line's place is known, side by side, each as wide as its letters."""
     tokens = F.filter(F.split(_trimmed(text), r"\s+"), lambda t: t != "")
-    sized = F.transform(tokens, lambda t: F.struct(t.alias("text"), F.greatest(F.lit(float(LEAST_WIDTH)), whole(F.length(t) * unit)).alias("width")))
-    left = lambda ts, i: F.aggregate(F.slice(ts, F.lit(1), i), F.lit(0.0), lambda s, t: s + t["width"] + gap)
-    return let(
-        sized,
-        lambda ts: F.transform(
-            ts,
-            lambda t, i: F.struct(t["text"].alias("text"), F.struct((rect["x"] + left(ts, i)).alias("x"), rect["y"].alias("y"), t["width"].alias("width"), rect["height"].alias("height")).alias("rect"), confidence.alias("confidence"), F.array().cast(f"array<{_PLACED}>").alias("symbols")),
-        ),
-    )
+    widths = lambda ts, unit: F.transform(ts, lambda t: F.greatest(F.lit(float(LEAST_WIDTH)), whole(F.length(t) * unit)))
+
+    def words(line: Column, ts: Column, ws: Column, ends: Column) -> Column:
+        left = lambda i: line["x"] + float(gap) * i + F.coalesce(F.get(ends, i - 1), F.lit(0.0))
+        placed = lambda i: F.struct(left(i).alias("x"), line["y"].alias("y"), F.get(ws, i).alias("width"), line["height"].alias("height"))
+        return F.transform(ts, lambda t, i: F.struct(t.alias("text"), placed(i).alias("rect"), line["confidence"].alias("confidence"), F.array().cast(f"array<{_PLACED}>").alias("symbols")))
+
+    # what holds for the whole line is computed once, not for each word
+    of_line = F.struct(*[rect[n].alias(n) for n in ("x", "y", "height")], unit.alias("unit"), confidence.alias("confidence"))
+    sized = lambda line, ts: let(widths(ts, line["unit"]), lambda ws: let(_sums(ws), lambda ends: words(line, ts, ws, ends)))
+    return let(of_line, lambda line: let(tokens, lambda ts: sized(line, ts)))
 
 
 _PLACED = "struct<text:string,rect:struct<x:double,y:double,width:double,height:double>>"
@@ -133,25 +146,31 @@ def decoded(markup: Column) -> Column:
     return out
 
 
-def svg_words(pages: DataFrame, image: str = "image_id", svg: str = "svg") -> DataFrame:
-    """Words of the text elements of vector graphics, with widths estimated from the size of their font.
+def svg_lines(pages: DataFrame, image: str = "image_id", svg: str = "svg") -> DataFrame:
+    """Text elements of vector graphics that aren't blank, each with all its ``words`` (text, rect, confidence, symbols).
 
-    An element is a line; its words stand side by side from its place on. An element
-    without place is at 50, 50; a font without size has 14 pixels.
+    An element is a line; its words stand side by side from its place on, with widths
+    estimated from the size of its font. An element without place is at 50, 50; a font
+    without size has 14 pixels.
     """
     elements = F.regexp_extract_all(F.col(svg), F.lit(r"(?is)<text\s+[^>]*?>.*?</text>"), F.lit(0))
     rows = pages.select(image, F.posexplode(elements).alias("_l", "_e"))
     head, body = F.regexp_extract("_e", r"(?is)^<text\s+([^>]*?)>", 1), F.regexp_extract("_e", r"(?is)^<text\s+[^>]*?>(.*)</text>$", 1)
-    rows = rows.select(image, (F.col("_l") + 1).alias("line_no"), head.alias("_a"), _trimmed(decoded(body)).alias("_t")).where("_t <> ''")
+    rows = staged(rows, _a=head, _t=_trimmed(decoded(body))).where("_t <> ''")
 
     def number(name: str, default: float) -> Column:
         found = F.regexp_extract("_a", rf"""(?i){name}=["']?(\d+(?:\.\d+)?)["']?""", 1)
-        return F.when(found == "", default).otherwise(found.cast("double"))
+        return let(found, lambda n: F.when(n == "", default).otherwise(n.cast("double")))
 
-    rows = rows.withColumns({"_x": number(r"\bx", 50.0), "_y": number(r"\by", 50.0), "_s": number("font-size", 14.0)})
-    rect = F.struct(whole(F.col("_x")).alias("x"), F.greatest(F.lit(0.0), whole(F.col("_y") - F.col("_s"))).alias("y"), F.lit(0.0).alias("width"), F.greatest(F.lit(14.0), whole(F.col("_s") * 1.3)).alias("height"))
+    rows = staged(rows, _x=number(r"\bx", 50.0), _y=number(r"\by", 50.0), _s=number("font-size", 14.0))
+    rect = F.struct(whole(F.col("_x")).alias("x"), F.greatest(F.lit(0.0), whole(F.col("_y") - F.col("_s"))).alias("y"), F.greatest(F.lit(14.0), whole(F.col("_s") * 1.3)).alias("height"))
     words = _estimated(F.col("_t"), rect, F.col("_s") * 0.6, SVG_GAP, F.lit(SVG_CONFIDENCE))
-    out = rows.select(image, "line_no", F.posexplode(words).alias("_w", "w"))
+    return rows.select(image, (F.col("_l") + 1).alias("line_no"), words.alias("words"))
+
+
+def svg_words(pages: DataFrame, image: str = "image_id", svg: str = "svg") -> DataFrame:
+    """Words of the text elements of vector graphics (``svg_lines``), a row each."""
+    out = svg_lines(pages, image, svg).select(image, "line_no", F.posexplode("words").alias("_w", "w"))
     return out.select(image, "line_no", (F.col("_w") + 1).alias("word_no"), "w.text", *[F.col(f"w.rect.{n}").alias(n) for n in RECT], "w.confidence")
 
 

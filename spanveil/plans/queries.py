@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions.scalars import html_escaped, html_text, luhn_valid, snippet
 from spanveil.functions.matching import Rule
+from spanveil.functions.spans import let
 from spanveil.operators import images, reports, risk
 from spanveil.operators.detect import candidates, detect, detected_values
 from spanveil.operators import ocr, scans
@@ -313,9 +314,10 @@ def _markup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def svg_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and their places, read from documents drawn as vector graphics: one row a line with its last word."""
-    found = scans.svg_words(_markup(spark, sf_dir), "doc_id")
-    ends = found.groupBy("doc_id", "line_no").agg(F.count(F.lit(1)).alias("n_words"), F.max_by(F.struct("text", "x", "y", "width", "height"), "word_no").alias("w"))
-    return ends.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "n_words", F.col("w.text").alias("last_word"), *[F.col(f"w.{n}").alias(n) for n in ocr.RECT])
+    lines = scans.svg_lines(_markup(spark, sf_dir), "doc_id")
+    # words stay on their line: none is moved to be counted
+    ends = lines.select("doc_id", "line_no", let(F.col("words"), lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), F.element_at(ws, -1).alias("w"))).alias("e"))
+    return ends.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "e.n_words", F.col("e.w.text").alias("last_word"), *[F.col(f"e.w.rect.{n}").alias(n) for n in ocr.RECT])
 
 
 def json_words(spark: SparkSession, sf_dir: str) -> DataFrame:
