@@ -1,18 +1,19 @@
 """Exact top-k inner-product search with a three-phase uniform threshold.
 
 A vector's dimensions are cut into slices; a score is the sum of one partial score
-from each slice. Queries and candidates meet in tiles (a block of queries with a
-block of candidates), so that neither side is broadcast or collected.
+from each slice. Candidates are dealt to slots, each the rows of one task, and every
+query goes to every slot as a row of its own, so that neither side is broadcast or
+collected; they meet in tiles (a block of queries with a block of a slot's candidates).
 1. In each slice of each tile the longest rows, HEAD of them, give every query its k
    best partial scores; only the candidates on these local lists are scored in full,
    and the k-th best score that a query has anywhere is a safe cutoff: the final
    list cannot fall below.
-2. The cutoffs travel to the tiles with the queries. A score that reaches the
+2. The cutoffs travel to the slots with the queries. A score that reaches the
    cutoff c has a partial score of c / slices at least in one of the slices; pairs
    whose lengths rule that out in all slices aren't multiplied. The others are
    multiplied slice by slice, each only as long as what it has and what lengths let
    the other slices add can reach the cutoff.
-3. Only the scores of these entries are resolved, exactly, and each tile passes on
+3. Only the scores of these entries are resolved, exactly, and each slot passes on
    its k best.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components
@@ -30,14 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.storage import cut
 
-#: A table's rows are copied once for each block of queries, so these are large; what a task holds is one tile.
-QUERY_BLOCK, ROW_BLOCK = 4096, 4096
+#: Queries and rows are multiplied in blocks of so many.
+QUERY_BLOCK, ROW_BLOCK = 256, 4096
+#: A slot's rows have about so many components (what a task holds), and so many rows at least while there are few slots:
+#: rows go to one slot each, and queries to every slot.
+SLOT_CELLS, SLOT_ROWS = 1 << 22, 1024
 SLICES, HEAD = 4, 256
 _LOWEST = -(1 << 63)
 
@@ -50,40 +53,35 @@ def integer_vectors(table: DataFrame, id_col: str, vector: str, scale: int) -> D
     return table.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
-def _blocks(rows: DataFrame, slots: int) -> DataFrame:
-    """(slot, ids, vs): blocks of rows as they lie in their partitions."""
+def _matrix(vs: pa.Array) -> np.ndarray:
+    lengths = vs.value_lengths().to_numpy()
+    out = np.zeros((len(vs), int(lengths.max())), np.int64)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = vs.flatten().to_numpy()
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = TaskContext.get().partitionId()
-        for batch in batches:
-            for k in range(0, batch.num_rows, ROW_BLOCK):
-                part = batch.slice(k, ROW_BLOCK)
-                wrap = lambda x, n=part.num_rows: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([pa.array([made % slots], pa.int32()), wrap(part.column(0)), wrap(part.column(1))], names=["slot", "ids", "vs"])
-                made += 1
 
-    return rows.mapInArrow(run, "slot int, ids array<long>, vs array<array<long>>")
+def _filled(parts: list[tuple[np.ndarray, pa.Array]]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """``parts`` (ids, vectors) of a slot as blocks of ROW_BLOCK rows."""
+    ids, vs = np.concatenate([i for i, _ in parts]), pa.concat_arrays([v for _, v in parts])
+    for at in range(0, len(ids), ROW_BLOCK):
+        yield ids[at : at + ROW_BLOCK], vs[at : at + ROW_BLOCK]
 
 
-def _matrix(vs: pa.Array, dims: int) -> np.ndarray:
-    lengths = vs.value_lengths().to_numpy()
-    out = np.zeros((len(vs), dims), np.int64)
-    out[np.arange(dims) < lengths[:, None]] = vs.flatten().to_numpy()
-    return out
+def _most(a: np.ndarray, b: np.ndarray) -> float:
+    """No inner product of a row of each is larger."""
+    return float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of all rows, exact: in floating point while it holds the integers, else in Python's."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
+    if _most(a, b) < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     return np.clip(a.astype(object) @ b.astype(object).T, _LOWEST, -_LOWEST - 1).astype(np.int64)
 
 
 def _scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whole scores of the pairs (i, j), exact."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, q.shape[1])
-    if most >= 2**62:
+    if _most(q, x) >= 2**62:
         return np.array([max(_LOWEST, min(-_LOWEST - 1, sum(int(a) * int(b) for a, b in zip(q[m], x[n], strict=True)))) for m, n in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
     step = max(1, 4_000_000 // max(1, q.shape[1]))
     return np.concatenate([np.zeros(0, np.int64), *[(q[i[k : k + step]] * x[j[k : k + step]]).sum(1) for k in range(0, len(i), step)]])
@@ -125,70 +123,91 @@ def sufficient_entries(q: np.ndarray, x: np.ndarray, cutoff: np.ndarray, known:
     open_ |= ~known[:, None]
     most = own @ length.T  # what all slices can add
     open_ &= (most >= least[:, None]) | ~known[:, None]
+    rest, so_far, s, multiplied = most, np.zeros(open_.shape), 0, 0
+    while s < len(cuts) and 4 * np.count_nonzero(open_) >= open_.size:  # most pairs are open: products of matrices
+        so_far += _exact(q[:, cuts[s]], x[:, cuts[s]])
+        rest -= own[:, s, None] * length[None, :, s]
+        open_ &= (so_far + rest >= least[:, None] - 1e-9 * np.abs(so_far)) | ~known[:, None]
+        multiplied, s = multiplied + open_.size, s + 1
     i, j = np.nonzero(open_)
-    multiplied, so_far = 0, np.zeros(len(i))
-    rest = most[i, j]
-    for s, c in enumerate(cuts):
-        if 4 * len(i) >= open_.size:  # most pairs are open: one product of matrices
-            part = _exact(q[:, c], x[:, c])[i, j].astype(np.float64)
-            multiplied += open_.size
-        else:
-            part = _scores(q[:, c], x[:, c], i, j).astype(np.float64)
-            multiplied += len(i)
-        so_far, rest = so_far + part, rest - own[i, s] * length[j, s]
+    so_far, rest = so_far[i, j], rest[i, j]
+    for s, c in list(enumerate(cuts))[s:]:
+        multiplied += len(i)
+        so_far, rest = so_far + _scores(q[:, c], x[:, c], i, j), rest - own[i, s] * length[j, s]
         stays = ~known[i] | (so_far + rest >= least[i] - 1e-9 * np.abs(so_far))
         i, j, so_far, rest = i[stays], j[stays], so_far[stays], rest[stays]
-    score = _scores(q, x, i, j)
+    # sums that floating point holds are exact
+    score = so_far.astype(np.int64) if _most(q, x) < 2**53 else _scores(q, x, i, j)
     ok = ~known[i] | (score >= cutoff[i])
     return i[ok], j[ok], score[ok], multiplied
 
 
-def _tiles(pairs: DataFrame, k: int, phase: int) -> DataFrame:
-    """(query_id, vec_id, score): from each tile each query's k best entries of the local lists (phase 1) or of the sufficient entries."""
+def _best(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the entries (query i, id, score) the k best of each query."""
+    order = np.lexsort((ids, np.negative(score.astype(object)) if (score == _LOWEST).any() else -score, i))
+    i, ids, score = i[order], ids[order], score[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i, "left") < k
+    return i[kept], ids[kept], score[kept]
+
+
+def _tiles(vectors: DataFrame, asked: DataFrame, slots: int, k: int, phase: int) -> DataFrame:
+    """(query_id, vec_id, score): from each slot each query's k best entries of the local lists (phase 1) or of the sufficient entries.
+
+    A row is a vector, and a task holds the rows of one slot while the queries (id, v,
+    cutoff) pass by, so that no record and no batch grows with the tables.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                ids, vs, found = (batch.column(i).slice(row, 1).flatten() for i in range(3))
-                query, qvs, cutoff = found.field(0).to_numpy(), found.field(1), found.field(2)
-                dims = int(max(vs.value_lengths().to_numpy().max(), qvs.value_lengths().to_numpy().max()))
-                x, q, ids = _matrix(vs, dims), _matrix(qvs, dims), ids.to_numpy()
-                for begin in range(0, len(q), 256):
-                    part, cut_part = slice(begin, begin + 256), cutoff[begin : begin + 256]
-                    if phase == 1:
-                        i, j, score, _ = local_lists(q[part], x, k + 1)  # one may be the query itself
-                    else:
-                        i, j, score, _ = sufficient_entries(q[part], x, cut_part.fill_null(0).to_numpy(), cut_part.is_valid().to_numpy(zero_copy_only=False))
-                    other = ids[j] != query[part][i]
-                    i, j, score = i[other], j[other], score[other]
-                    order = np.lexsort((ids[j], np.negative(score.astype(object)) if (score == _LOWEST).any() else -score, i))
-                    i, j, score = i[order], j[order], score[order]
-                    place = np.arange(len(i)) - np.searchsorted(i, i, "left")
-                    kept = place < k
-                    if kept.any():
-                        columns = query[part][i[kept]], ids[j[kept]], score[kept]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
-
-    return pairs.select("ids", "vs", "found").mapInArrow(run, "query_id long, vec_id long, score long")
+        slot, held, blocks = None, [], []
+        for batch in batches:  # in the order of slots, their rows before the queries
+            slot_of, asks, ids = (batch.column(n).to_numpy() for n in range(3))
+            vs, cutoffs = batch.column(3), batch.column(4)
+            edges = np.flatnonzero((np.diff(slot_of) != 0) | (np.diff(asks) != 0)) + 1
+            for begin, end in zip([0, *edges], [*edges, len(ids)], strict=True):
+                if begin == end:
+                    continue
+                if slot_of[begin] != slot:
+                    slot, held, blocks = slot_of[begin], [], []
+                if not asks[begin]:
+                    held.append((ids[begin:end], vs[begin:end]))
+                    continue
+                if held:
+                    blocks, held = [(i, _matrix(v)) for i, v in _filled(held)], []
+                for at in range(begin, end, QUERY_BLOCK):
+                    part = slice(at, min(at + QUERY_BLOCK, end))
+                    query, q, cutoff = ids[part], _matrix(vs[part]), cutoffs[part]
+                    known, cutoff = cutoff.is_valid().to_numpy(zero_copy_only=False), cutoff.fill_null(0).to_numpy()
+                    found = []
+                    for of, x in blocks:
+                        dims = min(q.shape[1], x.shape[1])  # what one lacks is zero
+                        if phase == 1:
+                            i, j, score, _ = local_lists(q[:, :dims], x[:, :dims], k + 1)  # one may be the query itself
+                        else:
+                            i, j, score, _ = sufficient_entries(q[:, :dims], x[:, :dims], cutoff, known)
+                        other = of[j] != query[i]
+                        found.append(_best(i[other], of[j[other]], score[other], k))
+                    if found:
+                        i, of, score = _best(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (query[i], of, score)], names=["query_id", "vec_id", "score"])
+
+    # rows are dealt in turn, whatever they hold
+    rows = vectors.select(F.pmod(F.monotonically_increasing_id(), F.lit(slots)).cast("int").alias("slot"), F.lit(0).alias("asks"), "id", "v", F.lit(None).cast("long").alias("cutoff"))
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"), F.lit(1).alias("asks"), "id", "v", "cutoff")
+    met = rows.unionByName(every).repartitionById(slots, F.col("slot")).sortWithinPartitions("slot", "asks")
+    return met.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def top_k(table: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row for which ``queries`` holds its k best other rows."""
-    spark = table.sparkSession
     vectors = integer_vectors(table, id_col, vector, scale)
-    asked = integer_vectors(table.where(queries), id_col, vector, scale).groupBy("id").agg(F.min("v").alias("v"))
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    rows = _blocks(vectors, slots).select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def met(queried: DataFrame) -> DataFrame:
-        held = queried.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "v", "cutoff")).alias("found"))
-        return rows.join(held.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")), ["block", "slot"])
-
+    asked = cut(integer_vectors(table.where(queries), id_col, vector, scale).groupBy("id").agg(F.min("v").alias("v")))
+    n, cells = vectors.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    slots = max(1, -(-cells // SLOT_CELLS), min(2 * cores, -(-n // SLOT_ROWS)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    lists = _tiles(met(asked.withColumn("cutoff", F.lit(None).cast("long"))), k, 1)
+    lists = _tiles(vectors, asked.withColumn("cutoff", F.lit(None).cast("long")), slots, k, 1)
     kth = lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     kth = kth.groupBy("query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("cutoff"))
     bounded = cut(asked.join(kth.withColumnRenamed("query_id", "id"), "id", "left"))
-    entries = _tiles(met(bounded), k, 2).withColumn("rank", F.row_number().over(order))
+    entries = _tiles(vectors, bounded, slots, k, 2).withColumn("rank", F.row_number().over(order))
     return entries.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
