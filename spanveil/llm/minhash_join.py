@@ -51,6 +51,7 @@ from spanveil.llm.ngram_join import (
     _folded,
     _joined,
     _live_postings,
+    _met_keys,
     _mix,
     _pair,
     _parts,
@@ -329,8 +330,10 @@ def minhash_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         own_key = large.select(F.col("key").alias("h"), "id", "d1", "component").join(signed.select("id", "d1", "signature"), ["id", "d1"])
         twice = _mixed(paired_postings(own_key, chunks)).withColumn("key", F.col("h"))
         met = met.unionByName(meetings(twice.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), most, chunks, num, den))
-        if twice.where(F.col("m") > POSTING_ROWS).head(1):
-            met = met.unionByName(_block_meetings(twice.where(F.col("m") > POSTING_ROWS).join(folded.withColumn("n", F.col("n").cast("int")), ["id", "d1"]), num, den))
+        common = twice.where(F.col("m") > POSTING_ROWS)
+        if common.head(1):
+            brought = folded.withColumn("n", F.col("n").cast("int")).join(_met_keys(common), ["id", "d1"])
+            met = met.unionByName(_block_meetings(common.join(brought, ["id", "d1"]), num, den))
     met = cut_to_size(near_pairs(met.select(*_KEYS).distinct(), signed, most, num, den), PAIRS_A_TASK)
     _, every = _joined(met, edges, found, TRIES, signed, body, n, _PLAIN, num, den)
     of_class = classes.join(every.withColumnRenamed("node", "class_id"), "class_id", "left").select(digests.alias("set"), "m", "class_id", F.coalesce("component", "class_id").alias("component_id"))

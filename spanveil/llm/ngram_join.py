@@ -413,6 +413,11 @@ def _met_before(keys: pa.ListArray, h: np.ndarray, a: np.ndarray, b: np.ndarray)
     return out
 
 
+def _met_keys(rows: DataFrame) -> DataFrame:
+    """(id, d1, keys): of the rows (h, id, d1) of postings the first that each document brings along."""
+    return rows.groupBy("id", "d1").agg(F.slice(F.array_sort(F.collect_set("h")), 1, MET_KEYS).alias("keys"))
+
+
 _PAIR = "a long, d1_a long, b long, d1_b long, apart long"
 
 
@@ -592,8 +597,7 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
     mixed = placed.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m")).where("low < high").select("h", "m")
     apart = cut(placed.join(mixed, "h"))  # documents of different components in one posting
     folded = sketches.select("id", "d1", F.col("n").cast("int").alias("n"), _folded("sketch").alias("sketch"))
-    keys = apart.groupBy("id", "d1").agg(F.slice(F.array_sort(F.collect_set("h")), 1, MET_KEYS).alias("keys"))
-    folded = folded.join(keys, ["id", "d1"])
+    folded = folded.join(_met_keys(apart), ["id", "d1"])
     meetings = _meetings(apart.where(F.col("m") <= POSTING_ROWS).join(folded, ["id", "d1"]), num, den)
     large = apart.where(F.col("m") > POSTING_ROWS)
     if not large.isEmpty():
