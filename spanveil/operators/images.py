@@ -1,15 +1,20 @@
 """Boxes of images hidden and restored.
 
 Boxes meet their images in a join on the image; pixels are worked on in Arrow
-batches, one image at a time. What a box hides is kept as a small PNG file of its
-own, encrypted, and put back only on an image of the same size.
+batches, one image at a time. What boxes hide is kept encrypted, and put back only on
+an image of the same size. A mapping is ten digits, the length of its JSON (sizes and
+boxes), and behind that the pixels of all boxes, compressed as one; mappings that were
+stored as JSON alone, with a PNG file in base64 for each box, are read too.
 
 A file that can't be read isn't an error of the job: its row has the reason.
 """
 
 from __future__ import annotations
 
+import base64
+import json
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +23,17 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import png
 from spanveil.operators.ocr import RECT
-from spanveil.operators.reveal import encrypted
+from spanveil.operators.reveal import encrypted_bytes
 from spanveil.operators.shield import session_id
 
 #: What stands over a hidden box: red, green, blue, alpha.
 FILL = (15, 23, 42, 255)
 #: Values this short aren't hidden, but for these.
 SHORT, SHORT_VALUES = 3, ("us", "uk", "id", "ip")
-_BOX = "struct<box_id:string,entity_type:string,placeholder:string,x:int,y:int,width:int,height:int,crop:string>"
-_HIDDEN = "struct<data:binary,width:int,height:int,crops:array<struct<box_id:string,x:int,y:int,width:int,height:int,crop:binary>>,error:string>"
+_HIDDEN = "struct<data:binary,width:int,height:int,crops:array<struct<box_id:string,x:int,y:int,width:int,height:int>>,pixels:binary,error:string>"
 _RESTORED = "struct<data:binary,restored:int,error:string>"
+#: Digits of the length before a mapping's JSON.
+_DIGITS = 10
 #: Statuses of a reveal beside those of texts.
 MISMATCH, UNREADABLE = "MISMATCH", "UNREADABLE"
 
@@ -49,7 +55,8 @@ def png_of(pixels: Column, width: Column, channels: int = 1) -> Column:
             out.append(png.encode(np.frombuffer(body, np.uint8).reshape(-1, w, channels)) if whole else None)
         return pa.array(out, pa.binary())
 
-    return F.arrow_udf(write, "binary")(pixels, width.cast("int"))
+    # what is asked for several times is written once
+    return F.arrow_udf(write, "binary").asNondeterministic()(pixels, width.cast("int"))
 
 
 def png_pixels(data: Column) -> Column:
@@ -106,33 +113,38 @@ def _hide(files: pa.Array, boxes: pa.Array) -> pa.Array:
             out.append({"error": str(e)})
             continue
         height, width = pixels.shape[:2]
-        shown, crops = pixels.copy(), []
+        shown, crops, under = pixels.copy(), [], []
         for box in rects or []:
             x, y, w, h = placed(tuple(box[n] for n in RECT), width, height)
-            crops.append({"box_id": box["box_id"], "x": x, "y": y, "width": w, "height": h, "crop": png.encode(pixels[y : y + h, x : x + w])})
+            under.append(pixels[y : y + h, x : x + w].tobytes())
+            crops.append({"box_id": box["box_id"], "x": x, "y": y, "width": w, "height": h})
             shown[y : y + h, x : x + w] = FILL
-        out.append({"data": png.encode(shown), "width": width, "height": height, "crops": crops})
-    crop = pa.struct([("box_id", pa.string()), *[(n, pa.int32()) for n in RECT], ("crop", pa.binary())])
-    return pa.array(out, pa.struct([("data", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("crops", pa.list_(crop)), ("error", pa.string())]))
+        out.append({"data": png.encode(shown), "width": width, "height": height, "crops": crops, "pixels": zlib.compress(b"".join(under), png.LEVEL)})
+    crop = pa.struct([("box_id", pa.string()), *[(n, pa.int32()) for n in RECT]])
+    return pa.array(out, pa.struct([("data", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("crops", pa.list_(crop)), ("pixels", pa.binary()), ("error", pa.string())]))
 
 
-def shield_images(images: DataFrame, boxes: DataFrame, secret: str, image: str = "image_id", data: str = "data", salt: str = "") -> DataFrame:
+def shield_images(images: DataFrame, boxes: DataFrame, secret: str, image: str = "image_id", data: str | Column = "data", salt: str = "", as_text: bool = True) -> DataFrame:
     """(…images, shielded, image_width, image_height, n_boxes, placeholders, encrypted_mappings, session_id, error).
 
     ``boxes`` are as for ``box_placeholders``. A box that reaches over the edge is cut.
     An image without boxes stays as it is, but is written anew; one that can't be read
-    has no result but its ``error``.
+    has no result but its ``error``. encrypted_mappings are in base64, or bytes, which
+    take a quarter less, without ``as_text``. ``data`` may be an expression of the images'
+    columns: the files are then made where the boxes are, and only what they are made of
+    is moved.
     """
     named = box_placeholders(boxes, image).select(image, F.struct(F.col("box_id").cast("string").alias("box_id"), "entity_type", "placeholder", *[F.col(n).cast("double").alias(n) for n in RECT]).alias("_b"))
     listed = named.groupBy(image).agg(F.array_sort(F.collect_list("_b")).alias("_boxes"))
     met = images.join(listed, image, "left").withColumn("_boxes", F.coalesce("_boxes", F.array().cast(named.select(F.array("_b")).schema[0].dataType)))
-    hidden = F.arrow_udf(_hide, _HIDDEN).asNondeterministic()(F.col(data), F.col("_boxes"))
-    out = met.withColumn("_h", hidden)
+    met = met.withColumn("_data", F.col(data) if isinstance(data, str) else data)
+    out = met.withColumn("_h", F.arrow_udf(_hide, _HIDDEN).asNondeterministic()(F.col("_data"), F.col("_boxes")))
     kept = F.transform(
         "_h.crops",
-        lambda c, i: F.struct(c["box_id"].alias("box_id"), F.get("_boxes", i)["entity_type"].alias("entity_type"), F.get("_boxes", i)["placeholder"].alias("placeholder"), *[c[n].alias(n) for n in RECT], F.base64(c["crop"]).alias("crop")),
+        lambda c, i: F.struct(c["box_id"].alias("box_id"), F.get("_boxes", i)["entity_type"].alias("entity_type"), F.get("_boxes", i)["placeholder"].alias("placeholder"), *[c[n].alias(n) for n in RECT]),
     )
-    mapping = F.struct(F.col("_h.width").alias("width"), F.col("_h.height").alias("height"), kept.alias("boxes"))
+    out = out.withColumn("_head", F.encode(F.to_json(F.struct(F.col("_h.width").alias("width"), F.col("_h.height").alias("height"), kept.alias("boxes"))), "UTF-8"))
+    mapping = encrypted_bytes(F.concat(F.encode(F.lpad(F.length("_head").cast("string"), _DIGITS, "0"), "UTF-8"), "_head", "_h.pixels"), secret)
     read = F.col("_h.error").isNull()
     return out.withColumns(
         {
@@ -141,28 +153,44 @@ def shield_images(images: DataFrame, boxes: DataFrame, secret: str, image: str =
             "image_height": F.col("_h.height"),
             "n_boxes": F.when(read, F.size("_boxes")),
             "placeholders": F.when(read, F.array_distinct(F.transform("_boxes", lambda b: b["placeholder"]))),
-            "encrypted_mappings": F.when(read, encrypted(mapping, secret)),
-            "session_id": session_id(F.col(image), F.hex(F.sha2(F.col(data), 256)), salt),
+            "encrypted_mappings": F.when(read, F.base64(mapping) if as_text else mapping),
+            "session_id": session_id(F.col(image), F.hex(F.sha2("_data", 256)), salt),
             "error": F.col("_h.error"),
         }
-    ).drop("_boxes", "_h")
+    ).drop("_boxes", "_data", "_h", "_head")
 
 
-def _restore(files: pa.Array, widths: pa.Array, heights: pa.Array, boxes: pa.Array) -> pa.Array:
+def _kept(mapping: bytes) -> tuple[dict, list[np.ndarray]]:
+    """The sizes and boxes of a mapping, and the pixels that were under the boxes."""
+    if mapping[:1] == b"{":
+        head = json.loads(mapping)
+        return head, [png.decode(base64.b64decode(box["crop"])) for box in head["boxes"]]
+    at = _DIGITS + int(mapping[:_DIGITS])
+    head, flat = json.loads(mapping[_DIGITS:at]), np.frombuffer(zlib.decompress(mapping[at:]), np.uint8)
+    shapes = [(box["height"], box["width"], 4) for box in head["boxes"]]
+    parts = np.split(flat, np.cumsum([math.prod(s) for s in shapes])[:-1]) if shapes else []
+    return head, [part.reshape(s) for part, s in zip(parts, shapes, strict=True)]
+
+
+def _restore(files: pa.Array, mappings: pa.Array) -> pa.Array:
     out = []
-    for body, width, height, kept in zip(*(x.to_pylist() for x in (files, widths, heights, boxes)), strict=True):
+    for file, mapping in zip(files, mappings, strict=True):
+        if not mapping.is_valid:  # nothing is put back
+            out.append({})
+            continue
+        head, crops = _kept(mapping.as_py())
         try:
-            pixels = png.decode(body or b"")
+            pixels = png.decode(file.as_py() or b"")
         except ValueError:
             out.append({"error": UNREADABLE})
             continue
-        if pixels.shape[:2] != (height, width):
+        if pixels.shape[:2] != (head["height"], head["width"]):
             out.append({"error": MISMATCH})
             continue
-        for box in kept or []:
+        for box, crop in zip(head["boxes"], crops, strict=True):
             x, y, w, h = (box[n] for n in RECT)
-            pixels[y : y + h, x : x + w] = png.decode(box["crop"])
-        out.append({"data": png.encode(pixels), "restored": len(kept or [])})
+            pixels[y : y + h, x : x + w] = crop
+        out.append({"data": png.encode(pixels), "restored": len(crops)})
     return pa.array(out, pa.struct([("data", pa.binary()), ("restored", pa.int32()), ("error", pa.string())]))
 
 
@@ -175,13 +203,10 @@ def reveal_images(responses: DataFrame, sessions: DataFrame, secret: str, now: C
     """
     met = responses.join(sessions.select("session_id", "encrypted_mappings", "expires_at", "is_purged"), "session_id", "left")
     found = F.when(F.col("encrypted_mappings").isNull(), "NOT_FOUND").when(F.col("is_purged"), "PURGED").when(now > F.col("expires_at"), "EXPIRED")
-    key = F.unhex(F.sha2(F.lit(secret), 256))
-    plain = F.when(found.isNull(), F.aes_decrypt(F.unbase64("encrypted_mappings"), key, F.lit("GCM")).cast("string"))
-    met = met.withColumns({"_found": found, "_m": F.from_json(plain, f"struct<width:int,height:int,boxes:array<{_BOX}>>")})
-    boxes = F.transform("_m.boxes", lambda b: F.struct(*[b[n].alias(n) for n in RECT], F.unbase64(b["crop"]).alias("crop")))
+    stored = F.col("encrypted_mappings") if dict(sessions.dtypes)["encrypted_mappings"] == "binary" else F.unbase64("encrypted_mappings")
+    plain = F.when(found.isNull(), F.aes_decrypt(stored, F.unhex(F.sha2(F.lit(secret), 256)), F.lit("GCM")))
+    # responses meet their sessions once, whatever their status
     restored = F.arrow_udf(_restore, _RESTORED).asNondeterministic()
-    open_ = met.where("_found is null").withColumn("_r", restored(F.col(data), F.col("_m.width"), F.col("_m.height"), boxes))
-    shut = met.where("_found is not null").withColumn("_r", F.lit(None).cast(_RESTORED))
-    out = open_.unionByName(shut)
+    out = met.withColumn("_found", found).withColumn("_r", restored(F.when(found.isNull(), F.col(data)), plain))
     out = out.withColumns({"status": F.coalesce("_found", "_r.error", F.lit("OK")), "n_restored": F.coalesce("_r.restored", F.lit(0)), "restored": F.col("_r.data")})
-    return out.drop("_found", "_m", "_r", "encrypted_mappings", "expires_at", "is_purged")
+    return out.drop("_found", "_r", "encrypted_mappings", "expires_at", "is_purged")

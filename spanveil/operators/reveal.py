@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def encrypted_bytes(plain: Column, secret: str) -> Column:
+    return F.aes_encrypt(plain, F.unhex(F.sha2(F.lit(secret), 256)), F.lit("GCM"))
+
+
 def encrypted(mapping: Column, secret: str) -> Column:
     """The mapping as AES-GCM of its JSON, base64."""
-    return F.base64(F.aes_encrypt(F.to_json(mapping), F.unhex(F.sha2(F.lit(secret), 256)), F.lit("GCM")))
+    return F.base64(encrypted_bytes(F.to_json(mapping), secret))
 
 
 def decrypted(stored: Column, secret: str) -> Column:

@@ -251,16 +251,17 @@ def edited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden.select("doc_id", F.length("hidden").cast("long").alias("n_hidden"), (shown == F.col("text")).alias("restored"))
 
 
-def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out as images of ten words a line.
-
-    Documents are dealt by their id before they are cut into words: what groups or joins
-    words by document then moves none of them.
-    """
+def _dealt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and texts of documents, dealt by id: what groups or joins by document what is made of them moves none of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # a number that is asked for stays: parts of texts grow tenfold as words
+    # a number that is asked for stays: parts of texts grow tenfold as words or pixels
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * docs.rdd.getNumPartitions())
-    docs = docs.repartition(parts, "doc_id")
+    return docs.repartition(parts, "doc_id")
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents laid out as images of ten words a line."""
+    docs = _dealt(spark, sf_dir)
     words = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("at", "text"))
     line = F.floor(F.col("at") / 10).cast("int")
     width = F.least(F.length("text") * 8.0, F.lit(78.0))
@@ -290,16 +291,18 @@ def ocr_phrase_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_reveal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bytes of each text as the pixels of an image of three rows, of which two boxes are hidden and put back."""
-    docs = _docs(spark, sf_dir).where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("body")).withColumn("w", F.length("body"))
-    drawn = docs.select("doc_id", "w", images.png_of(F.concat(*12 * ["body"]), F.col("w"), 4).alias("data"))
+    drawn = lambda docs: docs.where("text <> ''").select("doc_id", F.encode("text", "UTF-8").alias("body")).withColumn("w", F.length("body"))
     half = F.floor(F.col("w") / 2).cast("double")
     box = lambda name, *rect: F.struct(F.lit(name).alias("box_id"), *[F.lit(v).cast("double").alias(n) for n, v in zip(ocr.RECT, rect, strict=True)])
-    boxes = drawn.select("doc_id", F.inline(F.array(box("a", 0, 0, F.greatest(half, F.lit(1.0)), 2), box("b", half, 2, F.col("w"), 1))))
+    boxes = drawn(table(spark, sf_dir, "documents")).select("doc_id", F.inline(F.array(box("a", 0, 0, F.greatest(half, F.lit(1.0)), 2), box("b", half, 2, F.col("w"), 1))))
     boxes = boxes.select("*", F.lit("CUSTOM").alias("entity_type"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("placeholder"))
     # both sides of the meeting below come from it: images are hidden once
-    shielded = cut(images.shield_images(drawn.drop("w"), boxes, "key", "doc_id").select("doc_id", "session_id", "shielded", "encrypted_mappings"))
+    hidden = images.shield_images(drawn(_dealt(spark, sf_dir)), boxes, "key", "doc_id", images.png_of(F.concat(*12 * ["body"]), F.col("w"), 4), as_text=False)
+    shielded = cut(hidden.select("doc_id", "session_id", "shielded", "encrypted_mappings"))
     kept = shielded.select("session_id", "encrypted_mappings", F.lit(1).alias("expires_at"), F.lit(False).alias("is_purged"))
-    seen = images.reveal_images(shielded.select("doc_id", "session_id", "shielded"), kept, "key", F.lit(0), "shielded")
+    # in as many parts as they were made in: a task holds its images' pixels twice
+    sent = shielded.select("doc_id", "session_id", "shielded").repartition(shielded.rdd.getNumPartitions(), "session_id")
+    seen = images.reveal_images(sent, kept, "key", F.lit(0), "shielded")
     shown = seen.select("doc_id", "status", "n_restored", images.png_pixels(F.col("shielded")).alias("before"), images.png_pixels(F.col("restored")).alias("after"))
     return shown.select("doc_id", "status", F.col("n_restored").cast("long").alias("n_restored"), F.col("after.width").cast("long").alias("width"), (F.col("before.rgba") != F.col("after.rgba")).alias("hidden"), F.sha2("after.rgba", 256).alias("restored_sha256"))
 
